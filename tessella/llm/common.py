@@ -33,8 +33,8 @@ def let(value: Column, body) -> Column:
 
 
 def ascii_lower(c: Column) -> Column:
-    """c with A-Z, and nothing else, in lower case."""
-    return F.translate(c, UPPER, LOWER)
+    """c with A-Z, and nothing else, in lower case. On ASCII texts the much faster lower() is the same."""
+    return F.when(F.length(c) == F.octet_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
 
 
 def space_words(text: Column) -> Column:
