@@ -42,6 +42,22 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM b W
 """
 
 
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import substrings
+
+    return substrings.dedup(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP4_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT doc_id, i, hash(list_slice(w, i, i + 12)) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM w WHERE len(w) >= 13)),
+g AS (SELECT doc_id, i, doc_id > min(doc_id) OVER (PARTITION BY h) AS gone FROM x),
+p AS (SELECT doc_id, list(DISTINCT p) AS gone FROM (SELECT doc_id, unnest(range(i, i + 13)) AS p FROM g WHERE gone) GROUP BY doc_id),
+k AS (SELECT w.doc_id, len(w) AS n, coalesce(len(gone), 0) AS r, list_filter(w, lambda x, i: NOT list_contains(coalesce(gone, []), i)) AS kept FROM w LEFT JOIN p ON w.doc_id = p.doc_id)
+SELECT doc_id, n::BIGINT AS n_words, r::BIGINT AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k
+"""
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import decontaminate
 
@@ -107,5 +123,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_url_filter, op5_decontamination, op6_quality, op7_sharding, op9_secrets, op10_simhash)}
-ORACLE = {"op3_url_filter": OP3_SQL, "op5_decontamination": OP5_SQL, "op7_sharding": OP7_SQL}
+QUERIES = {f.__name__: f for f in (op1_packing, op3_url_filter, op4_substrings, op5_decontamination, op6_quality, op7_sharding, op9_secrets, op10_simhash)}
+ORACLE = {"op3_url_filter": OP3_SQL, "op4_substrings": OP4_SQL, "op5_decontamination": OP5_SQL, "op7_sharding": OP7_SQL}
