@@ -107,6 +107,12 @@ SELECT doc_id, n_bytes, depth::INTEGER AS depth, substr(bits, 1, depth::INTEGER)
 """
 
 
+def op8_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import ngram
+
+    return ngram.learn_and_score(documents(spark, sf_dir))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import secrets
 
@@ -123,5 +129,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_url_filter, op4_substrings, op5_decontamination, op6_quality, op7_sharding, op9_secrets, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_packing, op3_url_filter, op4_substrings, op5_decontamination, op6_quality, op7_sharding, op8_ngram, op9_secrets, op10_simhash)}
 ORACLE = {"op3_url_filter": OP3_SQL, "op4_substrings": OP4_SQL, "op5_decontamination": OP5_SQL, "op7_sharding": OP7_SQL}
