@@ -18,6 +18,12 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import suffixes
+
+    return suffixes.dedup(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 #: host, path, verdict of the listed entries (fixed values).
 LISTED = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 
@@ -129,5 +135,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_url_filter, op4_substrings, op5_decontamination, op6_quality, op7_sharding, op8_ngram, op9_secrets, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_suffixes, op3_url_filter, op4_substrings, op5_decontamination, op6_quality, op7_sharding, op8_ngram, op9_secrets, op10_simhash)}
 ORACLE = {"op3_url_filter": OP3_SQL, "op4_substrings": OP4_SQL, "op5_decontamination": OP5_SQL, "op7_sharding": OP7_SQL}
