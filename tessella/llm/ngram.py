@@ -24,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blobs import packed, unpacked
 from .common import shared_dir
-from .substrings import packed, unpacked
 from .words import FIRST, SECOND, U, mix, parts, space_words
 
 #: Pairs that a task holds before it sends them. Keys of the marks around a text, which no word has.
-HELD = 1 << 21
+HELD = 1 << 20
 BEGIN, END = U(0), U(1)
 SLICE_PAIRS, SLICE_WORDS = 4 << 20, 4 << 20
 

@@ -11,7 +11,7 @@ U = np.uint64
 #: Odd 64-bit constants: the base of byte sums, and those of windows (fixed values).
 BASE, FIRST, SECOND = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0xFF51AFD7ED558CCD)
 #: Bytes of text handled at once; a longer text is handled alone.
-BYTES = 2 << 20
+BYTES = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
