@@ -181,7 +181,7 @@ def components(edges: DataFrame) -> DataFrame:
         if now == state:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(e.select("v", "v").distinct())
         state = now
-        both = e.unionAll(e.select(F.col("u").alias("v"), F.col("v").alias("u")))  # u has the neighbour v
+        both = e.unionByName(e.select(F.col("u").alias("v"), F.col("v").alias("u")))  # u has the neighbour v
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         # large: (u, v) with v < u
