@@ -20,7 +20,7 @@ from .common import SPACE, let, space_words, stored
 
 WINDOW = 8
 #: For each ratio: the floor of its fence, in thousandths.
-FLOORS = {"symbols": 40, "dup_lines": 150, "repeats": 150}
+FLOORS = {"symbols": 40, "dup_lines": 350, "repeats": 300}
 #: Times the distance between quartiles that a fence is above the third one; documents that a group needs for fences of its own.
 SPREAD, LEAST = 3, 200
 
@@ -96,13 +96,13 @@ def fences(stats: DataFrame, spread: int = SPREAD, least: int = LEAST) -> DataFr
     return groups.groupBy("lang", "source").agg(*(F.max(F.when(F.col("ratio") == r, F.greatest(fence, F.lit(f)))).alias(f"fence_{r}") for r, f in FLOORS.items()))
 
 
-def judge(docs: DataFrame, spread: int = SPREAD, least: int = LEAST) -> DataFrame:
-    """doc_id, counts, ratios, fences, base_failed, kept for docs(doc_id, text, lang, source)."""
-    stats = stored(counts(docs), "quality-counts")
+def judge(docs: DataFrame, spread: int = SPREAD, least: int = LEAST, keep: tuple[str, ...] = ("doc_id", "lang", "source")) -> DataFrame:
+    """keep, counts, fences, base_failed, kept for docs(text, keep); keep has lang and source."""
+    stats = stored(counts(docs, keep), "quality-counts")
     limits = fences(stats, spread, least)
     on = stats["lang"].eqNullSafe(limits["lang"]) & stats["source"].eqNullSafe(limits["source"])
     # One row for each language and source; Spark broadcasts it below its own threshold of bytes and shuffles beyond.
-    joined = stats.join(limits.drop(), on, "left").drop(limits["lang"]).drop(limits["source"])
+    joined = stats.join(limits, on, "left").drop(limits["lang"]).drop(limits["source"])
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     over = F.lit(False)
     for r, v in ratios().items():
