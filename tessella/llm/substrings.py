@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blobs import gathered, joined, packed, rows, scattered, schema, unpacked
 from .common import stored
 from .words import FIRST, U, mix, parts, space_words, windows
 
@@ -28,21 +29,10 @@ WINDOW, ROWS = 13, 2
 #: Cells in a row of the sketch at most: its bits take an eighth as many bytes, on the driver and in each worker.
 MAX_CELLS = 1 << 30
 #: Windows whose cells or hashes a task holds before it sends them.
-HELD = 1 << 21
+HELD = 1 << 20
 NO_ID = (1 << 63) - 1
 
 
-def packed(a: np.ndarray) -> bytes:
-    """a, byte planes apart and compressed."""
-    planes = np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T if len(a) else np.zeros((a.itemsize, 0), np.uint8)
-    return len(a).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True) if len(a) else bytes(8)
-
-
-def unpacked(b: bytes, kind) -> np.ndarray:
-    n, size = int.from_bytes(b[:8], "little"), np.dtype(kind).itemsize
-    return np.frombuffer(np.frombuffer(pa.decompress(b[8:], n * size, codec="zstd"), np.uint8).reshape(size, n).T.tobytes(), kind) if n else np.zeros(0, kind)
-
-
 def cells(h: np.ndarray, row: int, bits: int) -> np.ndarray:
     return ((h if row == 0 else mix(h * FIRST)) >> U(64 - bits)).astype(np.uint32)
 
@@ -112,7 +102,7 @@ def given_up(docs: DataFrame, size: int = WINDOW, max_cells: int = MAX_CELLS) ->
     bits = max(10, min(math.ceil(math.log2(max(2, n))), int(math.log2(max_cells))))
     sketch = spark.sparkContext.broadcast(repeated_cells(docs, size, bits))
     slices = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // (8 << 20), 1)
-    kinds = pa.schema([("slice", pa.int32()), *((x, pa.binary()) for x in ("h1", "h2", "k", "v", "per", "at"))])
+    names = ("h1", "h2", "k", "v", "per", "at")
 
     def send(batches):
         seen = sketch.value
@@ -124,33 +114,26 @@ def given_up(docs: DataFrame, size: int = WINDOW, max_cells: int = MAX_CELLS) ->
             h1, h2, k, v, at = (x[keep] for x in (h1, h2, k, v, at))
             to = (h1 % U(slices)).astype(np.int32)
             order = np.argsort(to, kind="stable")
-            cut = np.searchsorted(to[order], np.arange(slices + 1))
-            out = []
-            for s in range(slices):
-                if cut[s] < cut[s + 1]:
-                    x = order[cut[s] : cut[s + 1]]
-                    docs_ = np.flatnonzero(np.concatenate([[True], (k[x][1:] != k[x][:-1]) | (v[x][1:] != v[x][:-1])]))
-                    out.append((s, packed(h1[x]), packed(h2[x]), packed(k[x][docs_]), packed(v[x][docs_]), packed(np.diff(np.append(docs_, len(x))).astype(np.int32)), packed(at[x])))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*out), kinds)], schema=kinds)
+            cut, out = np.searchsorted(to[order], np.arange(slices + 1)), []
+            for s in np.flatnonzero(np.diff(cut)).tolist():
+                x = order[cut[s] : cut[s + 1]]
+                new = np.flatnonzero(np.concatenate([[True], (k[x][1:] != k[x][:-1]) | (v[x][1:] != v[x][:-1])]))
+                out.append((s, packed(h1[x]), packed(h2[x]), packed(k[x][new]), packed(v[x][new]), packed(np.diff(np.append(new, len(x))).astype(np.uint32)), packed(at[x])))
+            yield rows("slice", names, out)
 
     def answer(table: pa.Table) -> pa.Table:
-        get = lambda name, kind: [unpacked(b.as_py(), kind) for b in table.column(name)]
-        h1, h2, at = (np.concatenate(get(x, t)) for x, t in (("h1", U), ("h2", U), ("at", np.int32)))
-        k, v, per = (np.concatenate(get(x, t)) for x, t in (("k", np.int64), ("v", np.int64), ("per", np.int32)))
-        doc = np.repeat(np.arange(len(k)), per)
+        h1, h2, at, per = (joined(table, x, t) for x, t in (("h1", U), ("h2", U), ("at", np.int32), ("per", np.uint32)))
+        k, v = (np.repeat(joined(table, x, np.int64), per) for x in ("k", "v"))
         order = np.lexsort((h2, h1))
         a, b = h1[order], h2[order]
         first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-        ids = k[doc[order]]
+        ids = k[order]
         least = np.repeat(np.minimum.reduceat(ids, first), np.diff(np.append(first, len(ids))))
-        gone = np.sort(order[ids > least])  # back in the order of documents
-        which, per = np.unique(doc[gone], return_counts=True)
-        places = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per)]).astype(np.int32)), pa.array(at[gone]))
-        return pa.table({"k": pa.array(k[which]), "v": pa.array(v[which]), "at": places})
+        gone = np.sort(order[ids > least])
+        return pa.Table.from_batches([scattered(k[gone], v[gone], {"at": at[gone]}, slices)])
 
-    answers = docs.mapInArrow(send, "slice int, h1 binary, h2 binary, k binary, v binary, per binary, at binary").groupBy("slice").applyInArrow(answer, "k long, v long, at array<int>")
-    return answers.groupBy("k", "v").agg(F.flatten(F.collect_list("at")).alias("at"))
+    answers = docs.mapInArrow(send, schema("slice", names)).groupBy("slice").applyInArrow(answer, schema("bucket", ("k", "v", "per", "at")))
+    return gathered(answers, {"at": np.int32})
 
 
 def kept_words(words: list[bytes], places, size: int = WINDOW) -> tuple[list[bytes], int]:
