@@ -31,6 +31,8 @@ from .words import BYTES, FIRST, SECOND, U, mix, tables
 LENGTH, GRAM = 200, 48
 #: Different segments of an anchor up to which they are sorted together. Segments that a task holds before it sends them.
 HOT, HELD = 256, 1 << 19
+#: Bytes that a shard sorts, on average; sorting takes some 200 times as many in a worker's memory.
+SHARD = 1 << 20
 #: Bits of a place within a piece of text, in the keys that anchors are picked by.
 PLACE = 22
 
@@ -318,6 +320,8 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HO
     slices = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // (64 << 20))
     first = stored(sort_segments(own, slices, length, gram, hot), "segments").withColumnsRenamed({"k": "k1", "v": "v1"})
     asked = own.join(first.filter(F.exists("flag", lambda f: f != DONE)), (F.col("k") == F.col("k1")) & (F.col("v") == F.col("v1")))
+    sorted_bytes = F.aggregate(F.filter(F.arrays_zip("n", "flag"), lambda x: x["flag"] == SORT), F.lit(0).cast("long"), lambda a, x: a + x["n"] + (length - 1))
+    slices = max(slices, (first.agg(F.sum(sorted_bytes)).first()[0] or 0) // SHARD)
     second = stored(sort_suffixes(asked.select("k", "v", "text", *FIRST_ANSWER), slices, length), "suffixes").withColumnsRenamed({"k": "k2", "v": "v2", "at": "at2", "n": "n2"})
     both = own.join(first.drop("anchor"), (F.col("k") == F.col("k1")) & (F.col("v") == F.col("v1")), "left")
     both = both.join(second, (F.col("k") == F.col("k2")) & (F.col("v") == F.col("v2")), "left").select("k", "text", "at", "n", "flag", "at2", "n2")
