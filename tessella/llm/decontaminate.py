@@ -48,8 +48,10 @@ def runs(words: Column, shorter: list[int]) -> Column:
         starts = F.filter(upto(1, F.size(m)), lambda i: (i == 1) | (F.get(m, i - 1) != F.get(m, i - 2)))
         return let(starts, lambda s: F.transform(s, lambda i, k: F.struct(F.get(m, i - 1).alias("m"), i.alias("at"), F.coalesce(F.get(s, k + 1), F.size(m) + 1).alias("to"), F.lit(WINDOW).alias("n"))))
 
-    short = [F.transform(upto(1, F.size(words) - (n - 1)), lambda i, n=n: F.struct(F.xxhash64(F.slice(words, i, n)).alias("m"), i.alias("at"), (i + 1).alias("to"), F.lit(n).alias("n"))) for n in shorter]
-    return F.concat(let(selected(words), of), *short)
+    def short(n: int) -> Column:
+        return F.transform(upto(1, F.size(words) - (n - 1)), lambda i: F.struct(F.xxhash64(F.slice(words, i, n)).alias("m"), i.alias("at"), (i + 1).alias("to"), F.lit(n).alias("n")))
+
+    return F.concat(let(selected(words), of), *map(short, shorter))
 
 
 def windows(items: DataFrame) -> DataFrame:
