@@ -43,3 +43,12 @@ def space_words(text: Column) -> Column:
         F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r")),
         lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, SPACE + "+")),
     )
+
+
+#: Bytes up to which a table whose rows were counted is broadcast.
+BROADCAST_BYTES = 32 << 20
+
+
+def few(df: DataFrame, row_bytes: int) -> DataFrame:
+    """A stored df, marked for broadcast if its counted rows of at most about row_bytes are within BROADCAST_BYTES; otherwise as it is, to be shuffled."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df

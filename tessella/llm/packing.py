@@ -109,11 +109,16 @@ def encoder(vocabulary: str, ranks: str | None):
 
     ranks: the same vocabulary as byte-pair ranks. Texts of plain characters, where both libraries split alike, take this
     faster way to the same ids; all others go through the tokenizers file."""
-    from tokenizers import Tokenizer
+    loaded = []
+
+    def by_file(t: str) -> np.ndarray:
+        if not loaded:
+            from tokenizers import Tokenizer
+
+            loaded.append(Tokenizer.from_file(vocabulary))
+            loaded[0].encode_special_tokens = True
+        return np.array(loaded[0].encode(t, add_special_tokens=False).ids, np.uint32)
 
-    slow = Tokenizer.from_file(vocabulary)
-    slow.encode_special_tokens = True
-    by_file = lambda t: np.array(slow.encode(t, add_special_tokens=False).ids, np.uint32)
     if not ranks:
         return by_file
     import base64

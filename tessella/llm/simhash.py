@@ -49,13 +49,13 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp for docs(doc_id, text)."""
+    """doc_id, v (a hash of the text), fp for docs(doc_id, text)."""
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([fingerprint(t.as_py()) for t in b.column(1)], pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(1), pa.array([fingerprint(t.as_py()) for t in b.column(2)], pa.int64())], names=["doc_id", "v", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select("doc_id", F.xxhash64("text").alias("v"), "text").mapInArrow(run, "doc_id long, v long, fp long")
 
 
 def distance(a: np.ndarray, b) -> np.ndarray:
@@ -191,10 +191,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fp, component_id for every row of docs(doc_id, text)."""
+    """doc_id, v (a hash of the text), fp, root (a fingerprint that names the component), component_id for every row of docs(doc_id, text)."""
     each = stored(fingerprints(docs), "fingerprints")
     classes = stored(each.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     nodes = stored(components(near_edges(classes.select("fp"), radius)), "components")
     of = classes.join(nodes, classes["fp"] == nodes["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     ids = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    return each.join(of.join(ids, "root").select("fp", "component_id"), "fp", "left").select("doc_id", "fp", "component_id")
+    return each.join(of.join(ids, "root").select("fp", "root", "component_id"), "fp", "left").select("doc_id", "v", "fp", "root", "component_id")
