@@ -33,10 +33,10 @@ def prefix(h, depth):
     return F.substring(F.lpad(F.bin(h), BITS, "0"), F.lit(1), depth)
 
 
-def assign(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """doc_id, n_bytes, depth (prefix bits), shard_id (those bits) for docs(doc_id, text)."""
+def assign(docs: DataFrame, limit: int = LIMIT, carry: bool = False) -> DataFrame:
+    """doc_id, n_bytes, depth (prefix bits), shard_id (those bits) for docs(doc_id, text); carry: and doc, a struct of all columns."""
     # The bits after those of the id part documents with the same id; they come into play where those are used up.
-    rows = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), bits60(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("h"), bits60(F.coalesce("text", F.lit(""))).alias("h2"), F.monotonically_increasing_id().alias("row"))
+    rows = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), bits60(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("h"), bits60(F.coalesce("text", F.lit(""))).alias("h2"), F.monotonically_increasing_id().alias("row"), *([F.struct("*").alias("doc")] if carry else []))
     rows = stored(rows, "shard-rows")
     total = rows.agg(F.sum("n_bytes")).first()[0] or 0
     parts, base, todo = [], 0, rows.withColumns({"key": F.lit("")})
@@ -56,7 +56,7 @@ def assign(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
         over = stored(over, "shard-over")
         depth = sums.select("cell", F.explode(F.sequence(F.lit(base), F.lit(base + deep))).alias("d")).join(over.select(F.col("p").alias("q"), F.col("d").alias("e")), F.expr("d = e and substring(cell, 1, d) = q")).groupBy("cell").agg((F.max("d") + 1).alias("depth"))
         placed = cells.join(depth, "cell", "left").withColumn("depth", F.coalesce("depth", F.lit(base)))
-        parts.append(placed.filter(F.col("depth") <= base + deep).select("doc_id", "n_bytes", "depth", F.expr("substring(cell, 1, depth)").alias("shard_id")))
+        parts.append(placed.filter(F.col("depth") <= base + deep).select("doc_id", "n_bytes", "depth", F.expr("substring(cell, 1, depth)").alias("shard_id"), *(["doc"] if carry else [])))
         base += deep
         if base >= len(hashes) * BITS or not over.filter(F.col("d") == base).head(1):
             break
@@ -70,5 +70,4 @@ def assign(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
 
 def write(docs: DataFrame, path: str, limit: int = LIMIT) -> None:
     """Writes docs with a folder for each shard; a shard's rows pass through one task, which its byte limit bounds."""
-    placed = assign(docs, limit).select("doc_id", "shard_id").distinct()
-    docs.join(placed, docs["doc_id"].eqNullSafe(placed["doc_id"])).drop(placed["doc_id"]).repartition("shard_id").write.partitionBy("shard_id").parquet(path)
+    assign(docs, limit, carry=True).select("shard_id", "doc").repartition("shard_id").select("shard_id", "doc.*").write.partitionBy("shard_id").parquet(path)

@@ -124,6 +124,12 @@ def test_sharding(spark, rows, docs, limit):
     assert sharding.assign(empty(spark)).count() == 0
 
 
+def test_sharded_files(spark, rows, docs, tmp_path):
+    sharding.write(docs, str(tmp_path / "s"), 20_000)
+    back = spark.read.option("partitionOverwriteMode", "static").schema(SCHEMA + ", shard_id string").parquet(str(tmp_path / "s"))
+    assert Counter((r["doc_id"], r["text"], r["v"]) for r in back.collect()) == Counter((r[0], r[1], r[5]) for r in rows)
+
+
 def brute_model(train):
     c, pairs = Counter(), Counter()
     for w in train:
