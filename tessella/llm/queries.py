@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..ship import ship
+from . import oracles
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,4 +139,4 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_packing, op2_suffixes, op3_url_filter, op4_substrings, op5_decontamination, op6_quality, op7_sharding, op8_ngram, op9_secrets, op10_simhash)}
-ORACLE = {"op3_url_filter": OP3_SQL, "op4_substrings": OP4_SQL, "op5_decontamination": OP5_SQL, "op7_sharding": OP7_SQL}
+ORACLE = {"op2_suffixes": oracles.OP2, "op6_quality": oracles.OP6, "op9_secrets": oracles.OP9, "op3_url_filter": OP3_SQL, "op4_substrings": OP4_SQL, "op5_decontamination": OP5_SQL, "op7_sharding": OP7_SQL}
