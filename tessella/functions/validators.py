@@ -179,3 +179,8 @@ def validate_segment(c, start, end, suspicious, lang=None) -> Column:
     fail = lambda code: F.struct(F.lit(False).alias("passed"), F.lit(0.0).alias("score"), F.lit(code).alias("reason"))
     length = F.coalesce(col(end), F.lit(0.0)) - F.coalesce(col(start), F.lit(0.0))
     return F.when(length < 0.5, fail("short")).when(length > 15, fail("long")).when(F.coalesce(col(suspicious), F.lit(False)), fail("suspicious")).otherwise(validate_transcript(c, lang))
+
+
+def repetition_warning(c) -> Column:
+    """A sign of a transcript that repeats itself: a telling word, or few distinct words, case counting."""
+    return F.contains(F.lower(text(c)), F.lit("protty")) | let(words(c), lambda w: F.size(F.array_distinct(w)) < 0.3 * F.size(w))

@@ -192,3 +192,24 @@ def estimate_timings(df: DataFrame, duration: str = "duration") -> DataFrame:
     ran = lambda k: F.least(d, F.aggregate(F.slice("_d", F.lit(1), k), F.lit(0.0), lambda a, x: a + x))
     rows = F.transform("_s", lambda s, i: F.struct(s.alias("text"), F.round(ran(i), 3).alias("start"), F.when(i == F.size("_s") - 1, F.round(d, 3)).otherwise(F.round(ran(i + 1), 3)).alias("end")))
     return out.select("video", F.posexplode(rows).alias("seg_idx", "_x")).select("video", "seg_idx", "_x.start", "_x.end", "_x.text", F.lit(True).alias("estimated"))
+
+
+def attach_texts(df: DataFrame, texts: DataFrame) -> DataFrame:
+    """df with the texts of texts(video, seg_idx, text), by order within a video; what either has more of is left out."""
+    number = lambda d: d.withColumn("_n", F.row_number().over(ordered()))
+    other = number(texts).select("video", "_n", F.col("text").alias("_t"))
+    return number(df).join(other, ["video", "_n"]).withColumn("text", F.col("_t")).drop("_n", "_t")
+
+
+def assign_speakers(df: DataFrame, turns: DataFrame, bin_seconds: float = 30.0, default: str = "spk_00") -> DataFrame:
+    """Adds speaker_id: the speaker of turns(video, speaker, start, end) who overlaps a segment longest, of equal ones, to a microsecond, the first by name.
+
+    An interval join on the bins that both lie in, so only neighbours in time meet; overlaps are counted in the bin where they begin."""
+    span = lambda: F.explode(F.sequence(F.floor(F.col("start") / bin_seconds), F.floor(F.greatest("start", "end") / bin_seconds))).alias("_bin")
+    a = df.select("video", "seg_idx", "start", "end", span())
+    b = turns.select("video", "speaker", F.col("start").alias("s"), F.col("end").alias("e"), F.explode(F.sequence(F.floor(F.col("start") / bin_seconds), F.floor(F.greatest("start", "end") / bin_seconds))).alias("_bin"))
+    both = a.join(b, ["video", "_bin"]).filter((F.col("start") < F.col("e")) & (F.col("s") < F.col("end")))
+    both = both.filter(F.floor(F.greatest("start", "s") / bin_seconds) == F.col("_bin"))
+    shared = both.groupBy("video", "seg_idx", "speaker").agg(F.round(F.sum(F.least("end", "e") - F.greatest("start", "s")), 6).alias("o"))
+    best = shared.groupBy("video", "seg_idx").agg(F.min(F.struct(-F.col("o"), "speaker")).alias("b")).select("video", "seg_idx", F.col("b.speaker").alias("_sp"))
+    return df.join(best, ["video", "seg_idx"], "left").withColumn("speaker_id", F.coalesce("_sp", F.lit(default))).drop("_sp")

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.chunking import DELIMITER, MARK, MAX_BYTES, MAX_CHARS, MAX_ITEMS
+
 
 class Translator:
     """One text at a time; batches by default map it."""
@@ -38,8 +40,42 @@ class Marked(Translator):
         return f"[{src}>{tgt}] {text.upper()}"
 
 
+class Delimited(Translator):
+    """Sends texts in requests within a budget, joined by a delimiter; if a reply doesn't come apart into as many, its texts go one by one."""
+
+    def __init__(self, inner: Translator):
+        self.inner = inner
+
+    def translate(self, text: str, src: str, tgt: str) -> str:
+        return self.inner.translate(text, src, tgt)
+
+    def translate_batch(self, texts: list[str], src: str, tgt: str) -> list[str]:
+        clean, groups, size = [t.replace(MARK, " ").strip() for t in texts], [], (0, 0)
+        for i, t in enumerate(clean):
+            more = (len(t) + len(DELIMITER), len(t.encode()) + len(DELIMITER))
+            fits = groups and len(t) < MAX_CHARS and size[0] + more[0] <= MAX_CHARS and size[1] + more[1] <= MAX_BYTES and len(groups[-1]) < MAX_ITEMS
+            if fits:
+                groups[-1].append(i)
+                size = (size[0] + more[0], size[1] + more[1])
+            else:
+                groups.append([i])
+                size = (len(t), len(t.encode()))
+        out = [""] * len(texts)
+        for g in groups:
+            parts = [p.strip() for p in self.inner.translate(DELIMITER.join(clean[i] for i in g), src, tgt).split(MARK)] if len(g) > 1 else []
+            if len(parts) != len(g):
+                parts = self.inner.translate_batch([clean[i] for i in g], src, tgt)
+            if len(parts) != len(g):
+                parts = [self.inner.translate(clean[i], src, tgt) for i in g]
+            for i, p in zip(g, parts):
+                out[i] = p.strip()
+        return out
+
+    def unload(self) -> None:
+        self.inner.unload()
+
+
 FACTORIES: dict[str, Callable[[], Translator]] = {"identity": Identity, "marked": Marked}
-_live: dict[str, Translator] = {}
 
 
 def register(name: str, factory: Callable[[], Translator]) -> None:

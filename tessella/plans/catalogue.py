@@ -111,6 +111,11 @@ def q_asr_validation(spark, sf_dir):
     return d.select("doc_id", "v.passed", r6("v.score").alias("score"), "v.reason")
 
 
+@query(f"SELECT doc_id, contains(lower(coalesce(text, '')), 'protty') OR len(list_distinct({sql_words('text')})) < 0.3::DOUBLE * len({sql_words('text')}) AS warning FROM documents")
+def q_repetition_warning(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", V.repetition_warning("text").alias("warning"))
+
+
 @query()
 def q_segment_quality(spark, sf_dir):
     s = seg_conv(spark, sf_dir)
@@ -256,6 +261,23 @@ def q_estimate_timings(spark, sf_dir):
     return exact.select("video", "seg_idx", F.round("start", 1).alias("start"), F.round("end", 1).alias("end"), "text")
 
 
+@query(f"""WITH {SEG_CONV}, a AS (SELECT video, seg_idx, st, en, row_number() OVER (PARTITION BY video ORDER BY seg_idx) AS n FROM seg WHERE role <> 'system'),
+b AS (SELECT video, text || '!' AS t, row_number() OVER (PARTITION BY video ORDER BY seg_idx) AS n FROM seg WHERE seg_idx > 0) SELECT video, a.seg_idx::INTEGER AS seg_idx, t AS text FROM a JOIN b USING (video, n)""")
+def q_attach_texts(spark, sf_dir):
+    s = seg_conv(spark, sf_dir)
+    return timeline.attach_texts(s.filter("role <> 'system'"), s.filter("seg_idx > 0").withColumn("text", F.concat("text", F.lit("!")))).select("video", "seg_idx", "text")
+
+
+@query(f"""WITH {SEG_CONV}, t AS (SELECT video, role AS speaker, st + 3 AS s, en + 3 AS e FROM seg),
+o AS (SELECT a.video, a.seg_idx, speaker, round(sum(least(en, e) - greatest(st, s)), 6) AS o FROM seg a JOIN t ON a.video = t.video AND st < e AND s < en GROUP BY ALL),
+b AS (SELECT *, row_number() OVER (PARTITION BY video, seg_idx ORDER BY o DESC, speaker) AS k FROM o)
+SELECT a.video, a.seg_idx::INTEGER AS seg_idx, coalesce(speaker, 'spk_00') AS speaker_id FROM seg a LEFT JOIN b ON a.video = b.video AND a.seg_idx = b.seg_idx AND k = 1""")
+def q_assign_speakers(spark, sf_dir):
+    s = seg_conv(spark, sf_dir)
+    turns = s.select("video", F.col("role").alias("speaker"), (F.col("start") + 3).alias("start"), (F.col("end") + 3).alias("end"))
+    return timeline.assign_speakers(s, turns).select("video", "seg_idx", "speaker_id")
+
+
 @query(f"WITH {SEG_CONV} SELECT video, string_agg(t, ' ' ORDER BY seg_idx) AS text FROM (SELECT video, seg_idx, {sql_strip('text')} AS t FROM seg) WHERE t <> '' GROUP BY video")
 def q_transcript(spark, sf_dir):
     return timeline.transcript(seg_conv(spark, sf_dir))
@@ -551,6 +573,13 @@ def q_translation_flow(spark, sf_dir):
     return flows.translate(c, TERMS, [Identity, Marked]).select("id", "passed", r6("score").alias("score"), "reason", "backend", "wave")
 
 
+@query()
+def q_chunk_translation_flow(spark, sf_dir):
+    """With a stand-in backend."""
+    t = flows.translate_chunks(seg_conv(spark, sf_dir), "en", "fr", Marked)
+    return t.select("video", "chunk_idx", r6("start").alias("start"), r6("end").alias("end"), "text", r6("quality_score").alias("quality_score"))
+
+
 @query()
 def q_synthesis_plan(spark, sf_dir):
     p = flows.synthesis_plan(seg_conv(spark, sf_dir))

@@ -120,3 +120,45 @@ def test_entry_without_corpus(tmp_path):
     subprocess.run(["cp", "-r", f"{REPO}/tessella", f"{REPO}/__spark_entry__.py", str(tmp_path)], check=True)
     subprocess.run(["rm", "-rf", f"{tmp_path}/tessella/llm"], check=True)
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
+
+
+def test_settings(spark, monkeypatch):
+    from tessella.plans.settings import Settings
+
+    assert Settings.load().max_segment_seconds == 15.0
+    monkeypatch.setenv("TESSELLA_EXACT_FIT", "off")
+    monkeypatch.setenv("TESSELLA_REFINE_SEGMENTS", "3")
+    spark.conf.set("tessella.refine_segments", "5")
+    s = Settings.load(spark, target_lang="fr")
+    spark.conf.unset("tessella.refine_segments")
+    assert (s.exact_fit, s.refine_segments, s.target_lang) == (False, 5, "fr")
+
+
+def test_delimited():
+    class Upper(backends.Translator):
+        calls = 0
+
+        def translate(self, text, src, tgt):
+            self.calls += 1
+            return text.upper()
+
+    class Eats(Upper):
+        def translate(self, text, src, tgt):
+            return super().translate(text, src, tgt).replace("###__SEGMENT_BOUNDARY__###", "")
+
+    up = Upper()
+    assert backends.Delimited(up).translate_batch(["a", "b " * 10, "c"], "x", "y") == ["A", "B " * 9 + "B", "C"] and up.calls == 1
+    assert backends.Delimited(Eats()).translate_batch(["a", "b"], "x", "y") == ["A", "B"]
+    up = Upper()
+    assert backends.Delimited(up).translate_batch(["z" * 5000, *["q"] * 30], "x", "y")[1:] == ["Q"] * 30 and up.calls == 3
+
+
+def test_chunk_translation(spark):
+    s = spark.createDataFrame([("v", i, float(i), i + 0.9, f"This is the sentence number {i} with several more words of text.") for i in range(30)], "video string, seg_idx int, start double, end double, text string")
+
+    class Picky(backends.Translator):
+        def translate(self, text, src, tgt):
+            return "non " * 3 if len(text) > 220 else "voici une phrase courte. " + text[:5]
+
+    got = flows.translate_chunks(s, "en", "fr", Picky).orderBy("chunk_idx").collect()
+    assert got[0]["start"] == 0.0 and all("voici" in r["text"] for r in got) and all(0 < r["quality_score"] <= 1 for r in got)

@@ -187,3 +187,13 @@ def test_audio(spark):
     assert row["slow"] == pytest.approx([0.5, 0.5, 0.8])
     bad = spark.createDataFrame([(bytearray(b"x"),)], "b binary").select(audio.wav_info("b").alias("w")).first()["w"]
     assert bad["duration"] == 0.0 and bad["samples"] is None
+
+
+def test_attach_and_speakers(spark):
+    df = seg(spark, (0.0, 10.0, "a"), (10.0, 40.0, "b"), (70.0, 71.0, "c"))
+    got = timeline.attach_texts(df, seg(spark, (0.0, 0.0, "x"), (0.0, 0.0, "y"))).orderBy("seg_idx").collect()
+    assert [r["text"] for r in got] == ["x", "y"]
+    turns = spark.createDataFrame([("v", "s2", 0.0, 4.0), ("v", "s1", 4.0, 8.0), ("v", "s3", 8.0, 100.0), ("v", "s1", 70.0, 70.5)], "video string, speaker string, start double, end double")
+    got = timeline.assign_speakers(df, turns, bin_seconds=5.0).orderBy("seg_idx").collect()
+    assert [r["speaker_id"] for r in got] == ["s1", "s3", "s3"]
+    assert timeline.assign_speakers(df, turns.limit(0)).first()["speaker_id"] == "spk_00"
