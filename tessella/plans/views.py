@@ -41,10 +41,10 @@ def seg_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of a user as segments: hours since 1970, and a tenth of the value long; every 97th is inverted."""
     e = table(spark, sf_dir, "events")
     a = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)") / F.lit(3.6e9)
-    e = e.select("user_id", "ts", "event_id", "value", a.alias("a"), (F.col("event_id") % 97 == 0).alias("inv"), F.col("event_type").alias("text"))
+    e = e.select(F.col("user_id").alias("video"), "ts", "event_id", "value", a.alias("a"), (F.col("event_id") % 97 == 0).alias("inv"), F.col("event_type").alias("text"))
     b = F.col("a") + F.col("value") / 10
-    idx = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
-    return e.select(F.col("user_id").alias("video"), idx.alias("seg_idx"), F.when(F.col("inv"), b).otherwise(F.col("a")).alias("start"), F.when(F.col("inv"), F.col("a")).otherwise(b).alias("end"), "text", (F.col("value") > 100).alias("is_suspicious"), (-F.col("value") / 100).alias("avg_logprob"))
+    idx = F.row_number().over(Window.partitionBy("video").orderBy("ts", "event_id")) - 1
+    return e.select("video", idx.alias("seg_idx"), F.when(F.col("inv"), b).otherwise(F.col("a")).alias("start"), F.when(F.col("inv"), F.col("a")).otherwise(b).alias("end"), "text", (F.col("value") > 100).alias("is_suspicious"), (-F.col("value") / 100).alias("avg_logprob"))
 
 
 SEG_EVENTS = """ev AS (SELECT *, epoch_us(ts) / 3.6e9 AS a FROM events),
@@ -58,11 +58,11 @@ PACE = {"user": 0.4, "assistant": 0.4, "system": 0.1}
 
 def seg_conv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of a conversation as segments, one after the other, as long as their words take."""
-    c = table(spark, sf_dir, "conversations")
+    c = table(spark, sf_dir, "conversations").withColumnRenamed("conv_id", "video")
     pace = F.when(F.col("role") == "system", PACE["system"]).otherwise(PACE["user"])
     c = c.withColumn("d", word_count("text") * pace)
-    start = F.coalesce(F.sum("d").over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    return c.withColumn("start", start).select(F.col("conv_id").alias("video"), F.col("turn").cast("int").alias("seg_idx"), "start", (F.col("start") + F.col("d")).alias("end"), "text", "role")
+    start = F.coalesce(F.sum("d").over(Window.partitionBy("video").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    return c.withColumn("start", start).select("video", F.col("turn").cast("int").alias("seg_idx"), "start", (F.col("start") + F.col("d")).alias("end"), "text", "role")
 
 
 SEG_CONV = f"""cv AS (SELECT *, len({sql_words('text')}) * CASE WHEN role = 'system' THEN 0.1::DOUBLE ELSE 0.4::DOUBLE END AS d FROM conversations),
