@@ -7,10 +7,10 @@ from .secrets import BASE, RULES
 
 SPACE_WORDS = r"regexp_extract_all(coalesce({0}, ''), '[^\x20\x09-\x0D]+')"
 
-#: Bytes as pairs of hexadecimal digits; windows by a 64-bit hash.
+#: Bytes as pairs of hexadecimal digits; windows by their MD5, since 64-bit hashes collide on larger tables.
 OP2 = """
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
-b AS (SELECT r, i, substr(x, 2 * i - 1, 2) AS y, CASE WHEN i + 199 <= length(x) // 2 THEN hash(substr(x, 2 * i - 1, 400)) END AS h FROM (SELECT r, x, unnest(range(1, length(x) // 2 + 1)) AS i FROM d)),
+b AS (SELECT r, i, substr(x, 2 * i - 1, 2) AS y, CASE WHEN i + 199 <= length(x) // 2 THEN md5(substr(x, 2 * i - 1, 400)) END AS h FROM (SELECT r, x, unnest(range(1, length(x) // 2 + 1)) AS i FROM d)),
 f AS (SELECT r, i, y, CASE WHEN h IS NOT NULL THEN count(*) OVER (PARTITION BY h) > 1 ELSE false END AS twice FROM b),
 c AS (SELECT r, i, y, max(twice) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) AS gone FROM f),
 s AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY r ORDER BY i), false) AS first FROM c),
