@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import word_count
+from ..sources.spread import spread
 
 #: White space and word characters in DuckDB's regular expressions (fixed values).
 WS = r"[\x{09}-\x{0d}\x{1c}-\x{1f} \x{85}\p{Z}]"
@@ -34,7 +35,9 @@ def sql_count(c: str, pattern: str) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table; those of long texts dealt over all cores where they are small."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in ("documents", "conversations") else df
 
 
 def seg_events(spark: SparkSession, sf_dir: str) -> DataFrame:
