@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..ship import ship
+from ..sources.spread import spread
 from . import oracles
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ship(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(ship(spark).read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
