@@ -133,7 +133,7 @@ def lock(df: DataFrame, c: str, terms: list[Term], form: str = "<<{category}:{in
 def restore(c: Column | str, placeholders: Column | str, lang: str, terms: list[Term]) -> Column:
     """c with each placeholder replaced by its term's translation, or by what was matched.
 
-    Terms are looked up in lower case, as by the reference rules: a case-sensitive term with capitals is thus not found and stays as matched."""
+    Terms are looked up in lower case: a case-sensitive term with capitals is thus not found and stays as matched."""
     known = {t.key: t.translations[lang] for t in merged(terms) if lang in t.translations}
     lookup = F.create_map(*(F.lit(x) for kv in known.items() for x in kv)) if known else F.create_map().cast("map<string,string>")
     entries = F.map_entries(F.col(placeholders) if isinstance(placeholders, str) else placeholders)
