@@ -7,6 +7,10 @@ the quartiles of its group each ratio gets an upper fence, never below a floor u
 with fewer documents than least take the fences of their language, and small languages those of the whole corpus. The fences, at most one row for
 each language and source, are joined with the counts and decide.
 
+These fences are op6_quality's contract; where most values are 0 they stay at their floors. The pipeline takes bounded fences: the median
+of the group's values above 0, of documents that pass the base, plus SPREAD times the distance between their quartiles, within BOUNDS on both sides. Values beyond the upper
+bound don't count, so bad documents, however many, can't lift a fence; without ENOUGH values even in the corpus the floor holds.
+
 Defined cases: a null text has no words and fails the base; a null language or source is a group of its own; ratios of a text without
 words are 0; repeated rows all get their row; an empty table gives no rows; other columns are ignored.
 """
@@ -23,6 +27,8 @@ WINDOW = 8
 FLOORS = {"symbols": 40, "dup_lines": 350, "repeats": 300}
 #: Times the distance between quartiles that a fence is above the third one; documents that a group needs for fences of its own.
 SPREAD, LEAST = 3, 200
+#: For each ratio: the bounds of a bounded fence, half and twice its floor; from 300 thousandths of repeats on the base decides. Values that a group needs.
+BOUNDS, ENOUGH = {"symbols": (20, 80), "dup_lines": (175, 700), "repeats": (150, 300)}, 50
 
 
 def repeated_words(words: Column, window: int = WINDOW) -> Column:
@@ -67,6 +73,10 @@ def ratios() -> dict[str, Column]:
     return {"symbols": part("n_symbols", "word_chars"), "dup_lines": part("n_dup_lines", "n_lines"), "repeats": part("n_repeat_words", "n_words")}
 
 
+def base_rule() -> Column:
+    return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+
+
 def sketch(stats: DataFrame, by: list[str]) -> DataFrame:
     """by, ratio, value, n: the mergeable histogram sketch of each ratio in each group."""
     each = F.explode(F.create_map(*(x for k, v in ratios().items() for x in (F.lit(k), v)))).alias("ratio", "value")
@@ -74,36 +84,53 @@ def sketch(stats: DataFrame, by: list[str]) -> DataFrame:
 
 
 def quartiles(sketched: DataFrame, by: list[str]) -> DataFrame:
-    """by, ratio, size, q1, q3 from a sketch of which rows with the same by and value are merged first."""
+    """by, ratio, size, q1, q2, q3 from a sketch of which rows with the same by and value are merged first."""
     merged = sketched.groupBy(*by, "ratio", "value").agg(F.sum("n").alias("n"))
     group = Window.partitionBy(*by, "ratio")  # at most 1001 rows
     ranked = merged.select(*by, "ratio", "value", F.sum("n").over(group.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)).alias("upto"), F.sum("n").over(group).alias("size"))
-    return ranked.groupBy(*by, "ratio").agg(F.first("size").alias("size"), *(F.min(F.when(F.col("upto") * 4 >= F.col("size") * k, F.col("value"))).alias(f"q{k}") for k in (1, 3)))
+    return ranked.groupBy(*by, "ratio").agg(F.first("size").alias("size"), *(F.min(F.when(F.col("upto") * 4 >= F.col("size") * k, F.col("value"))).alias(f"q{k}") for k in (1, 2, 3)))
 
 
-def fences(stats: DataFrame, spread: int = SPREAD, least: int = LEAST) -> DataFrame:
-    """lang, source and the upper fence of each ratio: that of the group, its language or the corpus, the first with enough documents."""
-    fine = stored(sketch(stats, ["lang", "source"]), "quality-sketch")
-    levels = {"g": ["lang", "source"], "l": ["lang"], "a": []}
-    groups = fine.select("lang", "source", "ratio").distinct()
-    for k, by in levels.items():
-        q = quartiles(fine, by).select(*(F.col(b).alias(f"{k}_{b}") for b in by), F.col("ratio").alias(f"{k}_ratio"), F.when((F.col("size") >= least) | F.lit(not by), F.col("q3") + spread * (F.col("q3") - F.col("q1"))).alias(k))
+def by_level(groups: DataFrame, sketched: DataFrame, value: Column, least: int, least_of_all: int) -> DataFrame:
+    """groups(lang, source, ratio) with value, of the quartiles of sketched, of the group, its language and the corpus as g, l, a: null for too few values."""
+    for k, by in {"g": ["lang", "source"], "l": ["lang"], "a": []}.items():
+        q = quartiles(sketched, by).select(*(F.col(b).alias(f"{k}_{b}") for b in by), F.col("ratio").alias(f"{k}_ratio"), F.when(F.col("size") >= (least if by else least_of_all), value).alias(k))
         on = groups["ratio"] == q[f"{k}_ratio"]
         for b in by:
             on &= groups[b].eqNullSafe(q[f"{k}_{b}"])
         groups = groups.join(q, on, "left").select(*groups.columns, k)
+    return groups
+
+
+def fences(stats: DataFrame, spread: int = SPREAD, least: int = LEAST) -> DataFrame:
+    """lang, source and the upper fence of each ratio: that of the group, its language or the corpus, the first with enough documents."""
+    fine = stored(sketch(stats, ["lang", "source"]), "quality-sketch")
+    groups = by_level(fine.select("lang", "source", "ratio").distinct(), fine, F.col("q3") + spread * (F.col("q3") - F.col("q1")), least, 0)
     fence = F.coalesce("g", "l", "a")
     return groups.groupBy("lang", "source").agg(*(F.max(F.when(F.col("ratio") == r, F.greatest(fence, F.lit(f)))).alias(f"fence_{r}") for r, f in FLOORS.items()))
 
 
-def judge(docs: DataFrame, spread: int = SPREAD, least: int = LEAST, keep: tuple[str, ...] = ("doc_id", "lang", "source")) -> DataFrame:
-    """keep, counts, fences, base_failed, kept for docs(text, keep); keep has lang and source."""
+def bounded_fences(stats: DataFrame, spread: int = SPREAD, least: int = ENOUGH) -> DataFrame:
+    """lang, source and the bounded fence of each ratio: that of the group, its language or the corpus, the first with enough values above 0; the floor if none has."""
+    upper = F.lit(0)
+    for r, (_, high) in BOUNDS.items():
+        upper = F.when(F.col("ratio") == r, high).otherwise(upper)
+    passed = stored(sketch(stats.filter(~base_rule()), ["lang", "source"]), "quality-passed")
+    counted = passed.filter((F.col("value") > 0) & (F.col("value") <= upper))
+    groups = by_level(passed.select("lang", "source", "ratio").distinct(), counted, F.col("q2") + spread * (F.col("q3") - F.col("q1")), least, least)
+    found = F.coalesce("g", "l", "a")
+    held = lambda r: F.when(found.isNull(), FLOORS[r]).otherwise(F.least(F.greatest(found, F.lit(BOUNDS[r][0])), F.lit(BOUNDS[r][1])))
+    return groups.groupBy("lang", "source").agg(*(F.max(F.when(F.col("ratio") == r, held(r))).alias(f"fence_{r}") for r in FLOORS))
+
+
+def judge(docs: DataFrame, spread: int = SPREAD, least: int = LEAST, keep: tuple[str, ...] = ("doc_id", "lang", "source"), bounded: bool = False) -> DataFrame:
+    """keep, counts, fences, base_failed, kept for docs(text, keep); keep has lang and source. bounded: with bounded fences, whatever spread and least are."""
     stats = stored(counts(docs, keep), "quality-counts")
-    limits = fences(stats, spread, least)
+    limits = bounded_fences(stats) if bounded else fences(stats, spread, least)
     on = stats["lang"].eqNullSafe(limits["lang"]) & stats["source"].eqNullSafe(limits["source"])
     # One row for each language and source; Spark broadcasts it below its own threshold of bytes and shuffles beyond.
     joined = stats.join(limits, on, "left").drop(limits["lang"]).drop(limits["source"])
-    base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    base = base_rule()
     over = F.lit(False)
     for r, v in ratios().items():
         over |= F.coalesce(v > F.col(f"fence_{r}"), F.lit(False))
