@@ -33,8 +33,9 @@ def schema(first: str, names) -> str:
     return ", ".join([f"{first} int", *(f"{x} binary" for x in names)])
 
 
-def rows(first: str, names, out: list[tuple]) -> pa.RecordBatch:
-    kinds = pa.schema([(first, pa.int32()), *((x, pa.binary()) for x in names)])
+def rows(first: str, names, out: list[tuple], **others: pa.DataType) -> pa.RecordBatch:
+    """A batch of a number, first, and blobs; others: columns that are no blobs."""
+    kinds = pa.schema([(first, pa.int32()), *((x, others.get(x, pa.binary())) for x in names)])
     return pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*out) if out else [[]] * len(kinds), kinds)], schema=kinds)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,8 +15,18 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it; a folder under /tmp only where it names none."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/tessella-shared").rstrip("/")
+    """The folder that driver and executors share, as the cluster names it. Only a session on one machine may leave it out: it gets one under /tmp."""
+    if at := spark.conf.get("spark.checkpoint.dir", None):
+        return at.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+    return "file:///tmp/tessella-shared"
+
+
+def release(spark: SparkSession) -> None:
+    """Has the driver drop what it no longer refers to, so that Spark deletes the shuffle files of jobs that are over."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -60,7 +60,7 @@ def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP4_SQL = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
-x AS (SELECT doc_id, i, hash(list_slice(w, i, i + 12)) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM w WHERE len(w) >= 13)),
+x AS (SELECT doc_id, i, md5(array_to_string(list_slice(w, i, i + 12), ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM w WHERE len(w) >= 13)),
 g AS (SELECT doc_id, i, doc_id > min(doc_id) OVER (PARTITION BY h) AS gone FROM x),
 p AS (SELECT doc_id, list(DISTINCT p) AS gone FROM (SELECT doc_id, unnest(range(i, i + 13)) AS p FROM g WHERE gone) GROUP BY doc_id),
 k AS (SELECT w.doc_id, len(w) AS n, coalesce(len(gone), 0) AS r, list_filter(w, lambda x, i: NOT list_contains(coalesce(gone, []), i)) AS kept FROM w LEFT JOIN p ON w.doc_id = p.doc_id)

@@ -6,12 +6,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from xxhash import xxh3_128_intdigest
 
 U = np.uint64
-#: Odd 64-bit constants: the base of byte sums, and those of windows (fixed values).
+#: Odd 64-bit constants (fixed values).
 BASE, FIRST, SECOND = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0xFF51AFD7ED558CCD)
 #: Bytes of text handled at once; a longer text is handled alone.
 BYTES = 1 << 20
+#: Bytes beyond which a word is hashed alone.
+LONG = 256
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -45,11 +48,36 @@ def parts(column: pa.Array):
         first = last
 
 
-def space_words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words between ASCII white space, in order, and how many each text has."""
+def masks() -> np.ndarray:
+    """Masks of the first 0 to 8 bytes of a little-endian number."""
+    return np.array([(1 << 8 * i) - 1 for i in range(9)], U)
+
+
+def hashed(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each string of data. Eight bytes at a time are mixed in, so that no algebra of positions makes strings collide."""
+    eight = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(8, np.uint8)]), 8)
+    mask, n = masks(), lengths.astype(U)
+    take = lambda at, left: np.ascontiguousarray(eight[at]).view(U).ravel() & mask[np.minimum(left, 8)]
+    x = take(starts, lengths)
+    h, g = mix(x ^ (n * FIRST)), mix(x * SECOND + n)
+    rest = np.flatnonzero(lengths > 8)
+    for i in rest[lengths[rest] > LONG].tolist():
+        both = xxh3_128_intdigest(data[starts[i] : starts[i] + lengths[i]])
+        h[i], g[i] = both & ((1 << 64) - 1), both >> 64
+    rest, at = rest[lengths[rest] <= LONG], 8
+    while len(rest):
+        x = take(starts[rest] + at, lengths[rest] - at)
+        h[rest], g[rest] = mix(h[rest] ^ x), mix(g[rest] + x * SECOND)
+        at += 8
+        rest = rest[lengths[rest] > at]
+    return h, g
+
+
+def space_words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two hashes of each word between ASCII white space, in order, and how many words each text has."""
     n = len(data)
     if not n:
-        return np.zeros(0, U), np.zeros(len(offsets) - 1, np.int64)
+        return np.zeros(0, U), np.zeros(0, U), np.zeros(len(offsets) - 1, np.int64)
     if lower:
         data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
     inside = np.ones(n + 1, bool)
@@ -60,16 +88,12 @@ def space_words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> t
     edge[offsets] = True
     starts = np.flatnonzero(inside & (~before | edge))
     ends = np.flatnonzero(before & (~inside | edge))
-    value, power, inverse = tables(max(BYTES + (1 << 20), 1 << (n + 1).bit_length()) if n >= BYTES + (1 << 20) else BYTES + (1 << 20))
-    sums = np.zeros(n + 1, U)
-    np.cumsum(value[data] * power[:n], out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(U))
-    return hashes, np.diff(np.searchsorted(starts, offsets))
+    return *hashed(data, starts, ends - starts), np.diff(np.searchsorted(starts, offsets))
 
 
-def windows(hashes: np.ndarray, per_text: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """h1, h2 (64 bits each), the text's number and the place of the first word, for each window of size words within a text."""
-    m = len(hashes) - size + 1
+def windows(h: np.ndarray, g: np.ndarray, per_text: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """h1, h2 (64 bits each, of either hash of the words), the text's number and the place of the first word, for each window of size words within a text."""
+    m = len(h) - size + 1
     none = np.zeros(0, U)
     if m <= 0:
         return none, none, np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -77,10 +101,11 @@ def windows(hashes: np.ndarray, per_text: np.ndarray, size: int) -> tuple[np.nda
     end = np.cumsum(per_text)
     index = np.arange(m)
     whole = index + size <= end[text[:m]]
+    # an odd factor for each place, without relation between places
+    factors = mix(np.arange(1, 2 * size + 1, dtype=U) * FIRST) | U(1)
     a, b = np.zeros(m, U), np.zeros(m, U)
     for k in range(size):
-        w = hashes[k : k + m]
-        a += w * U(pow(int(FIRST), k + 1, 1 << 64))
-        b += (w ^ (w >> U(32))) * U(pow(int(SECOND), k + 1, 1 << 64))
+        a += h[k : k + m] * factors[k]
+        b += g[k : k + m] * factors[size + k]
     at = index - (end - per_text)[text[:m]]
     return mix(a)[whole], mix(b)[whole], text[:m][whole], at[whole]

@@ -148,7 +148,7 @@ def test_suffixes_of_nothing(spark):
 def kept(rows, size):
     first = {}
     words = [space_words(r[1]) for r in rows]
-    ids = [2**63 - 1 if r[0] is None else r[0] for r in rows]
+    ids = [2**63 if r[0] is None else r[0] for r in rows]
     for k, w in zip(ids, words):
         for i in range(len(w) - size + 1):
             x = tuple(w[i : i + size])
@@ -161,27 +161,66 @@ def kept(rows, size):
         yield len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone)
 
 
-@pytest.mark.parametrize(("size", "cells"), [(13, 1 << 30), (13, 1 << 11), (3, 1 << 30)])
+def removed(df):
+    return Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in df.collect())
+
+
+@pytest.mark.parametrize(("size", "cells"), [(13, 4), (13, 0.01), (3, 4)])
 def test_substrings(spark, rows, docs, size, cells):
+    """With a hundredth of a cell for each window nearly all pass the sketch, and the exact pass decides."""
     expected = Counter((r[0], *x) for r, x in zip(rows, kept(rows, size)))
-    got = substrings.dedup(docs, size, cells).collect()
-    assert Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in got) == expected
+    assert removed(substrings.dedup(docs, size, cells)) == expected
 
 
 def test_substrings_of_nothing(spark):
     assert substrings.dedup(empty(spark)).count() == 0
 
 
+def test_substrings_of_any_ids_and_words(spark):
+    """The largest id, the smallest, none; a window in every document; long words; words that collide under sums of powers."""
+    a, b = "ab", "ba"
+    for _ in range(9):
+        a, b = a + b, b + a  # Thue-Morse words of 1024 letters
+    common = " ".join(f"c{i}" for i in range(13))
+    twelve = " ".join(f"t{i}" for i in range(12))
+    texts = [(2**63 - 1, f"{common} {twelve} {a}"), (None, f"{twelve} {b} {common}"), (-(2**63), f"{common} x"), (0, twelve + " " + a[:-1] + "c"), (5, "y" * 300 + " " + common + " " + "y" * 299 + "z"), (2**63 - 1, f"{twelve} {a}")]
+    texts += [(100 + i, f"own{i} {common} words{i}") for i in range(40)]
+    df = spark.createDataFrame([(i, t, *([None] * 5)) for i, t in texts], SCHEMA).repartition(3)
+    assert removed(substrings.dedup(df)) == Counter((i, *x) for (i, _), x in zip(texts, kept(texts, 13)))
+
+
+def test_word_hashes():
+    """Hashes of words of all lengths are apart, in both halves, however the words end."""
+    from tessella.llm import words
+
+    own = sorted({w for n in range(1, 600) for w in (b"a" * n, b"a" * (n - 1) + b"b", b"b" + b"a" * (n - 1), b"\0" * n)})
+    data = np.frombuffer(b" ".join(own), np.uint8)
+    for h in words.space_words(data, np.array([0, len(data)]))[:2]:
+        assert len(np.unique(h)) == len(own)
+
+
+def test_one_entry_for_each_group(spark):
+    """Copies of one window don't meet in a slice: each group of texts sends it once."""
+    from tessella.llm.blobs import unpacked
+
+    df = spark.range(3000).selectExpr("id as doc_id", "concat_ws(' ', transform(sequence(1, 13), x -> concat('w', x))) as text")
+    own, labels, _ = substrings.shelved(df, F.col("text"))
+    seen = substrings.estimated(own, 13, 4, 1 << 12).collect()
+    assert len(seen) <= labels and all((r["n0"], r["n1"]) == (1, 1) for r in seen)
+    told = substrings.exactly(own, spark.createDataFrame(seen, "slice int, label int, n0 int, b0 binary, n1 int, b1 binary"), 13, 4, 1 << 12).filter("slice >= 0").collect()
+    assert len(told) <= labels and {r["n"] for r in told} == {1} and len(unpacked(bytes(told[0]["bits"]), np.uint8)) == 1
+
+
 def test_words_beyond_a_part():
     """Hashes do not depend on what else is in the part."""
     from tessella.llm import words
 
     one = "alpha beta\tgamma  delta".encode()
     data = np.frombuffer(one + b"beta" + one, np.uint8)
-    h, per = words.space_words(data, np.array([0, len(one), len(one) + 4, len(data)]))
+    h, _, per = words.space_words(data, np.array([0, len(one), len(one) + 4, len(data)]))
     assert per.tolist() == [4, 1, 4] and h[0] == h[5] and h[1] == h[4] == h[6] and len(set(h.tolist())) == 4
     big = np.frombuffer(b"ab cd " * 400_000, np.uint8)
-    h, per = words.space_words(big, np.array([0, len(big)]))
+    h, _, per = words.space_words(big, np.array([0, len(big)]))
     assert per.tolist() == [800_000] and len(set(h.tolist())) == 2
 
 
