@@ -2,15 +2,17 @@
 
 A text's k-grams of words are hashed, and each window of ten words selects the least hash among its k-grams. Windows with the same
 words select the same hash, so every shared window is found by joining the selected hashes of documents and benchmark: no span
-of ten words is missed. Neighbouring windows mostly select the same hash; a document contributes one row for each run of them. A hit is extended to
-the windows of its run, and those are joined with the benchmark's windows word for word. Items of fewer than ten words
-are one window, hashed whole, and documents are hashed at the few lengths that such items have.
+of ten words is missed. Only hashes and places are joined. The windows at the places of hits are then taken from the texts of the documents
+that have any, and joined with the benchmark's windows word for word. Items of fewer than ten words are one window, hashed whole, and documents
+are hashed at the few lengths that such items have.
 
 The benchmark's hashes are broadcast while their counted bytes are within a bound. Beyond it they are joined by a shuffle, first to
-find the documents with any hit, so that texts never ride along with hashes through a shuffle.
+find the documents with any hit. Windows that the same items have are a class, and a document's windows are reduced to its distinct classes before these are
+joined with items, so a window that many items and very many documents share makes one row for each of them, not for each pair.
 
-Defined cases: null texts have no words; a benchmark item without words has no window; an empty benchmark contaminates nothing;
-repeated rows all get their row, and documents of one id but different texts are judged apart; other columns are ignored.
+Defined cases: null and empty texts have no words; texts of any length are read whole, and a row is never repeated with its text; a benchmark item without
+words has no window, items with the same words all count; an empty benchmark contaminates nothing; repeated rows all get their row, and documents of
+one id but different texts are judged apart; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, let, stored
+from .common import ascii_lower, few, let, stored
 
 #: Words of a window and of a k-gram. The bytes up to which the benchmark's hashes are broadcast.
 WINDOW, K, BROADCAST_BYTES = 10, 5, 32 << 20
@@ -27,7 +29,13 @@ APART = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 def item_words(text: Column) -> Column:
     """The words [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ of text after A-Z are lower-cased."""
-    return F.filter(F.split(ascii_lower(F.coalesce(text, F.lit(""))), APART), lambda w: w != "")
+
+    def inner(w):  # only the first and the last piece can be empty
+        first = F.when(F.get(w, F.lit(0)) == "", 1).otherwise(0)
+        last = F.when((F.size(w) > 1) & (F.get(w, F.size(w) - 1) == ""), 1).otherwise(0)
+        return F.slice(w, first + 1, F.size(w) - first - last)
+
+    return let(F.split(ascii_lower(F.coalesce(text, F.lit(""))), APART), inner)
 
 
 def upto(first: int, last: Column) -> Column:
@@ -36,22 +44,19 @@ def upto(first: int, last: Column) -> Column:
 
 
 def selected(words: Column) -> Column:
-    """The hash that each window of ten words selects."""
-    grams = F.transform(upto(1, F.size(words) - (K - 1)), lambda i: F.xxhash64(F.slice(words, i, K)))
-    return let(grams, lambda g: F.transform(upto(1, F.size(words) - (WINDOW - 1)), lambda i: F.array_min(F.slice(g, i, WINDOW - K + 1))))
-
-
-def runs(words: Column, shorter: list[int]) -> Column:
-    """m, at, to, n: runs of windows of n words from word at on, up to but not including to, that select the hash m."""
+    """The hash that each window of ten words selects. Places are read one by one: slices of arrays would be copied for each word."""
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    grams = lambda h: F.transform(upto(0, F.size(h) - K), lambda i: F.xxhash64(*(F.get(h, i + k) for k in range(K))))
+    least = lambda g: F.transform(upto(0, F.size(g) - (WINDOW - K + 1)), lambda i: F.least(*(F.get(g, i + k) for k in range(WINDOW - K + 1))))
+    return let(let(hashes, grams), least)
 
-    def of(m: Column) -> Column:
-        starts = F.filter(upto(1, F.size(m)), lambda i: (i == 1) | (F.get(m, i - 1) != F.get(m, i - 2)))
-        return let(starts, lambda s: F.transform(s, lambda i, k: F.struct(F.get(m, i - 1).alias("m"), i.alias("at"), F.coalesce(F.get(s, k + 1), F.size(m) + 1).alias("to"), F.lit(WINDOW).alias("n"))))
 
-    def short(n: int) -> Column:
-        return F.transform(upto(1, F.size(words) - (n - 1)), lambda i: F.struct(F.xxhash64(F.slice(words, i, n)).alias("m"), i.alias("at"), (i + 1).alias("to"), F.lit(n).alias("n")))
-
-    return F.concat(let(selected(words), of), *map(short, shorter))
+def places(words: Column, shorter: list[int]) -> Column:
+    """m, at, n: the hash m that each window of n words from word at on selects; windows of shorter lengths are hashed whole."""
+    struct = lambda m, at, n: F.struct(m.alias("m"), at.cast("int").alias("at"), F.lit(n).alias("n"))
+    long = F.transform(selected(words), lambda m, i: struct(m, i + 1, WINDOW))
+    short = lambda n: F.transform(upto(1, F.size(words) - (n - 1)), lambda i: struct(F.xxhash64(F.slice(words, i, n)), i, n))
+    return F.concat(long, *map(short, shorter))
 
 
 def windows(items: DataFrame) -> DataFrame:
@@ -62,34 +67,59 @@ def windows(items: DataFrame) -> DataFrame:
     return long.unionAll(cut.filter(F.size("w") < WINDOW).select("item_id", F.xxhash64("w").alias("m"), F.size("w").alias("n"), F.array_join("w", " ").alias("win"))).distinct()
 
 
-def hits(docs: DataFrame, bench: DataFrame, keys: tuple[str, ...] = ("doc_id", "v")) -> DataFrame:
-    """keys, at, n, win: the windows of bench that occur in docs(keys, w), with the place of the first word."""
-    marks = bench.select("m").distinct()
-    facts = bench.agg(F.count("*").alias("windows"), F.collect_set(F.when(F.col("n") < WINDOW, F.col("n"))).alias("shorter"), F.sum(F.octet_length("win") + 64).alias("bytes")).first()
-    run = runs(F.col("w"), sorted(facts["shorter"]))
+def matches(docs: DataFrame, keys: tuple[str, ...]) -> Column:
+    on = F.lit(True)
+    for k in keys:
+        on &= F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return on
+
+
+def hits(docs: DataFrame, bench: DataFrame) -> DataFrame:
+    """doc_id, v, at, n, win: the windows of bench that occur in docs(doc_id, v, text), with the place of the first word."""
+    keys, renamed = ("doc_id", "v"), {"doc_id": "_doc_id", "v": "_v"}
+    marks = bench.select("m", "n").distinct()
+    facts = bench.agg(F.collect_set(F.when(F.col("n") < WINDOW, F.col("n"))).alias("shorter"), F.sum(F.octet_length("win") + 64).alias("bytes")).first()
+    shorter, words = sorted(facts["shorter"]), item_words(F.col("text"))
     small = (facts["bytes"] or 0) <= BROADCAST_BYTES
-    few = F.broadcast if small else lambda d: d
-    if not small:  # find the documents first, without their words
-        ids = docs.select(*keys, F.explode(F.array_distinct(F.transform(run, lambda r: r["m"]))).alias("m")).join(marks, "m", "left_semi").select(*keys).distinct()
-        on = F.lit(True)
-        for k in keys:
-            on &= docs[k].eqNullSafe(ids[k])
-        docs = docs.join(ids, on, "left_semi")
-    rows = docs.select(*keys, "w", F.explode(run).alias("r")).select(*keys, "w", "r.*").join(few(marks), "m", "left_semi")
-    # extend each hit to all windows of its run
-    every = rows.select(*keys, "m", "n", "w", F.explode(F.sequence("at", F.col("to") - 1)).alias("at"))
-    every = every.select(*keys, "m", "n", "at", F.array_join(F.slice("w", F.col("at"), F.col("n")), " ").alias("win"))
-    return every.join(few(bench.select("m", "n", "win").distinct()), ["m", "n", "win"], "left_semi").select(*keys, "at", "n", "win").distinct()
+    near = F.broadcast if small else lambda d: d
+    if not small:  # find the documents first: of their windows' hashes the distinct ones are far fewer
+        distinct = F.array_distinct(F.transform(places(F.col("w"), shorter), lambda p: p["m"]))
+        ids = stored(docs.select(*keys, words.alias("w")).select(*keys, F.explode(distinct).alias("m")).join(marks.select("m").distinct(), "m", "left_semi").select(*keys).distinct(), "possible")
+        docs = docs.join(few(ids.withColumnsRenamed(renamed), 32), matches(docs, keys), "left_semi")
+    cut = docs.select(*keys, words.alias("w"))  # a column of its own: lambdas that name the expression would compute it anew for every word
+    if shorter:
+        each = cut.select(*keys, F.inline(places(F.col("w"), shorter)))
+    else:
+        each = cut.select(*keys, F.posexplode(selected(F.col("w"))).alias("at", "m")).select(*keys, "m", (F.col("at") + 1).alias("at"), F.lit(WINDOW).alias("n"))
+    met = each.join(near(marks), ["m", "n"], "left_semi").groupBy(*keys).agg(F.collect_set(F.struct("at", "n")).alias("places"))
+    met = stored(met, "possible-places")
+    bytes_ = met.agg(F.sum(F.size("places") * 16 + 32)).first()[0] or 0
+    met = met.withColumnsRenamed(renamed)
+    with_text = docs.join(F.broadcast(met) if bytes_ <= BROADCAST_BYTES else met, matches(docs, keys)).select(*keys, "places", words.alias("w"))
+    window = lambda p: F.struct(p["at"].alias("at"), p["n"].alias("n"), F.array_join(F.slice("w", p["at"], p["n"]), " ").alias("win"))
+    every = with_text.select(*keys, F.inline(F.transform("places", window)))
+    return every.join(near(bench.select("n", "win").distinct()), ["n", "win"], "left_semi").select(*keys, "at", "n", "win").distinct()
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, v (a hash of the text, with which doc_id names a text even where ids repeat), text."""
+    return docs.select("doc_id", F.xxhash64("text").alias("v"), "text")
+
+
+def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """doc_id, v of docs(doc_id, text) in which a window of items occurs."""
+    return hits(keyed(docs), stored(windows(items), "benchmark-windows")).select("doc_id", "v").distinct()
 
 
 def find(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id, v, n_words, n_hit, spans (array of at, to: maximal hit runs of words), items (sorted ids as strings) for every row of docs(doc_id, text).
-
-    v is a hash of the text, with which doc_id names a text even where ids repeat."""
+    """doc_id, v, n_words, n_hit, spans (array of at, to: maximal hit runs of words), items (sorted ids as strings) for every row of docs(doc_id, text)."""
     bench = stored(windows(items), "benchmark-windows")
-    keyed = docs.select("doc_id", F.xxhash64("text").alias("v"), item_words(F.col("text")).alias("w"))
-    found = stored(hits(keyed, bench), "contamination")
-    named = found.select("doc_id", "v", "win").distinct().join(bench.select("item_id", "win"), "win").groupBy("doc_id", "v").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
+    own = keyed(docs)
+    # windows with the same items are a class
+    classed = stored(bench.groupBy("win").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items")).withColumn("class", F.xxhash64("items")), "benchmark-classes")
+    found = stored(hits(own, bench).join(classed.select("win", "class"), "win").drop("win"), "contamination")
+    listed = classed.groupBy("class").agg(F.first("items").alias("items"))
+    named = found.select("doc_id", "v", "class").distinct().join(listed, "class").groupBy("doc_id", "v").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     first = F.array().cast("array<struct<at:int,to:int>>")
 
     def step(spans, x):
@@ -98,10 +128,10 @@ def find(docs: DataFrame, items: DataFrame) -> DataFrame:
         return F.when(F.coalesce(x["at"] <= last["to"], F.lit(False)), grown).otherwise(F.concat(spans, F.array(x)))
 
     spans = found.groupBy("doc_id", "v").agg(F.sort_array(F.collect_set(F.struct("at", (F.col("at") + F.col("n")).alias("to")))).alias("s")).select("doc_id", "v", F.aggregate("s", first, step).alias("spans"))
-    out = keyed.select("doc_id", "v", F.size("w").cast("long").alias("n_words"))
+    out = own.select("doc_id", "v", F.size(item_words(F.col("text"))).cast("long").alias("n_words"))
     for more in (spans, named):
-        more = more.withColumnsRenamed({"doc_id": "d", "v": "u"})
-        out = out.join(more, out["doc_id"].eqNullSafe(more["d"]) & (out["v"] == more["u"]), "left").drop("d", "u")
+        more = more.withColumnsRenamed({"doc_id": "_doc_id", "v": "_v"})
+        out = out.join(more, matches(out, ("doc_id", "v")), "left").drop("_doc_id", "_v")
     none = F.array().cast("array<string>")
     covered = F.aggregate("spans", F.lit(0), lambda a, s: a + s["to"] - s["at"])
     return out.select("doc_id", "v", "n_words", F.coalesce(covered, F.lit(0)).cast("long").alias("n_hit"), F.coalesce("spans", first).alias("spans"), F.coalesce("items", none).alias("items"))
