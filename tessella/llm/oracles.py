@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .quality import FLOORS, LEAST, SPREAD
+from .quality import BOUNDS, ENOUGH, SPREAD, UNTOLD
 from .secrets import BASE, RULES
 
 SPACE_WORDS = r"regexp_extract_all(coalesce({0}, ''), '[^\x20\x09-\x0D]+')"
@@ -24,23 +24,30 @@ _levels = {"g": "lang, source", "l": "lang", "a": ""}
 
 def _quartiles(name: str, by: str) -> str:
     keys, over = (f"{by}, " if by else ""), f"PARTITION BY {by + ', ' if by else ''}ratio"
-    return f"""{name} AS (SELECT {keys}ratio, any_value(size) AS size, min(value) FILTER (upto * 4 >= size) AS q1, min(value) FILTER (upto * 4 >= size * 3) AS q3
-  FROM (SELECT {keys}ratio, value, count(*) OVER ({over} ORDER BY value RANGE UNBOUNDED PRECEDING) AS upto, count(*) OVER ({over}) AS size FROM v) GROUP BY {keys}ratio)"""
+    return f"""{name} AS (SELECT {keys}ratio, CASE WHEN any_value(size) >= {ENOUGH} THEN min(value) FILTER (upto * 4 >= size * 2) + {SPREAD} * (min(value) FILTER (upto * 4 >= size * 3) - min(value) FILTER (upto * 4 >= size)) END AS fence
+  FROM (SELECT {keys}ratio, value, count(*) OVER ({over} ORDER BY value RANGE UNBOUNDED PRECEDING) AS upto, count(*) OVER ({over}) AS size FROM u) GROUP BY {keys}ratio)"""
 
 
+def _by_ratio(values: dict) -> str:
+    return f"CASE v.ratio {' '.join(f"WHEN '{k}' THEN {x}" for k, x in values.items())} END"
+
+
+_found = "coalesce(g.fence, l.fence, a.fence)"
+_fence = f"CASE WHEN {_found} IS NULL THEN {_by_ratio(UNTOLD)} ELSE least(greatest({_found}, {_by_ratio({k: x[0] for k, x in BOUNDS.items()})}), {_by_ratio({k: x[1] for k, x in BOUNDS.items()})}) END"
+
 OP6 = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS t, {SPACE_WORDS.format('text')} AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
 x AS (SELECT r, i, count(*) OVER (PARTITION BY r, win) > 1 AS twice FROM (SELECT r, i, list_slice(w, i, i + 7) AS win FROM (SELECT r, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8))),
 p AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 8)) AS p FROM x WHERE twice) GROUP BY r),
 c AS (SELECT d.r, doc_id, lang, source, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
   (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words, CASE WHEN contains(t, chr(10)) THEN len(l) ELSE 1 END AS n_lines FROM d LEFT JOIN p ON d.r = p.r),
-m AS (SELECT *, {_ratio.format('n_symbols', 'word_chars')} AS symbols, {_ratio.format('n_dup_lines', 'n_lines')} AS dup_lines, {_ratio.format('n_repeat_words', 'n_words')} AS repeats FROM c),
-v AS (SELECT r, lang, source, unnest(['symbols', 'dup_lines', 'repeats']) AS ratio, unnest([symbols, dup_lines, repeats]) AS value FROM m),
+m AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, {_ratio.format('n_symbols', 'word_chars')} AS symbols, {_ratio.format('n_dup_lines', 'n_lines')} AS dup_lines, {_ratio.format('n_repeat_words', 'n_words')} AS repeats FROM c),
+v AS (SELECT r, lang, source, unnest(['symbols', 'dup_lines', 'repeats']) AS ratio, unnest([symbols, dup_lines, repeats]) AS value FROM m WHERE NOT base_failed),
+u AS (SELECT * FROM v WHERE value > 0 AND value <= {_by_ratio({k: x[1] for k, x in BOUNDS.items()})}),
 {', '.join(_quartiles(k, by) for k, by in _levels.items())},
-o AS (SELECT v.r, bool_or(value > greatest(CASE v.ratio {' '.join(f"WHEN '{k}' THEN {f}" for k, f in FLOORS.items())} END,
-    CASE WHEN g.size >= {LEAST} THEN g.q3 + {SPREAD} * (g.q3 - g.q1) WHEN l.size >= {LEAST} THEN l.q3 + {SPREAD} * (l.q3 - l.q1) ELSE a.q3 + {SPREAD} * (a.q3 - a.q1) END)) AS out
-  FROM v JOIN g ON v.ratio = g.ratio AND v.lang IS NOT DISTINCT FROM g.lang AND v.source IS NOT DISTINCT FROM g.source JOIN l ON v.ratio = l.ratio AND v.lang IS NOT DISTINCT FROM l.lang JOIN a ON v.ratio = a.ratio GROUP BY v.r)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR out) AS kept FROM m JOIN o ON m.r = o.r
+o AS (SELECT v.r, bool_or(value > {_fence}) AS out
+  FROM v LEFT JOIN g ON v.ratio = g.ratio AND v.lang IS NOT DISTINCT FROM g.lang AND v.source IS NOT DISTINCT FROM g.source LEFT JOIN l ON v.ratio = l.ratio AND v.lang IS NOT DISTINCT FROM l.lang LEFT JOIN a ON v.ratio = a.ratio GROUP BY v.r)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(out, false) AS kept FROM m LEFT JOIN o ON m.r = o.r
 """
 
 

@@ -2,17 +2,14 @@
 
 Counts are taken of every whole text by built-in functions. The method then adapts to the corpus: each ratio is an integer number of
 thousandths, and a histogram sketch of it is kept per language and source. Sketches merge by adding counts, so partial ones are
-combined before the shuffle, the order of merging doesn't matter, and the rank error is none at the resolution of a thousandth. From
-the quartiles of its group each ratio gets an upper fence, never below a floor under which a value is ordinary in any group; groups
-with fewer documents than least take the fences of their language, and small languages those of the whole corpus. The fences, at most one row for
-each language and source, are joined with the counts and decide.
-
-These fences are op6_quality's contract; where most values are 0 they stay at their floors. The pipeline takes bounded fences: the median
-of the group's values above 0, of documents that pass the base, plus SPREAD times the distance between their quartiles, within BOUNDS on both sides. Values beyond the upper
-bound don't count, so bad documents, however many, can't lift a fence; without ENOUGH values even in the corpus the floor holds.
-
-Defined cases: a null text has no words and fails the base; a null language or source is a group of its own; ratios of a text without
-words are 0; repeated rows all get their row; an empty table gives no rows; other columns are ignored.
+combined before the shuffle, the order of merging doesn't matter, and the rank error is none at the resolution of a thousandth. The fence of a
+ratio is the median of its group's values above 0, of documents that pass the base, plus SPREAD times the distance between their quartiles, within BOUNDS on
+both sides: it rises and falls with what is ordinary in the group. Values beyond the upper bound don't count, so bad documents, however many, can't
+lift a fence. Groups with fewer than ENOUGH values take the fence of their language, small languages that of the corpus, and where even the corpus has too
+few the ratio is UNTOLD. The fences, at most one row for each language and source, are joined with the counts and decide.
+
+Defined cases: a null or empty text has no words and fails the base; texts of any length are counted whole; a null language or source is a group of its own; ratios of a
+text without words are 0, and a ratio that equals its fence is kept; repeated rows all count and all get their row; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,12 +20,11 @@ from pyspark.sql import functions as F
 from .common import SPACE, let, space_words, stored
 
 WINDOW = 8
-#: For each ratio: the floor of its fence, in thousandths.
-FLOORS = {"symbols": 40, "dup_lines": 350, "repeats": 300}
-#: Times the distance between quartiles that a fence is above the third one; documents that a group needs for fences of its own.
-SPREAD, LEAST = 3, 200
-#: For each ratio: the bounds of a bounded fence, half and twice its floor; from 300 thousandths of repeats on the base decides. Values that a group needs.
-BOUNDS, ENOUGH = {"symbols": (20, 80), "dup_lines": (175, 700), "repeats": (150, 300)}, 50
+#: For each ratio, in thousandths: the bounds of its fence (from 300 of repeats on the base decides), and the fence where too few values tell.
+BOUNDS = {"symbols": (20, 80), "dup_lines": (175, 700), "repeats": (150, 300)}
+UNTOLD = {"symbols": 40, "dup_lines": 350, "repeats": 300}
+#: Times the distance between quartiles that a fence is above the median; values that a group needs.
+SPREAD, ENOUGH = 3, 50
 
 
 def repeated_words(words: Column, window: int = WINDOW) -> Column:
@@ -45,8 +41,10 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
         step = lambda a, i: F.struct((i + window).alias("end"), (a["n"] + i + window - F.greatest(i, a["end"])).alias("n"))
         return F.aggregate(let(order, starts), first, step)["n"]
 
-    hashes = F.transform(F.sequence(F.lit(1), F.size(words) - (window - 1)), lambda i: F.xxhash64(F.slice(words, i, window)))
-    counted = let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(covered(h)))
+    # places are read one by one: slices of arrays would be copied for each word
+    each = F.transform(words, lambda w: F.xxhash64(w))
+    hashes = lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - window), lambda i: F.xxhash64(*(F.get(h, i + k) for k in range(window))))
+    counted = let(let(each, hashes), lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(covered(h)))
     return F.when(F.size(words) < window, 0).otherwise(counted).cast("long")
 
 
@@ -91,10 +89,10 @@ def quartiles(sketched: DataFrame, by: list[str]) -> DataFrame:
     return ranked.groupBy(*by, "ratio").agg(F.first("size").alias("size"), *(F.min(F.when(F.col("upto") * 4 >= F.col("size") * k, F.col("value"))).alias(f"q{k}") for k in (1, 2, 3)))
 
 
-def by_level(groups: DataFrame, sketched: DataFrame, value: Column, least: int, least_of_all: int) -> DataFrame:
+def by_level(groups: DataFrame, sketched: DataFrame, value: Column, least: int) -> DataFrame:
     """groups(lang, source, ratio) with value, of the quartiles of sketched, of the group, its language and the corpus as g, l, a: null for too few values."""
     for k, by in {"g": ["lang", "source"], "l": ["lang"], "a": []}.items():
-        q = quartiles(sketched, by).select(*(F.col(b).alias(f"{k}_{b}") for b in by), F.col("ratio").alias(f"{k}_ratio"), F.when(F.col("size") >= (least if by else least_of_all), value).alias(k))
+        q = quartiles(sketched, by).select(*(F.col(b).alias(f"{k}_{b}") for b in by), F.col("ratio").alias(f"{k}_ratio"), F.when(F.col("size") >= least, value).alias(k))
         on = groups["ratio"] == q[f"{k}_ratio"]
         for b in by:
             on &= groups[b].eqNullSafe(q[f"{k}_{b}"])
@@ -102,31 +100,23 @@ def by_level(groups: DataFrame, sketched: DataFrame, value: Column, least: int,
     return groups
 
 
-def fences(stats: DataFrame, spread: int = SPREAD, least: int = LEAST) -> DataFrame:
-    """lang, source and the upper fence of each ratio: that of the group, its language or the corpus, the first with enough documents."""
-    fine = stored(sketch(stats, ["lang", "source"]), "quality-sketch")
-    groups = by_level(fine.select("lang", "source", "ratio").distinct(), fine, F.col("q3") + spread * (F.col("q3") - F.col("q1")), least, 0)
-    fence = F.coalesce("g", "l", "a")
-    return groups.groupBy("lang", "source").agg(*(F.max(F.when(F.col("ratio") == r, F.greatest(fence, F.lit(f)))).alias(f"fence_{r}") for r, f in FLOORS.items()))
-
-
-def bounded_fences(stats: DataFrame, spread: int = SPREAD, least: int = ENOUGH) -> DataFrame:
-    """lang, source and the bounded fence of each ratio: that of the group, its language or the corpus, the first with enough values above 0; the floor if none has."""
+def fences(stats: DataFrame, spread: int = SPREAD, least: int = ENOUGH) -> DataFrame:
+    """lang, source and the fence of each ratio: that of the group, its language or the corpus, the first with enough values above 0."""
     upper = F.lit(0)
     for r, (_, high) in BOUNDS.items():
         upper = F.when(F.col("ratio") == r, high).otherwise(upper)
-    passed = stored(sketch(stats.filter(~base_rule()), ["lang", "source"]), "quality-passed")
+    passed = stored(sketch(stats.filter(~base_rule()), ["lang", "source"]), "quality-sketch")
     counted = passed.filter((F.col("value") > 0) & (F.col("value") <= upper))
-    groups = by_level(passed.select("lang", "source", "ratio").distinct(), counted, F.col("q2") + spread * (F.col("q3") - F.col("q1")), least, least)
+    groups = by_level(passed.select("lang", "source", "ratio").distinct(), counted, F.col("q2") + spread * (F.col("q3") - F.col("q1")), least)
     found = F.coalesce("g", "l", "a")
-    held = lambda r: F.when(found.isNull(), FLOORS[r]).otherwise(F.least(F.greatest(found, F.lit(BOUNDS[r][0])), F.lit(BOUNDS[r][1])))
-    return groups.groupBy("lang", "source").agg(*(F.max(F.when(F.col("ratio") == r, held(r))).alias(f"fence_{r}") for r in FLOORS))
+    held = lambda r: F.when(found.isNull(), UNTOLD[r]).otherwise(F.least(F.greatest(found, F.lit(BOUNDS[r][0])), F.lit(BOUNDS[r][1])))
+    return groups.groupBy("lang", "source").agg(*(F.max(F.when(F.col("ratio") == r, held(r))).alias(f"fence_{r}") for r in BOUNDS))
 
 
-def judge(docs: DataFrame, spread: int = SPREAD, least: int = LEAST, keep: tuple[str, ...] = ("doc_id", "lang", "source"), bounded: bool = False) -> DataFrame:
-    """keep, counts, fences, base_failed, kept for docs(text, keep); keep has lang and source. bounded: with bounded fences, whatever spread and least are."""
+def judge(docs: DataFrame, spread: int = SPREAD, least: int = ENOUGH, keep: tuple[str, ...] = ("doc_id", "lang", "source")) -> DataFrame:
+    """keep, counts, fences (null for groups of which no document passes the base), base_failed, kept for docs(text, keep); keep has lang and source."""
     stats = stored(counts(docs, keep), "quality-counts")
-    limits = bounded_fences(stats) if bounded else fences(stats, spread, least)
+    limits = fences(stats, spread, least)
     on = stats["lang"].eqNullSafe(limits["lang"]) & stats["source"].eqNullSafe(limits["source"])
     # One row for each language and source; Spark broadcasts it below its own threshold of bytes and shuffles beyond.
     joined = stats.join(limits, on, "left").drop(limits["lang"]).drop(limits["source"])
@@ -134,4 +124,4 @@ def judge(docs: DataFrame, spread: int = SPREAD, least: int = LEAST, keep: tuple
     over = F.lit(False)
     for r, v in ratios().items():
         over |= F.coalesce(v > F.col(f"fence_{r}"), F.lit(False))
-    return joined.select(*stats.columns, *(F.col(f"fence_{r}") for r in FLOORS), base.alias("base_failed"), (~base & ~over).alias("kept"))
+    return joined.select(*stats.columns, *(F.col(f"fence_{r}") for r in BOUNDS), base.alias("base_failed"), (~base & ~over).alias("kept"))

@@ -79,28 +79,39 @@ def test_quality(spark, rows, docs):
     got = quality.judge(docs, least=5).collect()
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     assert Counter((r["doc_id"], *(r[x] for x in names)) for r in got) == Counter((r[0], *quality_counts(r[1])) for r in rows)
-    groups = defaultdict(list)
-    for r in got:
+    groups, shares = defaultdict(list), {}
+    for i, r in enumerate(got):
         assert r["base_failed"] == (r["n_words"] < 20 or 100 * r["n_repeat_words"] > 30 * r["n_words"])
         share = {"symbols": 1000 * r["n_symbols"] // max(1, r["word_chars"]), "dup_lines": 1000 * r["n_dup_lines"] // max(1, r["n_lines"]), "repeats": 1000 * r["n_repeat_words"] // max(1, r["n_words"])}
-        share = {k: min(1000, v) for k, v in share.items()}
-        assert r["kept"] == (not r["base_failed"] and all(v <= r[f"fence_{k}"] for k, v in share.items()))
+        shares[i] = {k: min(1000, v) for k, v in share.items()}
         for by in ((r["lang"], r["source"]), (r["lang"],), ()):
-            groups[by].append(share)
+            if not r["base_failed"]:
+                groups[by].append(shares[i])
 
     def fence(r, k):
         for by in ((r["lang"], r["source"]), (r["lang"],), ()):
-            v = sorted(s[k] for s in groups[by])
-            if len(v) >= 5 or not by:
-                q1, q3 = (v[math.ceil(len(v) * q / 4) - 1] for q in (1, 3))
-                return max(quality.FLOORS[k], q3 + quality.SPREAD * (q3 - q1))
-
-    for r in got:
-        for k in quality.FLOORS:
-            assert r[f"fence_{k}"] == fence(r, k)
+            v = sorted(s[k] for s in groups[by] if 0 < s[k] <= quality.BOUNDS[k][1])
+            if len(v) >= 5:
+                q1, q2, q3 = (v[math.ceil(len(v) * q / 4) - 1] for q in (1, 2, 3))
+                return min(max(quality.BOUNDS[k][0], q2 + quality.SPREAD * (q3 - q1)), quality.BOUNDS[k][1])
+        return quality.UNTOLD[k]
+
+    for i, r in enumerate(got):
+        if not r["base_failed"]:
+            assert all(r[f"fence_{k}"] == fence(r, k) for k in quality.BOUNDS)
+        assert r["kept"] == (not r["base_failed"] and all(v <= fence(r, k) for k, v in shares[i].items()))
     assert quality.judge(empty(spark)).count() == 0
 
 
+def test_fences_decide(spark):
+    """On the documents fences differ between groups, and no three constants give the same verdicts."""
+    got = quality.judge(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).filter("not base_failed").collect()
+    by = {k: {(r["lang"], r["source"]): r[f"fence_{k}"] for r in got} for k in quality.BOUNDS}
+    assert len(set(by["dup_lines"].values())) > 2 and len(set(by["repeats"].values())) > 1
+    share = [1000 * r["n_dup_lines"] // max(1, r["n_lines"]) for r in got]
+    assert any(v > r["fence_dup_lines"] for v, r in zip(share, got))
+
+
 def test_sketches_merge(spark, docs):
     stats = quality.counts(docs)
     whole = quality.quartiles(quality.sketch(stats, ["lang"]), ["lang"])
