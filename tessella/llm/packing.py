@@ -7,12 +7,14 @@ filling closest to the capacity; walking back through the stored bitsets yields
 even the best filling leaves slack, a waiting piece is cut to close it. Only the last sequence of a partition can be short, and
 it is padded to a power of two.
 
-Defined cases: a null text is an empty one and yields the end id alone; a null doc_id stays null; repeated rows are documents of
-their own; an empty table gives no rows; other columns are ignored.
+Defined cases: a null text is an empty one and yields the end id alone; a null doc_id stays null; texts of any length are packed whole, in as many pieces as they
+need; added tokens within a text, such as <|endoftext|>, are one id, as the tokenizers file has it; of pieces of one length the last that came goes first; repeated
+rows are documents of their own; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections import defaultdict
@@ -104,11 +106,17 @@ class Packer:
             self.emit(pieces)
 
 
-def encoder(vocabulary: str, ranks: str | None):
-    """A function from a text to its ids under the tokenizers file, special strings being ordinary text.
+def added_tokens(vocabulary: str) -> list[str]:
+    """The strings that the tokenizers file maps to one id wherever they stand."""
+    with open(vocabulary, encoding="utf-8") as f:
+        return [t["content"] for t in json.load(f).get("added_tokens") or []]
 
-    ranks: the same vocabulary as byte-pair ranks. Texts of plain characters, where both libraries split alike, take this
-    faster way to the same ids; all others go through the tokenizers file."""
+
+def encoder(vocabulary: str, ranks: str | None, added: list[str]):
+    """A function from a text to its ids under the tokenizers file, without ids around the text.
+
+    ranks: the same vocabulary as byte-pair ranks. Texts of plain characters, where both libraries split alike, and without added tokens
+    take this faster way to the same ids; all others go through the tokenizers file."""
     loaded = []
 
     def by_file(t: str) -> np.ndarray:
@@ -116,7 +124,6 @@ def encoder(vocabulary: str, ranks: str | None):
             from tokenizers import Tokenizer
 
             loaded.append(Tokenizer.from_file(vocabulary))
-            loaded[0].encode_special_tokens = True
         return np.array(loaded[0].encode(t, add_special_tokens=False).ids, np.uint32)
 
     if not ranks:
@@ -129,14 +136,16 @@ def encoder(vocabulary: str, ranks: str | None):
     with open(ranks, "rb") as f:
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
-    return lambda t: by_file(t) if PLAIN.search(t) else np.array(fast.encode_ordinary(t), np.uint32)
+    return lambda t: by_file(t) if PLAIN.search(t) or any(x in t for x in added) else np.array(fast.encode_ordinary(t), np.uint32)
 
 
 def pack(docs: DataFrame, vocabulary: str, ranks: str | None = None, end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
     """A row per piece of the documents (doc_id, text) in sequences of at most capacity ids, with the columns of SCHEMA."""
 
+    added = added_tokens(vocabulary)
+
     def run(batches):
-        encode, end = encoder(vocabulary, ranks), np.array([end_id], np.uint32)
+        encode, end = encoder(vocabulary, ranks, added), np.array([end_id], np.uint32)
         packer = Packer(capacity, TaskContext.get().partitionId() << 36)
         kinds = pa.schema([(x.split()[0], pa.int64()) for x in SCHEMA.split(", ")])
 
