@@ -35,7 +35,7 @@ LISTED = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import url_filter
 
-    listed = spark.createDataFrame(LISTED, "host string, path string, verdict string")
+    listed = spark.sql(f"SELECT * FROM VALUES {', '.join(map(str, LISTED))} AS listed(host, path, verdict)")
     return url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), listed)
 
 
