@@ -1,20 +1,23 @@
 """Secret scanning over a ledger of content-addressed blobs.
 
-Every text, in whatever version of whatever document, is a blob named by its SHA-256. The ledger holds the pairs of blob and rule
+Every text, in whatever version of whatever document, is a blob named by its SHA-256. The ledger is a table of the pairs of blob and rule
 version that were scanned before, with their findings. Only one copy of each blob that has no entry for the present rules is read
-again and scanned; its findings are then joined back to all documents that hold the blob. Scanning uses built-in functions: a
-pattern's matches and the pieces between them give each match's place in code points.
+again and scanned; its entry, with or without findings, goes into the ledger, and findings are joined back from there to all documents that hold the
+blob. Scanning uses built-in functions: a pattern's matches and the pieces between them give each match's place in code points.
 
-Defined cases: a null text is an empty blob; a null doc_id stays null; repeated rows all get their row; texts without findings have
-empty lists; an empty table gives no rows; other columns are ignored.
+Defined cases: a null text is an empty blob; a null doc_id stays null; texts of any length are scanned whole; repeated rows all get their row, and of copies any one is
+scanned; matches of several kinds at one place all count, in the order of kinds; texts without findings have empty lists; an empty table gives no
+rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, stored
+from .common import BROADCAST_BYTES, few, let, shared_dir, stored
 
 RULES_VERSION = "1"
 #: kind: (Java pattern, group that is measured, its least length). The first three are the base, in the order in which kinds are listed.
@@ -53,42 +56,77 @@ def matches(text: Column, kind: str) -> Column:
     return F.when(text.rlike(pattern), found).otherwise(none)
 
 
+SPANS = "array<struct<start:int,k:int,kind:string,end:int>>"
+
+
 def scan(blobs: DataFrame) -> DataFrame:
-    """blob_id, spans (array of start, k, kind, end, sorted) for blobs(blob_id, text) that have any."""
+    """blob_id, spans (array of start, k, kind, end, sorted) for blobs(blob_id, text), one row for each blob_id."""
     found = blobs.select("blob_id", *(matches(F.col("text"), k).alias(k) for k in RULES))
-    return found.select("blob_id", F.sort_array(F.concat(*RULES)).alias("spans")).filter(F.size("spans") > 0)
+    return found.select("blob_id", F.sort_array(F.concat(*RULES)).alias("spans")).groupBy("blob_id").agg(F.first("spans").alias("spans"))
 
 
-def addressed(docs: DataFrame, *more: str) -> DataFrame:
+def addressed(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", *more, text.alias("text"), F.sha2(text, 256).alias("blob_id"))
+    return docs.select("doc_id", text.alias("text"), F.sha2(text, 256).alias("blob_id"))
+
+
+class Ledger:
+    """The table of entries (blob_id, version, spans) at a path in the shared folder; it comes into being with the first entries."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def entries(self, version: str) -> DataFrame:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        schema = f"blob_id string, version string, spans {SPANS}"
+        if not at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at):
+            return self.spark.range(0).select(F.lit("").alias("blob_id"), F.lit("").alias("version"), F.array().cast(SPANS).alias("spans"))
+        # two runs at a time may both have scanned a blob
+        return self.spark.read.schema(schema).parquet(self.path).filter(F.col("version") == version).dropDuplicates(["blob_id"])
+
+    def append(self, entries: DataFrame) -> None:
+        entries.select("blob_id", "version", "spans").write.mode("append").parquet(self.path)
+
+
+def own_ledger(spark: SparkSession) -> Ledger:
+    """An empty one for a single run."""
+    return Ledger(spark, f"{shared_dir(spark)}/tessella/{spark.sparkContext.applicationId}/secret-ledger-{uuid.uuid4().hex[:12]}")
 
 
-def findings(docs: DataFrame, ledger: DataFrame | None = None, version: str = RULES_VERSION) -> tuple[DataFrame, DataFrame]:
-    """(blob_id, spans) of all blobs of docs(doc_id, text) with findings; the entries (blob_id, version, spans) new to the ledger."""
+def unseen(named: DataFrame, known: DataFrame) -> DataFrame:
+    """_b, _d: of each blob of named(blob_id, doc_id) that known(blob_id) lacks, an id that it has."""
+    return named.groupBy("blob_id").agg(F.min("doc_id").alias("_d")).join(known.select("blob_id"), "blob_id", "left_anti").withColumnRenamed("blob_id", "_b")
+
+
+def to_scan(named: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Rows of named(blob_id, doc_id, text) that hold fresh(_b, _d), which is stored; texts are shuffled only if these are too many to broadcast."""
+    return named.join(few(fresh, 120), (F.col("blob_id") == F.col("_b")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")
+
+
+def findings(docs: DataFrame, ledger: Ledger, version: str = RULES_VERSION) -> DataFrame:
+    """blob_id, spans of all blobs of docs(doc_id, text) with findings, from the ledger, into which the entries of blobs go that it lacked."""
     named = addressed(docs)
-    unseen = named.groupBy("blob_id").agg(F.min("doc_id").alias("d"))
-    if ledger is not None:
-        known = ledger.filter(F.col("version") == version)
-        unseen = unseen.join(known.select("blob_id"), "blob_id", "left_anti")
-    unseen = stored(unseen, "unseen-blobs")
-    one = named.join(unseen.withColumnRenamed("blob_id", "b").hint("shuffle_hash"), (F.col("blob_id") == F.col("b")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("blob_id", "text")
-    fresh = stored(scan(one).groupBy("blob_id").agg(F.first("spans").alias("spans")), "secret-findings")
-    new = unseen.select("blob_id").join(fresh, "blob_id", "left").select("blob_id", F.lit(version).alias("version"), "spans")
-    if ledger is None:
-        return fresh, new
-    old = known.filter(F.size("spans") > 0).join(named.select("blob_id").distinct(), "blob_id", "left_semi").select("blob_id", "spans")
-    return fresh.unionByName(old), new
+    fresh = stored(unseen(named, ledger.entries(version)), "unseen-blobs")
+    if fresh.head(1):
+        ledger.append(scan(to_scan(named, fresh)).withColumn("version", F.lit(version)))
+    found = ledger.entries(version).filter(F.size("spans") > 0).select("blob_id", "spans")
+    return stored(found.join(named.select("blob_id").distinct(), "blob_id", "left_semi"), "secret-findings")
 
 
-def listed(spans: Column) -> Column:
-    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+def near(found: DataFrame) -> DataFrame:
+    """findings(), marked for broadcast while their bytes are within the bound: copies of a blob then need not meet in one task."""
+    size = found.agg(F.sum(F.size("spans") * 48 + 120)).first()[0] or 0
+    return F.broadcast(found) if size <= BROADCAST_BYTES else found
+
+
+def report(docs: DataFrame, ledger: Ledger | None = None, version: str = RULES_VERSION) -> DataFrame:
+    """doc_id and spans, an array that is empty where nothing was found, for every row of docs; without a ledger all blobs are scanned."""
+    found = findings(docs, ledger or own_ledger(docs.sparkSession), version)
+    return addressed(docs).select("doc_id", "blob_id").join(near(found), "blob_id", "left").select("doc_id", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
 
 
-def report(docs: DataFrame, ledger: DataFrame | None = None, version: str = RULES_VERSION) -> DataFrame:
-    """doc_id and spans, an array that is empty where nothing was found, for every row of docs."""
-    found, _ = findings(docs, ledger, version)
-    return addressed(docs).select("doc_id", "blob_id").join(found, "blob_id", "left").select("doc_id", F.coalesce("spans", F.array().cast(found.schema["spans"].dataType)).alias("spans"))
+def listed(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
 def redact(text: Column, spans: Column, mark: str = "[secret]") -> Column:
