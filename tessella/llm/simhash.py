@@ -1,14 +1,15 @@
 """Near-duplicates by SimHash and vantage-point trees.
 
 A worker turns each text into a 64-bit fingerprint. Equal fingerprints are merged before anything else, so copies never meet as
-pairs. The top of a vantage-point tree is built on the driver from a bounded sample (SAMPLE) of the distinct fingerprints; its leaves
-are shards. Every fingerprint has one home shard and is also sent as a query to each shard that its ball overlaps by the triangle
-bounds. A shard goes on splitting by vantage points until blocks are small, compares these exactly and returns, instead of pairs,
+pairs. The top of a vantage-point tree is built on the driver from a bounded sample (SAMPLE, eight megabytes) of the distinct fingerprints, with
+as many leaves as there must be shards of a fixed size; its leaves are the shards. Every fingerprint has one home shard and is also
+sent as a query to each shard that its ball overlaps by the triangle bounds. Where more than a fixed number would ask in one shard, by the sample, the questions are dealt to
+several groups that each hold the shard's own fingerprints, so no group grows with the input. A shard goes on splitting by vantage points until blocks are small, compares these exactly and returns, instead of pairs,
 one edge from each linked fingerprint to the root of its group there. Edges of all shards are joined to components by alternating
 large and small stars; a fingerprint's component is the smallest document id in it.
 
-Defined cases: a null or blank text has fingerprint zero, linked like any other; texts of one or two words are one shingle; a null
-doc_id is never a component's id unless the component has no other; repeated rows all get their row; an empty table gives no rows;
+Defined cases: a null or blank text has fingerprint zero, linked like any other; texts of one or two words are one shingle, and those of any length
+are read whole; a bit that half the hashes have is 0; a null doc_id is never a component's id unless the component has no other; repeated rows all get their row; an empty table gives no rows;
 other columns are ignored.
 """
 
@@ -22,9 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, stored
+from .words import mix
 
-#: Fingerprints that the top of the tree is built from; bits by which linked ones differ at most; comparisons of a block.
-SAMPLE, RADIUS, BLOCK = 4096, 3, 1 << 17
+#: Bits by which linked fingerprints differ at most; comparisons of a block.
+RADIUS, BLOCK = 3, 1 << 17
+#: Fingerprints whose home is one shard, and those that ask in one group, on average; fingerprints for each leaf that the tree's top is built from, and in all at most.
+SHARD, ASKING, PER_LEAF, SAMPLE = 1 << 13, 1 << 18, 128, 1 << 20
 SHINGLE, SEED = 3, 42
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 16
@@ -147,29 +151,44 @@ def link_near(points: np.ndarray, held: np.ndarray, asking: np.ndarray, radius:
     link_near(points, held[dh > at[1]], asking[dq > at[1] - radius], radius, groups, linked)
 
 
-def near_edges(fps: DataFrame, radius: int = RADIUS, sample: int = SAMPLE) -> DataFrame:
+def near_edges(fps: DataFrame, radius: int = RADIUS, shard: int = SHARD, asking: int = ASKING, most: int = SAMPLE) -> DataFrame:
     """a, b: edges between distinct fingerprints fps.fp whose components are those of all pairs within radius."""
+    n = fps.count()
+    depth = max(4, math.ceil(math.log2(max(1, n / shard))))
+    sample = min(most, PER_LEAF << depth)
     seen = np.array([r[0] for r in fps.orderBy(F.xxhash64("fp")).limit(sample).collect()], np.int64).view(np.uint64)
-    # Two more levels for sixteen times the fingerprints: shards grow slowly, and so does the number of shards that a ball overlaps.
-    depth = 4 + max(0, int(math.log2(max(1, fps.count() / sample)) / 2))
-    tree = grow(seen, min(depth, int(math.log2(sample)) - 3), [])
-    kinds = pa.schema([("shard", pa.int32()), ("fp", pa.int64()), ("home", pa.bool_())])
+    leaves: list = []
+    tree = grow(seen, depth, leaves)
+    # how many fingerprints ask in each leaf, by the sample; a leaf's questions are dealt to so many groups, of which each holds all its own fingerprints
+    asked: list = []
+    overlapped(tree, seen, np.arange(len(seen)), np.ones(len(seen), bool), radius, asked)
+    groups = np.ones(len(leaves), np.int64)
+    for leaf, index, _ in asked:
+        groups[leaf] = max(1, -(-len(index) * n // (max(1, len(seen)) * asking)))
+    begin = np.cumsum(groups) - groups
+    kinds = pa.schema([("shard", pa.int64()), ("fp", pa.int64()), ("home", pa.bool_()), ("asks", pa.bool_())])
 
     def send(batches):
         for b in batches:
             p, out = b.column(0).to_numpy().view(np.uint64), []
             overlapped(tree, p, np.arange(len(p)), np.ones(len(p), bool), radius, out)
             for leaf, index, home in out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(index), leaf, np.int32)), pa.array(p[index].view(np.int64)), pa.array(home)], schema=kinds)
+                own = (mix(p[index]) % np.uint64(groups[leaf])).astype(np.int64)
+                held = np.repeat(index[home], groups[leaf])
+                to, fp = np.tile(np.arange(groups[leaf]), int(home.sum())), p[held]
+                asks = np.repeat(own[home], groups[leaf]) == to
+                others = ~home
+                shards = np.concatenate([to, own[others]]) + begin[leaf]
+                yield pa.RecordBatch.from_arrays([pa.array(shards), pa.array(np.concatenate([fp, p[index][others]]).view(np.int64)), pa.array(np.arange(len(shards)) < len(to)), pa.array(np.concatenate([asks, np.ones(int(others.sum()), bool)]))], schema=kinds)
 
     def compare(table: pa.Table) -> pa.Table:
-        p, home = table.column("fp").to_numpy().view(np.uint64), table.column("home").to_numpy()
+        p, home, asks = table.column("fp").to_numpy().view(np.uint64), table.column("home").to_numpy(), table.column("asks").to_numpy()
         groups, linked = Groups(len(p)), np.zeros(len(p), bool)
-        link_near(p, np.flatnonzero(home), np.arange(len(p)), radius, groups, linked)
+        link_near(p, np.flatnonzero(home), np.flatnonzero(asks), radius, groups, linked)
         a, b = p[linked].view(np.int64), p[groups.label[linked]].view(np.int64)
         return pa.table({"a": pa.array(a[a != b]), "b": pa.array(b[a != b])})
 
-    return fps.select("fp").mapInArrow(send, "shard int, fp long, home boolean").groupBy("shard").applyInArrow(compare, "a long, b long")
+    return fps.select("fp").mapInArrow(send, "shard long, fp long, home boolean, asks boolean").groupBy("shard").applyInArrow(compare, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
