@@ -54,7 +54,6 @@ def test_best_fill():
 @pytest.mark.parametrize("capacity", [1024, 64])
 def test_packing(spark, rows, docs, capacity):
     t = Tokenizer.from_file(VOCABULARY)
-    t.encode_special_tokens = True
     expected = Counter()
     for r in rows:
         ids = t.encode(r[1] or "", add_special_tokens=False).ids + [0]
@@ -88,9 +87,13 @@ def test_packing(spark, rows, docs, capacity):
 
 
 def test_fast_ids_are_the_files():
-    slow, fast = packing.encoder(VOCABULARY, None), packing.encoder(VOCABULARY, RANKS)
-    for r in documents(5):
-        assert slow(r[1] or "").tolist() == fast(r[1] or "").tolist()
+    added = packing.added_tokens(VOCABULARY)
+    slow, fast = packing.encoder(VOCABULARY, None, added), packing.encoder(VOCABULARY, RANKS, added)
+    t = Tokenizer.from_file(VOCABULARY)
+    special = [f"a{x}b{x}{x} {x}" for x in added] + ["<|endoftext|> plain", "<|endoftext", "<|ENDOFTEXT|>"]
+    for text in [r[1] or "" for r in documents(5)] + special:
+        assert slow(text).tolist() == fast(text).tolist() == t.encode(text, add_special_tokens=False).ids
+    assert added and len(fast(added[0])) == 1
     plain = "".join(chr(c) for c in [9, 10, 13, *range(32, 127), *range(0xA1, 0x250), *range(0x2010, 0x2028)])
     for i in range(0, len(plain), 3):
         t = f"a{plain[i : i + 3]} {plain[i : i + 7]}  b's 12{plain[i]}\n\n{plain[i]}x"
