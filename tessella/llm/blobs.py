@@ -1,12 +1,11 @@
-"""Numpy arrays in rows: many values travel as one compressed blob for each task and slice, and come back to their texts."""
+"""Numpy arrays in rows: many values travel as one compressed blob for each group and slice."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
 
-from .words import FIRST, SECOND, U, mix
+from .words import U
 
 
 def packed(a: np.ndarray) -> bytes:
@@ -29,43 +28,26 @@ def joined(table: pa.Table, name: str, kind) -> np.ndarray:
     return np.concatenate([unpacked(b.as_py(), kind) for b in table.column(name)] or [np.zeros(0, kind)])
 
 
-def schema(first: str, names) -> str:
-    return ", ".join([f"{first} int", *(f"{x} binary" for x in names)])
-
-
 def rows(first: str, names, out: list[tuple], **others: pa.DataType) -> pa.RecordBatch:
     """A batch of a number, first, and blobs; others: columns that are no blobs."""
     kinds = pa.schema([(first, pa.int32()), *((x, others.get(x, pa.binary())) for x in names)])
     return pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*out) if out else [[]] * len(kinds), kinds)], schema=kinds)
 
 
-def scattered(k: np.ndarray, v: np.ndarray, columns: dict[str, np.ndarray], buckets: int) -> pa.RecordBatch:
-    """Values of the texts (k, v), as a blob for each bucket of texts; values of a text keep their order."""
-    bucket = (mix(k.view(U) * FIRST + v.view(U) * SECOND) % U(buckets)).astype(np.int32)
-    order = np.lexsort((v, k, bucket))
-    k, v, bucket = k[order], v[order], bucket[order]
-    columns = {x: a[order] for x, a in columns.items()}
-    cut, out = np.searchsorted(bucket, np.arange(buckets + 1)), []
-    for s in np.flatnonzero(np.diff(cut)).tolist():
-        a, b = cut[s], cut[s + 1]
-        new = np.flatnonzero(np.concatenate([[True], (k[a + 1 : b] != k[a : b - 1]) | (v[a + 1 : b] != v[a : b - 1])]))
-        per = np.diff(np.append(new, b - a)).astype(np.uint32)
-        out.append((s, packed(k[a:b][new]), packed(v[a:b][new]), packed(per), *(packed(x[a:b]) for x in columns.values())))
-    return rows("bucket", ["k", "v", "per", *columns], out)
-
-
-def gathered(df: DataFrame, kinds: dict[str, type]) -> DataFrame:
-    """k, v and an array of each of kinds for every text in rows of scattered()."""
-    arrow = {x: pa.from_numpy_dtype(np.dtype(t)) for x, t in kinds.items()}
-    sql = {"int8": "byte", "int32": "int", "int64": "long"}
-
-    def merge(table: pa.Table) -> pa.Table:
-        per = joined(table, "per", np.uint32)
-        k, v = (np.repeat(joined(table, x, np.int64), per) for x in ("k", "v"))
-        order = np.lexsort((v, k))
-        k, v = k[order], v[order]
-        new = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (v[1:] != v[:-1])])) if len(k) else np.zeros(0, np.int64)
-        offsets = pa.array(np.append(new, len(k)).astype(np.int32))
-        return pa.table({"k": k[new], "v": v[new]} | {x: pa.ListArray.from_arrays(offsets, pa.array(joined(table, x, t)[order], arrow[x])) for x, t in kinds.items()})
-
-    return df.groupBy("bucket").applyInArrow(merge, ", ".join(["k long", "v long", *(f"{x} array<{sql[np.dtype(t).name]}>" for x, t in kinds.items())]))
+def bits(flags: np.ndarray) -> bytes:
+    return packed(np.packbits(flags, bitorder="little"))
+
+
+def flags(blob: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(unpacked(blob, np.uint8), count=n, bitorder="little").astype(bool) if n else np.zeros(0, bool)
+
+
+def slice_of(h: np.ndarray, slices: int) -> np.ndarray:
+    """The slice of the range of 64-bit hashes in which each of h lies."""
+    return ((h >> U(32)) * U(slices)) >> U(32)
+
+
+def in_slices(table: pa.Table, names: tuple[str, ...]) -> list[tuple]:
+    """Rows of answers to one group, in the order of their slices."""
+    table = table.take(np.argsort(table.column("slice").to_numpy(), kind="stable"))
+    return list(zip(*(table.column(x).to_pylist() for x in names)))

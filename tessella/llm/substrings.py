@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blobs import joined, packed, rows, schema, unpacked
+from .blobs import bits, flags, in_slices, joined, packed, rows, slice_of, unpacked
 from .common import stored
 from .shelves import in_order, shelved
 from .words import U, parts, space_words, windows
@@ -40,10 +40,6 @@ def read(table: pa.Table, size: int):
     return table, *map(np.concatenate, zip(*out))
 
 
-def slice_of(h1: np.ndarray, slices: int) -> np.ndarray:
-    return ((h1 >> U(32)) * U(slices)) >> U(32)
-
-
 def touched(h1: np.ndarray, h: np.ndarray, slices: int, cells: int):
     """The order of the windows by slice and cell; where another cell begins in it; the slice and the cell of each of these."""
     key = slice_of(h1, slices) << U(32) | (h & LOW & U(cells - 1))
@@ -53,20 +49,6 @@ def touched(h1: np.ndarray, h: np.ndarray, slices: int, cells: int):
     return order, new, key[new] >> U(32), (key[new] & LOW).astype(np.uint32)
 
 
-def bits(flags: np.ndarray) -> bytes:
-    return packed(np.packbits(flags, bitorder="little"))
-
-
-def flags(blob: bytes, n: int) -> np.ndarray:
-    return np.unpackbits(unpacked(blob, np.uint8), count=n, bitorder="little").astype(bool) if n else np.zeros(0, bool)
-
-
-def in_slices(table: pa.Table, names: tuple[str, ...]) -> list[tuple]:
-    """Rows of answers to one group, in the order of their slices."""
-    table = table.take(np.argsort(table.column("slice").to_numpy(), kind="stable"))
-    return list(zip(*(table.column(x).to_pylist() for x in names)))
-
-
 COUNTED, SEEN = ("label", "c0", "m0", "c1", "m1"), ("label", "n0", "b0", "n1", "b1")
 ASKED, TOLD = ("h1", "h2", "id", "none"), ("text", "at", "which", "over")
 

@@ -1,8 +1,9 @@
 """Removal of every byte inside a string of 200 bytes that starts at more than one place.
 
-Sorting every suffix of a corpus would move many times its size, so only suffixes that can have a partner are sorted. Each window of 200
-bytes selects the k-gram of least hash within it, its anchor; windows with the same bytes select the same anchor. Consecutive windows that select
-the same place are a segment. Grouped by anchor, three cases remain. Segments that occur whole more than once are repeated. An anchor that all
+Texts are dealt to groups once (shelves.py). Sorting every suffix of a corpus would move many times its size, so only suffixes that can have a partner are
+sorted. Each window of 200 bytes selects the k-gram of least hash within it, its anchor; windows with the same bytes select the same anchor. Consecutive
+windows that select the same place are a segment. Each group sends its distinct segments once, as anchor and 128-bit hash, to slices of the anchors' hash range, and is
+told of each whether it occurs more than once, and whether its anchor has other segments too. Segments that occur whole more than once are repeated. An anchor that all
 its places share with just one segment needs nothing else, and an anchor with one place has no repeated window. Only where an anchor has several
 different segments are one text of each sent to the anchor's shard. There the suffixes are sorted by the difference-cover
 algorithm: the triples at places not divisible by three are sorted and named, the string of names is sorted by recursion, the remaining suffixes are sorted
@@ -10,30 +11,36 @@ by their first byte and the rank of the next suffix, and both are merged. The re
 in the order are then compared over their first 200 bytes.
 
 The segments of an anchor with more than HOT different ones, such as those at both ends of a passage that very many documents share, would
-meet in one shard. Their windows are sent as hashes of 128 bits instead, spread over all shards, and counted there.
+meet in one shard. Their windows are sent as hashes of 128 bits instead, once a group, spread over all slices, and counted there. So strings are the
+same by their bytes in shards, and elsewhere if their 128-bit hashes (XXH3) are.
 
-Defined cases: a null text is empty; texts under 200 bytes keep all; documents that repeat as a whole lose all their windows' bytes; a null
-doc_id stays null; repeated rows count as places of their own; an empty table gives no rows; other columns are ignored.
+Defined cases: a null text is empty; texts under 200 bytes keep all; texts of any length are read whole, in pieces; documents that repeat as a whole lose all their
+windows' bytes; a null doc_id stays null; repeated rows count as places of their own; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blobs import gathered, joined, packed, rows, scattered, schema, unpacked
-from .common import stored
+from xxhash import xxh3_128_digest
 
-from .words import BYTES, FIRST, SECOND, U, mix, tables
+from .blobs import bits, flags, in_slices, joined, packed, rows, slice_of, unpacked
+from .common import stored
+from .shelves import in_order, shelved
+from .words import BYTES, FIRST, U, mix
 
-NO_ID = (1 << 63) - 1
 LENGTH, GRAM = 200, 48
-#: Different segments of an anchor up to which they are sorted together. Segments that a task holds before it sends them.
-HOT, HELD = 256, 1 << 19
-#: Bytes that a shard sorts, on average; sorting takes some 200 times as many in a worker's memory.
-SHARD = 1 << 20
+#: Different segments of an anchor up to which they are sorted together.
+HOT = 256
+#: Bytes of text for each slice of anchors, and for each shard that sorts; sorting takes some 200 times what is sorted in a worker's memory.
+SLICE, SHARD = 64 << 20, 4 << 20
+#: An odd 64-bit constant: the base of byte sums (fixed value).
+BASE = U(0x9E3779B97F4A7C15)
 #: Bits of a place within a piece of text, in the keys that anchors are picked by.
 PLACE = 22
 
@@ -59,6 +66,14 @@ def pieces(column: pa.Array, length: int):
         first += 1
 
 
+@lru_cache(maxsize=1)
+def tables(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A random value for each byte; the first n powers of BASE, and of its inverse modulo 2**64."""
+    inverse = U(pow(int(BASE), -1, 1 << 64))
+    powers = [np.cumprod(np.concatenate([np.ones(1, U), np.full(n - 1, b, U)]), dtype=U) for b in (BASE, inverse)]
+    return mix(np.arange(1, 257, dtype=U) * FIRST), *powers
+
+
 def prefix_sums(data: np.ndarray) -> np.ndarray:
     value, power, _ = tables(BYTES + (1 << 20))
     sums = np.zeros(len(data) + 1, U)
@@ -66,17 +81,21 @@ def prefix_sums(data: np.ndarray) -> np.ndarray:
     return sums
 
 
-def between(sums: np.ndarray, a, b) -> np.ndarray:
-    """Hashes of the strings from a to b."""
-    return mix((sums[b] - sums[a]) * tables(BYTES + (1 << 20))[2][a] + (b - a).astype(U))
+def digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both halves of the 128-bit hashes of strings of data."""
+    view = memoryview(np.ascontiguousarray(data))
+    both = np.frombuffer(b"".join([xxh3_128_digest(view[a:b]) for a, b in zip(starts.tolist(), ends.tolist())]), U).reshape(-1, 2)
+    return both[:, 0].copy(), both[:, 1].copy()
 
 
 def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM):
-    """text, start (within data), n (windows), anchor hash, segment hash of all segments; text counts from 0."""
+    """text, start (within data), n (windows), anchor hash, both halves of the segment's hash of all segments; text counts from 0.
+
+    Anchors are picked by sums of powers, quick but not collision-free; this only makes more segments meet."""
     none = np.zeros(0, np.int64)
     n = len(data) - length + 1
     if n <= 0:
-        return none, none, none, none.astype(U), none.astype(U)
+        return none, none, none, *([none.astype(U)] * 3)
     sums, grams = prefix_sums(data), len(data) - gram + 1
     inverse = tables(BYTES + (1 << 20))[2]
     h = mix((sums[gram:] - sums[:grams]) * inverse[:grams])
@@ -93,7 +112,7 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram:
     start = np.flatnonzero(new)
     # a segment ends where another begins or a text's last window is passed
     stop = np.flatnonzero(np.concatenate([new[1:] | ~inside[1:], [True]]) & inside) + 1
-    return text[start], start, stop - start, h[at[start]], between(sums, start, stop + length - 1)
+    return text[start], start, stop - start, h[at[start]], *digests(data, start, stop + length - 1)
 
 
 def order_of(s: np.ndarray, need: int) -> np.ndarray:
@@ -156,150 +175,138 @@ def ranges(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-#: What an answer says of a segment or windows: sort its text with others, it is repeated whole, or count its windows.
-SORT, DONE, COUNT = 0, 1, 2
-FIRST_ANSWER, LAST_ANSWER = {"at": np.int32, "n": np.int32, "flag": np.int8, "anchor": np.int64}, {"at": np.int32, "n": np.int32}
-
-
-def keyed(docs: DataFrame) -> DataFrame:
-    """k (the id, or the largest number), v (a hash of the text), text as bytes."""
-    return docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("k"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("v"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
-
-
-def sort_segments(own: DataFrame, slices: int, length: int, gram: int, hot: int) -> DataFrame:
-    """k, v and FIRST_ANSWER: for each text of own(k, v, text) the segments that are repeated whole, and those of which the text is asked for."""
-    names = ("k", "v", "doc", "start", "n", "anchor", "whole")
-
-    def send(held):
-        k, v, start, n, anchor, whole = map(np.concatenate, zip(*held))
-        to = (anchor % U(slices)).astype(np.int32)
-        order = np.lexsort((whole, anchor, to))
-        cut, out = np.searchsorted(to[order], np.arange(slices + 1)), []
-        for s in range(slices):
-            if len(x := order[cut[s] : cut[s + 1]]):
-                # the texts of this blob, and of each segment the text's number
-                texts, doc = np.unique(np.stack([k[x], v[x]], 1), axis=0, return_inverse=True)
-                out.append((s, packed(texts[:, 0].copy()), packed(texts[:, 1].copy()), packed(doc.ravel().astype(np.uint32)), packed(start[x].astype(np.int32)), packed(n[x].astype(np.int32)), packed(anchor[x]), packed(whole[x])))
-        return rows("slice", names, out)
-
-    def read(batches):
-        held, m = [], 0
-        for batch in batches:
-            k, v = (batch.column(i).to_numpy() for i in (0, 1))
-            for first, data, offsets, base in pieces(batch.column(2), length):
-                text, start, n, anchor, whole = segments(data, offsets, length, gram)
-                held.append((k[first + text], v[first + text], start - offsets[text] + base, n, anchor, whole))
-                m += len(text)
-                if m >= HELD:
-                    yield send(held)
-                    held, m = [], 0
-        if m:
-            yield send(held)
+#: What is said of a segment, added up: it occurs more than once; it is asked for; it is one of more than HOT at its anchor.
+DONE, ASK, MANY = 1, 2, 4
+SENT = tuple(f"x{i}" for i in range(6))
+
+
+def read(table: pa.Table, length: int, gram: int):
+    """A group's rows in order; text, start, n, anchor and hash of its segments; the order of these by anchor and hash, where another begins in it."""
+    table = in_order(table)
+    none = np.zeros(0, np.int64)
+    out = [(none, none, none, *([none.astype(U)] * 3))]
+    for first, data, offsets, base in pieces(table.column("text").combine_chunks(), length):
+        text, start, n, *hashes = segments(data, offsets, length, gram)
+        out.append((first + text, start - offsets[text] + base, n, *hashes))
+    text, start, n, anchor, w1, w2 = map(np.concatenate, zip(*out))
+    order = np.lexsort((w2, w1, anchor))
+    differs = lambda x: x[order][1:] != x[order][:-1]
+    new = np.flatnonzero(np.concatenate([[True], differs(anchor) | differs(w1) | differs(w2)])) if len(text) else none
+    return table, text, start, n, anchor, w1, w2, order, new
+
+
+def decided(own: DataFrame, slices: int, length: int, gram: int, hot: int) -> DataFrame:
+    """label, slice, n, said: for each group what is said of its distinct segments, in order."""
+
+    def send(table: pa.Table) -> pa.Table:
+        label, out = table.column("label")[0].as_py(), []
+        _, _, _, _, anchor, w1, w2, order, new = read(table, length, gram)
+        first, many = order[new], np.diff(np.append(new, len(order))) > 1
+        to = slice_of(anchor[first], slices)
+        for s in np.unique(to).tolist():
+            a, b = np.searchsorted(to, (s, s + 1))
+            x = first[a:b]
+            out.append((s, label, packed(anchor[x]), packed(w1[x]), packed(w2[x]), packed(many[a:b].astype(np.uint8))))
+        return pa.Table.from_batches([rows("slice", ("label", "anchor", "w1", "w2", "many"), out, label=pa.int32())])
 
     def decide(table: pa.Table) -> pa.Table:
-        get = lambda name, kind: [unpacked(b.as_py(), kind) for b in table.column(name)]
-        ks, vs, doc = get("k", np.int64), get("v", np.int64), get("doc", np.uint32)
-        k, v = (np.concatenate([x[d] for x, d in zip(xs, doc)]) for xs in (ks, vs))
-        start, n, anchor, whole = (joined(table, x, t) for x, t in (("start", np.int32), ("n", np.int32), ("anchor", U), ("whole", U)))
-        order = np.lexsort((whole, anchor))
-        a, w = anchor[order], whole[order]
-        new_anchor = np.concatenate([[True], a[1:] != a[:-1]])
-        new = new_anchor | np.concatenate([[True], w[1:] != w[:-1]])
+        per = [int.from_bytes(x.as_py()[:8], "little") for x in table.column("anchor")]
+        anchor, w1, w2, many = (joined(table, x, t) for x, t in (("anchor", U), ("w1", U), ("w2", U), ("many", np.uint8)))
+        order = np.lexsort((np.repeat(table.column("label").to_numpy(), per), w2, w1, anchor))
+        differs = lambda x: x[order][1:] != x[order][:-1]
+        new_anchor = np.concatenate([[True], differs(anchor)])
+        new = new_anchor | np.concatenate([[True], differs(w1) | differs(w2)])
         group, segment = np.cumsum(new_anchor) - 1, np.cumsum(new) - 1
-        copies = np.bincount(segment)[segment]
+        copies = np.bincount(segment, many[order].astype(np.int64) + 1)[segment] > 1
         different = np.bincount(group[new])[group]
-        done, ask = copies > 1, new & (different > 1)
-        x = np.concatenate([order[done], order[ask]])
-        flag = np.concatenate([np.full(done.sum(), DONE), np.where(different[ask] > hot, COUNT, SORT)]).astype(np.int8)
-        return pa.Table.from_batches([scattered(k[x], v[x], {"at": start[x], "n": n[x], "flag": flag, "anchor": anchor[x].view(np.int64)}, slices)])
-
-    answers = own.mapInArrow(read, schema("slice", names)).groupBy("slice").applyInArrow(decide, schema("bucket", ("k", "v", "per", *FIRST_ANSWER)))
-    return gathered(answers, FIRST_ANSWER)
-
-
-def sort_suffixes(asked: DataFrame, slices: int, length: int) -> DataFrame:
-    """k, v and LAST_ANSWER: the repeated windows in the segments that are asked for of asked(k, v, text, at, n, flag, anchor)."""
-    names = ("k", "v", "start", "n", "bytes", "h1", "h2")
-
-    def blobs(k, v, start, n, texts, to):
-        order, empty = np.argsort(to, kind="stable"), packed(np.zeros(0, U))
-        cut = np.searchsorted(to[order], np.arange(slices + 1))
-        for s in np.flatnonzero(np.diff(cut)).tolist():
-            x = order[cut[s] : cut[s + 1]]
-            body = np.frombuffer(b"".join([texts[i] for i in x]), np.uint8)
-            yield s, packed(k[x]), packed(v[x]), packed(start[x]), packed(n[x]), packed(body), empty, empty
-
-    def hashed(k, v, start, h1, h2):
-        to, empty = (h1 % U(slices)).astype(np.int32), packed(np.zeros(0, np.uint8))
-        order = np.argsort(to, kind="stable")
-        cut = np.searchsorted(to[order], np.arange(slices + 1))
-        for s in np.flatnonzero(np.diff(cut)).tolist():
-            x = order[cut[s] : cut[s + 1]]
-            yield s, packed(k[x]), packed(v[x]), packed(start[x]), packed(np.zeros(0, np.int32)), empty, packed(h1[x]), packed(h2[x])
-
-    def read(batches):
-        def flush():
-            out = []
-            if cool:
-                k, v, start, n, to = (np.array(x, t) for x, t in zip(list(zip(*cool))[:5], (np.int64, np.int64, np.int32, np.int32, np.int32)))
-                out += blobs(k, v, start, n, [c[5] for c in cool], to)
-            if warm:
-                out += hashed(*map(np.concatenate, zip(*warm)))
-            cool.clear(), warm.clear()
-            return rows("slice", names, out)
-
-        cool, warm, held = [], [], 0
-        for batch in batches:
-            for row in range(batch.num_rows):
-                k, v, text, *lists = (batch.column(i)[row] for i in range(7))
-                k, v, text = k.as_py(), v.as_py(), text.as_buffer()
-                at, n, flag, anchor = (x.values.to_numpy() for x in lists)
-                ask = flag != DONE
-                for s, m, f, to in zip(at[ask].tolist(), n[ask].tolist(), flag[ask].tolist(), (anchor[ask].view(U) % U(slices)).tolist()):
-                    part = text[s : s + m + length - 1].to_pybytes()
-                    held += len(part)
-                    if f == SORT:
-                        cool.append((k, v, s, m, to, part))
-                        continue
-                    own = np.frombuffer(part, np.uint8)
-                    sums, begin = prefix_sums(own), np.arange(m)
-                    second = prefix_sums(own ^ np.uint8(0x5A))
-                    full = lambda x: np.full(m, x, np.int64)
-                    warm.append((full(k), full(v), (s + begin).astype(np.int32), between(sums, begin, begin + length), mix(between(second, begin, begin + length) * SECOND + FIRST)))
-                    held += 32 * m
-                if held > 32 << 20:
-                    yield flush()
-                    held = 0
-        yield flush()
-
-    def compare(table: pa.Table) -> pa.Table:
-        out = []
-        rows = [{x: r[x].as_py() for x in names} for b in table.to_batches() for r in ([dict(zip(b.schema.names, y)) for y in zip(*b.columns)])]
-        cool = [r for r in rows if int.from_bytes(r["bytes"][:8], "little")]
-        if cool:
-            k, v, start, n = (np.concatenate([unpacked(r[x], t) for r in cool]) for x, t in (("k", np.int64), ("v", np.int64), ("start", np.int32), ("n", np.int32)))
-            data = np.concatenate([unpacked(r["bytes"], np.uint8) for r in cool])
+        said = np.empty(len(order), np.uint8)
+        said[order] = DONE * copies + ASK * (new & (different > 1)) + MANY * (different > hot)
+        cut = np.split(said, np.cumsum(per)[:-1])
+        s = table.column("slice")[0].as_py()
+        return pa.Table.from_batches([rows("slice", ("label", "n", "said"), [(s, r, n, packed(x)) for r, n, x in zip(table.column("label").to_pylist(), per, cut)], label=pa.int32(), n=pa.int32())])
+
+    sent = own.groupBy("label").applyInArrow(send, "slice int, label int, anchor binary, w1 binary, w2 binary, many binary")
+    return sent.groupBy("slice").applyInArrow(decide, "slice int, label int, n int, said binary")
+
+
+def sort_suffixes(own: DataFrame, said: DataFrame, slices: int, shards: int, length: int, gram: int) -> DataFrame:
+    """label, slice, n, SENT: answers to each group. Of slice -1: texts, places and numbers of windows that are repeated (of segments that are), and texts, places
+    and numbers among the distinct ones of windows that are counted; of slice -2: of repeated windows from a shard; others: bits of those that are counted, in order."""
+    one = pa.schema([("place", pa.int64()), ("label", pa.int32()), *((x, pa.binary()) for x in SENT)])
+    two = pa.schema([("label", pa.int32()), ("slice", pa.int32()), ("n", pa.int32()), *((x, pa.binary()) for x in SENT)])
+    row = lambda *head_and_blobs, blobs: (*head_and_blobs, *blobs, *([None] * (len(SENT) - len(blobs))))
+
+    def ask(table: pa.Table, answers: pa.Table) -> pa.Table:
+        if not len(answers):
+            return one.empty_table()
+        label = table.column("label")[0].as_py()
+        table, text, start, n, anchor, _, _, order, new = read(table, length, gram)
+        codes = np.concatenate([unpacked(x, np.uint8) for _, x in in_slices(answers, ("n", "said"))])
+        of = np.empty(len(order), np.uint8)
+        of[order] = np.repeat(codes, np.diff(np.append(new, len(order))))
+        done = np.flatnonzero(of & DONE)
+        done = done[np.lexsort((start[done], text[done]))]
+        asked = order[new][codes & ASK > 0]
+        texts, out = table.column("text"), []
+        part = lambda i: texts[text[i]].as_buffer()[start[i] : start[i] + n[i] + length - 1].to_pybytes()
+        few = asked[of[asked] & MANY == 0]
+        to = (mix(anchor[few]) % U(shards)).astype(np.int64)
+        few, to = few[np.argsort(to, kind="stable")], np.sort(to)
+        for s in np.unique(to).tolist():
+            x = few[slice(*np.searchsorted(to, (s, s + 1)))]
+            body = np.frombuffer(b"".join([part(i) for i in x.tolist()]), np.uint8)
+            out.append(row(s, label, blobs=(packed(text[x].astype(np.uint32)), packed(start[x].astype(np.int32)), packed(n[x].astype(np.int32)), packed(body))))
+        counted = asked[of[asked] & MANY > 0]
+        hashes, none = [(np.zeros(0, U), np.zeros(0, U))], np.zeros(0, np.int64)
+        for i in counted.tolist():
+            begin = np.arange(n[i])
+            hashes.append(digests(np.frombuffer(part(i), np.uint8), begin, begin + length))
+        h1, h2 = map(np.concatenate, zip(*hashes))
+        rank = np.lexsort((h2, h1))
+        fresh = np.concatenate([[True], (h1[rank][1:] != h1[rank][:-1]) | (h2[rank][1:] != h2[rank][:-1])]) if len(rank) else np.zeros(0, bool)
+        which = np.empty(len(rank), np.uint32)
+        which[rank] = np.cumsum(fresh) - 1
+        x, many = rank[fresh], np.bincount(which) > 1
+        to = slice_of(h1[x], slices)
+        for s in np.unique(to).tolist():
+            a, b = np.searchsorted(to, (s, s + 1))
+            out.append(row(shards + s, label, blobs=(packed(h1[x[a:b]]), packed(h2[x[a:b]]), packed(many[a:b].astype(np.uint8)))))
+        at = np.concatenate([none, *(start[i] + np.arange(n[i]) for i in counted.tolist())])
+        out.append(row(-1 - label, label, blobs=(packed(text[done].astype(np.uint32)), packed(start[done].astype(np.int32)), packed(n[done].astype(np.int32)), packed(np.repeat(text[counted], n[counted]).astype(np.uint32)), packed(at.astype(np.int32)), packed(which))))
+        return pa.table([pa.array(c, k.type) for c, k in zip(zip(*out), one)], schema=one)
+
+    def answer(table: pa.Table) -> pa.Table:
+        place, labels = table.column("place")[0].as_py(), table.column("label").to_pylist()
+        if place < 0:
+            out = [row(labels[0], -1, None, blobs=tuple(table.column(x)[0].as_py() for x in SENT))]
+        elif place >= shards:
+            per = [int.from_bytes(x.as_py()[:8], "little") for x in table.column("x0")]
+            h1, h2, many = (joined(table, x, t) for x, t in zip(SENT, (U, U, np.uint8)))
+            order = np.lexsort((h2, h1))
+            new = np.concatenate([[True], (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])])
+            which = np.cumsum(new) - 1
+            more = np.empty(len(order), bool)
+            more[order] = (np.bincount(which, many[order].astype(np.int64) + 1) > 1)[which]
+            out = [row(r, place - shards, n, blobs=(bits(x),)) for r, n, x in zip(labels, per, np.split(more, np.cumsum(per)[:-1]))]
+        else:
+            per = [int.from_bytes(x.as_py()[:8], "little") for x in table.column("x0")]
+            text, start, n, data = (joined(table, x, t) for x, t in zip(SENT, (np.uint32, np.int32, np.int32, np.uint8)))
+            label = np.repeat(labels, per)
             size = n.astype(np.int64) + length - 1
             first = np.cumsum(size) - size
             segment = np.repeat(np.arange(len(n)), size)
             inner = np.arange(len(data)) - first[segment]
             a, b = ranges(repeated_windows(data, inner < n[segment], length))
             # eligible places of neighbouring segments are apart by length - 1 bytes, so that a run lies in one segment
-            g = segment[a]
-            out.append((k[g], v[g], start[g] + inner[a], b - a))
-        warm = [r for r in rows if int.from_bytes(r["h1"][:8], "little")]
-        if warm:
-            k, v, start, h1, h2 = (np.concatenate([unpacked(r[x], t) for r in warm]) for x, t in (("k", np.int64), ("v", np.int64), ("start", np.int32), ("h1", U), ("h2", U)))
-            order = np.lexsort((h2, h1))
-            new = np.concatenate([[True], (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])])
-            x = order[(np.bincount(np.cumsum(new) - 1) > 1)[np.cumsum(new) - 1]]
-            out.append((k[x], v[x], start[x], np.ones(len(x), np.int64)))
-        none = np.zeros(0, np.int64)
-        k, v, at, n = map(np.concatenate, zip(*out)) if out else (none,) * 4
-        return pa.Table.from_batches([scattered(k, v, {"at": at.astype(np.int32), "n": n.astype(np.int32)}, slices)])
+            g, out = segment[a], []
+            for r in np.unique(label[g]).tolist():
+                x = np.flatnonzero(label[g] == r)
+                out.append(row(r, -2, None, blobs=(packed(text[g[x]]), packed((start[g[x]] + inner[a[x]]).astype(np.int32)), packed((b - a)[x].astype(np.int32)))))
+        return pa.table([pa.array(c, k.type) for c, k in zip(zip(*out) if out else [[]] * len(two), two)], schema=two)
 
-    answers = asked.mapInArrow(read, schema("slice", names)).groupBy("slice").applyInArrow(compare, schema("bucket", ("k", "v", "per", *LAST_ANSWER)))
-    return gathered(answers, LAST_ANSWER)
+    binary = "".join(f", {x} binary" for x in SENT)
+    asked = own.groupBy("label").cogroup(said.groupBy("label")).applyInArrow(ask, f"place long, label int{binary}")
+    return asked.groupBy("place").applyInArrow(answer, f"label int, slice int, n int{binary}")
 
 
 def cut_out(text: bytes, at, n, length: int = LENGTH) -> tuple[bytes, int, int]:
@@ -316,28 +323,34 @@ def cut_out(text: bytes, at, n, length: int = LENGTH) -> tuple[bytes, int, int]:
 
 def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes) for every row of docs(doc_id, text)."""
-    spark, own = docs.sparkSession, keyed(docs)
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    slices = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // (64 << 20))
-    first = stored(sort_segments(own, slices, length, gram, hot), "segments").withColumnsRenamed({"k": "k1", "v": "v1"})
-    asked = own.join(first.filter(F.exists("flag", lambda f: f != DONE)), (F.col("k") == F.col("k1")) & (F.col("v") == F.col("v1")))
-    sorted_bytes = F.aggregate(F.filter(F.arrays_zip("n", "flag"), lambda x: x["flag"] == SORT), F.lit(0).cast("long"), lambda a, x: a + x["n"] + (length - 1))
-    slices = max(slices, (first.agg(F.sum(sorted_bytes)).first()[0] or 0) // SHARD)
-    second = stored(sort_suffixes(asked.select("k", "v", "text", *FIRST_ANSWER), slices, length), "suffixes").withColumnsRenamed({"k": "k2", "v": "v2", "at": "at2", "n": "n2"})
-    both = own.join(first.drop("anchor"), (F.col("k") == F.col("k1")) & (F.col("v") == F.col("v1")), "left")
-    both = both.join(second, (F.col("k") == F.col("k2")) & (F.col("v") == F.col("v2")), "left").select("k", "text", "at", "n", "flag", "at2", "n2")
+    own, _, size = shelved(docs, F.coalesce(F.col("text").cast("binary"), F.lit(b"")))
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slices, shards = max(partitions, size // SLICE), max(partitions, size // SHARD)
+    said = stored(decided(own, slices, length, gram, hot), "segments")
+    found = stored(sort_suffixes(own, said, slices, shards, length, gram), "suffixes")
     kinds = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
-
-    none = np.zeros(0, np.int32)
-
-    def cut(batches):
-        for b in batches:
-            out = []
-            for k, text, *lists in zip(b.column(0).to_pylist(), *(b.column(i) for i in range(1, 7))):
-                text, (at, n, flag, at2, n2) = text.as_py(), (x.values.to_numpy() if x.is_valid else none for x in lists)
-                whole = flag == DONE
-                kept, removed, spans = cut_out(text, np.concatenate([at[whole], at2]), np.concatenate([n[whole], n2]), length)
-                out.append((None if k == NO_ID else k, len(text), removed, spans, kept))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*out) if out else [[]] * 5, kinds)], schema=kinds)
-
-    return both.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    three = (np.uint32, np.int32, np.int32)
+
+    def cut(table: pa.Table, answers: pa.Table) -> pa.Table:
+        table, gone, counted = in_order(table), [], []
+        for slice_, n, *x in in_slices(answers, ("slice", "n", *SENT)) if len(answers) else ():
+            if slice_ >= 0:
+                counted.append(flags(x[0], n))
+                continue
+            gone.append([unpacked(b, t) for b, t in zip(x, three)])
+            if slice_ == -1:
+                text, at, which = (unpacked(b, t) for b, t in zip(x[3:], (np.uint32, np.int32, np.uint32)))
+        if counted:
+            more = np.concatenate(counted)[which]
+            gone.append([text[more], at[more], np.ones(int(more.sum()), np.int32)])
+        text, at, n = map(np.concatenate, zip(*gone)) if gone else (np.zeros(0, t) for t in three)
+        order, out = np.argsort(text, kind="stable"), []
+        text, at, n = text[order], at[order], n[order]
+        edge = np.searchsorted(text, np.arange(len(table) + 1))
+        for i, t in enumerate(table.column("text")):
+            t, (a, b) = t.as_py(), edge[i : i + 2]
+            kept, removed, spans = cut_out(t, at[a:b], n[a:b], length)
+            out.append((len(t), removed, spans, kept))
+        return pa.table([table.column("doc_id"), *(pa.array(x, k.type) for x, k in zip(zip(*out), list(kinds)[1:]))], schema=kinds)
+
+    return own.groupBy("label").cogroup(found.groupBy("label")).applyInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 from xxhash import xxh3_128_intdigest
 
 U = np.uint64
 #: Odd 64-bit constants (fixed values).
-BASE, FIRST, SECOND = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0xFF51AFD7ED558CCD)
+FIRST, SECOND = U(0xC2B2AE3D27D4EB4F), U(0xFF51AFD7ED558CCD)
 #: Bytes of text handled at once; a longer text is handled alone.
 BYTES = 1 << 20
 #: Bytes beyond which a word is hashed alone.
@@ -24,14 +22,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-@lru_cache(maxsize=1)
-def tables(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A random value for each byte; the first n powers of BASE, and of its inverse modulo 2**64."""
-    inverse = U(pow(int(BASE), -1, 1 << 64))
-    powers = [np.cumprod(np.concatenate([np.ones(1, U), np.full(n - 1, b, U)]), dtype=U) for b in (BASE, inverse)]
-    return mix(np.arange(1, 257, dtype=U) * FIRST), *powers
-
-
 def parts(column: pa.Array):
     """(first, last, bytes, offsets) of consecutive texts of a string column of about BYTES each; null texts are empty."""
     column = column.cast(pa.large_string())

@@ -138,12 +138,24 @@ def test_long_text_in_pieces(monkeypatch):
     text = bytes(np.random.default_rng(1).integers(97, 105, 5000).astype(np.uint8))
     seen = np.zeros(5000, int)
     for _, data, offsets, base in suffixes.pieces(pa.array([text.decode(), "short"]), 200):
-        _, start, n, _, _ = suffixes.segments(data, offsets)
+        _, start, n, *_ = suffixes.segments(data, offsets)
         for s, m in zip(start, n):
             seen[base + s : base + s + m] += 1
     assert (seen[: 5000 - 199] == 1).all() and (seen[5000 - 199 :] == 0).all()
 
 
+def test_suffixes_of_any_ids_and_copies(spark):
+    """The largest id, none, a passage in every document with other words around it, and one document very many times."""
+    rng = np.random.default_rng(5)
+    word = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))
+    passage, copy = word(60), word(90)
+    texts = [(2**63 - 1, word(50) + passage), (None, passage + word(50)), (-(2**63), copy), (None, None)] + [(i, copy) for i in range(40)] + [(100 + i, f"{word(30)} {passage} {word(30)}") for i in range(300)]
+    df = spark.createDataFrame([(i, t, *([None] * 5)) for i, t in texts], SCHEMA).repartition(3)
+    expected = Counter((i, len((t or "").encode()), n, spans, kept) for (i, t), (kept, n, spans) in zip(texts, removed_bytes([(t or "").encode() for _, t in texts], 200)))
+    for hot in (256, 8):
+        assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in suffixes.dedup(df, hot=hot).collect()) == expected
+
+
 def test_suffixes_of_nothing(spark):
     assert suffixes.dedup(empty(spark)).count() == 0
 
