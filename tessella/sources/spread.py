@@ -13,7 +13,7 @@ def spread(df: DataFrame) -> DataFrame:
 
     A scan's tasks are splits of files, but a row group goes to one of them alone, so a small table of long texts would keep one core busy."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= cores:
+    if len(df._jdf.inputFiles()) >= cores:  # counted where Spark has listed them
         return df
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if size < cores * ROW_GROUP else df
