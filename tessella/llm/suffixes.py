@@ -91,7 +91,7 @@ def digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
 def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM):
     """text, start (within data), n (windows), anchor hash, both halves of the segment's hash of all segments; text counts from 0.
 
-    Anchors are picked by sums of powers, quick but not collision-free; this only makes more segments meet."""
+    Anchors are picked by sums of powers, quick but not collision-free; this only makes more segments meet. As least hashes they are small, and are mixed to fill the range."""
     none = np.zeros(0, np.int64)
     n = len(data) - length + 1
     if n <= 0:
@@ -112,7 +112,7 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram:
     start = np.flatnonzero(new)
     # a segment ends where another begins or a text's last window is passed
     stop = np.flatnonzero(np.concatenate([new[1:] | ~inside[1:], [True]]) & inside) + 1
-    return text[start], start, stop - start, h[at[start]], *digests(data, start, stop + length - 1)
+    return text[start], start, stop - start, mix(h[at[start]]), *digests(data, start, stop + length - 1)
 
 
 def order_of(s: np.ndarray, need: int) -> np.ndarray:
@@ -250,7 +250,7 @@ def sort_suffixes(own: DataFrame, said: DataFrame, slices: int, shards: int, len
         texts, out = table.column("text"), []
         part = lambda i: texts[text[i]].as_buffer()[start[i] : start[i] + n[i] + length - 1].to_pybytes()
         few = asked[of[asked] & MANY == 0]
-        to = (mix(anchor[few]) % U(shards)).astype(np.int64)
+        to = (anchor[few] % U(shards)).astype(np.int64)
         few, to = few[np.argsort(to, kind="stable")], np.sort(to)
         for s in np.unique(to).tolist():
             x = few[slice(*np.searchsorted(to, (s, s + 1)))]
