@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from functools import partial
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .text import text
 
@@ -69,12 +69,13 @@ def bleu(reference: str, hypothesis: str, orders: int = 4, standard: bool = Fals
     return 100 * factor * math.prod(found) ** (1 / len(found)) if found else 0.0
 
 
-@F.pandas_udf(StructType([StructField(x, DoubleType()) for x in ("wer", "chrf", "bleu", "bleu_std")]))
-def _scored(reference: pd.Series, hypothesis: pd.Series) -> pd.DataFrame:
-    rows = [(wer(r, h), chrf(r, h), bleu(r, h), bleu(r, h, standard=True)) for r, h in zip(reference, hypothesis)]
-    return pd.DataFrame(rows, columns=["wer", "chrf", "bleu", "bleu_std"]).astype("float64")
+#: name: the measure of a reference and a hypothesis.
+MEASURES = {"wer": wer, "chrf": chrf, "bleu": bleu, "bleu_std": partial(bleu, standard=True)}
 
 
-def scored(reference: Column | str, hypothesis: Column | str) -> Column:
-    """struct(wer, chrf, bleu, bleu_std). A pair's n-grams stay in its row: exploded they would be many times the text in a shuffle."""
-    return _scored(text(reference), text(hypothesis))
+def scored(name: str, reference: Column | str, hypothesis: Column | str) -> Column:
+    """One of MEASURES. Each is a function of its own, so a query pays for those that it asks for.
+
+    A pair's n-grams stay in its row: exploded they would be many times the text in a shuffle."""
+    measure = MEASURES[name]
+    return F.pandas_udf(lambda r, h: pd.Series([measure(x, y) for x, y in zip(r, h)], dtype="float64"), "double")(text(reference), text(hypothesis))

@@ -109,8 +109,15 @@ def plain(c: Column | str) -> Column:
 
 @F.pandas_udf(DoubleType())
 def matching_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """The matching-blocks ratio of two strings; no SQL function has its junk rule for long strings."""
-    return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
+    """The matching-blocks ratio of two strings, null if one is; no SQL function has its junk rule for long strings."""
+    return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
+
+
+def copy_ratio(source: Column | str, target: Column | str, src_lang: Column | str, tgt_lang: Column | str) -> Column:
+    """matching_ratio of the plain texts where it decides: null, without a comparison, for one language or an empty text."""
+    a, b = plain(source), plain(target)
+    asked = (col(src_lang) != col(tgt_lang)) & (a != "") & (b != "")
+    return matching_ratio(F.when(asked, a), F.when(asked, b))
 
 
 def script_name(lang: Column | str) -> Column:
@@ -118,9 +125,9 @@ def script_name(lang: Column | str) -> Column:
 
 
 def near_copy(source: Column | str, target: Column | str, src_lang: Column | str, tgt_lang: Column | str, ratio: Column | None = None) -> Column:
-    """Whether a translation is too like its source. ratio: a column already computed by matching_ratio(plain(source), plain(target))."""
+    """Whether a translation is too like its source. ratio: a column already computed by copy_ratio()."""
     a, b = plain(source), plain(target)
-    ratio = matching_ratio(a, b) if ratio is None else ratio
+    ratio = copy_ratio(source, target, src_lang, tgt_lang) if ratio is None else ratio
     limit = F.when(script_name(src_lang) == script_name(tgt_lang), 0.5).otherwise(0.3)
     score = F.greatest(F.lit(0.0), 1 - ratio)
     return F.when(col(src_lang) == col(tgt_lang), outcome(True, 1.0, "same_language")).when((a == "") | (b == ""), outcome(True, 1.0, "empty")).otherwise(outcome(ratio <= limit, score, F.when(ratio <= limit, "ok").otherwise("near_copy")))

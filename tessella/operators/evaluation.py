@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.metrics import scored
+from ..functions.metrics import MEASURES, scored
 from ..functions.text import distinct_words, let, text, words
 
 METRICS = ("wer_mean", "chrf_mean", "bleu_mean")
@@ -23,8 +23,7 @@ def evaluate(df: DataFrame, translate=None) -> DataFrame:
     if translate is not None:
         df = df.withColumn("hypothesis", translate(F.col("source")))
     kept = df.filter((text("source") != "") & (text("reference") != "") & F.col("hypothesis").isNotNull())
-    out = kept.withColumn("_s", scored("reference", "hypothesis"))
-    return out.select(*df.columns, "_s.*", diversity("hypothesis").alias("repetition_score"))
+    return kept.select(*df.columns, *(scored(m, "reference", "hypothesis").alias(m) for m in MEASURES), diversity("hypothesis").alias("repetition_score"))
 
 
 def upper_median(c: str) -> Column:
@@ -58,9 +57,9 @@ def regression(history: DataFrame, threshold: float = 5.0) -> DataFrame:
     history(benchmark, backend, ts, metrics...): the last entry of a pair is current; it is held against the best of those before, by chrF less
     word error rate, the first on ties. A pair with one entry has no alerts."""
     pair = ["benchmark", "backend"]
-    last = history.withColumn("_k", F.row_number().over(Window.partitionBy(*pair).orderBy(F.col("ts").desc())))
+    last = history.withColumn("_k", F.row_number().over(Window.partitionBy(*pair).orderBy(F.col("ts").desc(), *(F.col(m).desc() for m in METRICS))))
     score = F.coalesce("chrf_mean", F.lit(0.0)) - F.coalesce("wer_mean", F.lit(0.0))
-    best = last.filter("_k > 1").withColumn("_b", F.row_number().over(Window.partitionBy(*pair).orderBy(score.desc(), "ts"))).filter("_b = 1")
+    best = last.filter("_k > 1").withColumn("_b", F.row_number().over(Window.partitionBy(*pair).orderBy(score.desc(), "ts", *METRICS))).filter("_b = 1")
     now, was = (unpivot(x.select(*pair, *METRICS), *pair).filter("value is not null") for x in (last.filter("_k = 1"), best))
     out = now.withColumnRenamed("value", "current").join(was.withColumnRenamed("value", "previous"), [*pair, "metric"])
     out = out.withColumn("delta", F.when(F.col("metric") == "wer_mean", F.col("current") - F.col("previous")).otherwise(F.col("previous") - F.col("current")))

@@ -36,24 +36,62 @@ class Term:
         return ("" if self.case_sensitive else "(?iu)") + (f"{B}{quoted}{B}" if self.whole_word else quoted)
 
 
-#: The builtin terms (fixed values): those kept as they are, then those with a Hindi translation.
-KEPT = {
-    "brand": "Maruti Suzuki, Tata Motors, Mahindra, Hyundai, Toyota, Honda, Kia, MG, Skoda, Volkswagen, BMW, Mercedes, Audi, Jeep, Ford, Nissan, Renault, "
-    "Swift, Baleno, WagonR, Alto, Brezza, Creta, Venue, Nexon, Punch, Harrier, Safari, Scorpio, Thar, XUV700, Bolero",
-}
-HINDI = {
-    "technical": "engine=इंजन, transmission=ट्रांसमिशन, mileage=माइलेज, fuel efficiency=ईंधन दक्षता, horsepower=हॉर्सपावर, torque=टॉर्क, suspension=सस्पेंशन, "
-    "brakes=ब्रेक, airbags=एयरबैग, ABS=ABS, ESP=ESP, infotainment=इंफोटेनमेंट, touchscreen=टचस्क्रीन, sunroof=सनरूफ, boot space=बूट स्पेस, "
-    "ground clearance=ग्राउंड क्लीयरेंस, wheelbase=व्हीलबेस, turbo=टर्बो, automatic=ऑटोमैटिक, manual=मैनुअल, CVT=CVT, DCT=DCT, AMT=AMT",
-    "unit": "kmpl=किलोमीटर प्रति लीटर, km/l=किलोमीटर प्रति लीटर, kmph=किलोमीटर प्रति घंटा, km/h=किलोमीटर प्रति घंटा, cc=सीसी, litre=लीटर, bhp=बीएचपी, Nm=एनएम, mm=एमएम",
-    "price": "lakh=लाख, crore=करोड़, on-road price=ऑन-रोड कीमत, ex-showroom=एक्स-शोरूम",
-    "general": "test drive=टेस्ट ड्राइव, service center=सर्विस सेंटर, warranty=वारंटी, insurance=बीमा, EMI=EMI, down payment=डाउन पेमेंट, exchange=एक्सचेंज, resale value=रिसेल वैल्यू",
-}
+#: The builtin terms (fixed values): names that are kept as they are, then category, term and Hindi translation.
+NAMES = [
+    "Maruti Suzuki", "Tata Motors", "Mahindra", "Hyundai", "Toyota", "Honda", "Kia", "MG", "Skoda", "Volkswagen", "BMW", "Mercedes",
+    "Audi", "Jeep", "Ford", "Nissan", "Renault", "Swift", "Baleno", "WagonR", "Alto", "Brezza", "Creta", "Venue", "Nexon", "Punch",
+    "Harrier", "Safari", "Scorpio", "Thar", "XUV700", "Bolero",
+]
+HINDI = [
+    ("technical", "engine", "इंजन"),
+    ("technical", "transmission", "ट्रांसमिशन"),
+    ("technical", "mileage", "माइलेज"),
+    ("technical", "fuel efficiency", "ईंधन दक्षता"),
+    ("technical", "horsepower", "हॉर्सपावर"),
+    ("technical", "torque", "टॉर्क"),
+    ("technical", "suspension", "सस्पेंशन"),
+    ("technical", "brakes", "ब्रेक"),
+    ("technical", "airbags", "एयरबैग"),
+    ("technical", "ABS", "ABS"),
+    ("technical", "ESP", "ESP"),
+    ("technical", "infotainment", "इंफोटेनमेंट"),
+    ("technical", "touchscreen", "टचस्क्रीन"),
+    ("technical", "sunroof", "सनरूफ"),
+    ("technical", "boot space", "बूट स्पेस"),
+    ("technical", "ground clearance", "ग्राउंड क्लीयरेंस"),
+    ("technical", "wheelbase", "व्हीलबेस"),
+    ("technical", "turbo", "टर्बो"),
+    ("technical", "automatic", "ऑटोमैटिक"),
+    ("technical", "manual", "मैनुअल"),
+    ("technical", "CVT", "CVT"),
+    ("technical", "DCT", "DCT"),
+    ("technical", "AMT", "AMT"),
+    ("unit", "kmpl", "किलोमीटर प्रति लीटर"),
+    ("unit", "km/l", "किलोमीटर प्रति लीटर"),
+    ("unit", "kmph", "किलोमीटर प्रति घंटा"),
+    ("unit", "km/h", "किलोमीटर प्रति घंटा"),
+    ("unit", "cc", "सीसी"),
+    ("unit", "litre", "लीटर"),
+    ("unit", "bhp", "बीएचपी"),
+    ("unit", "Nm", "एनएम"),
+    ("unit", "mm", "एमएम"),
+    ("price", "lakh", "लाख"),
+    ("price", "crore", "करोड़"),
+    ("price", "on-road price", "ऑन-रोड कीमत"),
+    ("price", "ex-showroom", "एक्स-शोरूम"),
+    ("general", "test drive", "टेस्ट ड्राइव"),
+    ("general", "service center", "सर्विस सेंटर"),
+    ("general", "warranty", "वारंटी"),
+    ("general", "insurance", "बीमा"),
+    ("general", "EMI", "EMI"),
+    ("general", "down payment", "डाउन पेमेंट"),
+    ("general", "exchange", "एक्सचेंज"),
+    ("general", "resale value", "रिसेल वैल्यू"),
+]
 
 
 def builtin() -> list[Term]:
-    kept = [Term(x, {"hi": x}, c) for c, names in KEPT.items() for x in names.split(", ")]
-    return kept + [Term(a, {"hi": b}, c) for c, pairs in HINDI.items() for a, _, b in (p.partition("=") for p in pairs.split(", "))]
+    return [Term(x, {"hi": x}, "brand") for x in NAMES] + [Term(term, {"hi": hindi}, category) for category, term, hindi in HINDI]
 
 
 def merged(terms: list[Term]) -> list[Term]:
@@ -130,14 +168,17 @@ def lock(df: DataFrame, c: str, terms: list[Term], form: str = "<<{category}:{in
     return marked.withColumns({out: F.aggregate("_m", text(c), replaced), "placeholders": F.map_from_entries(F.transform("_m", lambda x: F.struct(x["name"], x["matched"])))}).drop("_m")
 
 
-def restore(c: Column | str, placeholders: Column | str, lang: str, terms: list[Term]) -> Column:
-    """c with each placeholder replaced by its term's translation, or by what was matched.
+def restore(c: Column | str, placeholders: Column | str, lang: Column | str, terms: list[Term]) -> Column:
+    """c with each placeholder replaced by its term's translation, or by what was matched. lang: a language, or a column of each row's.
 
     Terms are looked up in lower case: a case-sensitive term with capitals is thus not found and stays as matched."""
-    known = {t.key: t.translations[lang] for t in merged(terms) if lang in t.translations}
-    lookup = F.create_map(*(F.lit(x) for kv in known.items() for x in kv)) if known else F.create_map().cast("map<string,string>")
+    lang = lang if isinstance(lang, Column) else F.lit(lang)
+    known = {(k, t.key): x for t in merged(terms) for k, x in t.translations.items()}
+    # a language and a term are one key, since neither has the mark between them
+    lookup = F.create_map(*(F.lit(x) for (k, t), x in known.items() for x in (f"{k}\n{t}", x))) if known else F.create_map().cast("map<string,string>")
     entries = F.map_entries(F.col(placeholders) if isinstance(placeholders, str) else placeholders)
-    return F.aggregate(entries, text(c), lambda t, e: F.replace(t, e["key"], F.coalesce(F.try_element_at(lookup, F.lower(e["value"])), e["value"])))
+    said = lambda e: F.coalesce(F.try_element_at(lookup, F.concat(lang, F.lit("\n"), F.lower(e["value"]))), e["value"])
+    return F.aggregate(entries, text(c), lambda t, e: F.replace(t, e["key"], said(e)))
 
 
 def verify(df: DataFrame, key: str, source: str, target: str, lang: str, terms: list[Term]) -> DataFrame:

@@ -82,27 +82,34 @@ def register(name: str, factory: Callable[[], Translator]) -> None:
     FACTORIES[name] = factory
 
 
-def translated(df: DataFrame, factory: Callable[[], Translator], out: str = "hypothesis") -> DataFrame:
-    """Adds out for df(text, src, tgt): blank texts stay blank, failed ones become null."""
+def translated(df: DataFrame, factory: Callable[[], Translator] | dict, out: str = "hypothesis") -> DataFrame:
+    """Adds out for df(text, src, tgt): blank texts stay blank, failed ones become null.
+
+    factory: of one backend for all rows, or a dict of factories by the name in the column backend, with None for all other names. A worker creates
+    a backend when its first row comes."""
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), f"`{out}` string"])
+    by_name = factory if isinstance(factory, dict) else {None: factory}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        backend = factory()
+        made: dict = {}
         for b in batches:
             got: list = [""] * len(b)
-            real = [i for i, t in enumerate(b["text"]) if t is not None and t.strip()]
-            pairs: dict = {}
-            for i in real:
-                pairs.setdefault((b["src"].iat[i], b["tgt"].iat[i]), []).append(i)
-            for (src, tgt), rows in pairs.items():
+            names = b["backend"] if isinstance(factory, dict) else [None] * len(b)
+            calls: dict = {}
+            for i, (t, name) in enumerate(zip(b["text"], names)):
+                if t is not None and t.strip():
+                    calls.setdefault((name if name in by_name else None, b["src"].iat[i], b["tgt"].iat[i]), []).append(i)
+            for (name, src, tgt), rows in calls.items():
                 try:
+                    backend = made.get(name) or made.setdefault(name, by_name[name]())
                     for i, t in zip(rows, backend.translate_batch([b["text"].iat[i] for i in rows], src, tgt)):
                         got[i] = t
                 except Exception:  # a failing model fails its texts, not the job
                     for i in rows:
                         got[i] = None
             yield b.assign(**{out: got})
-        backend.unload()
+        for backend in made.values():
+            backend.unload()
 
     return df.mapInPandas(run, schema)
 

@@ -409,7 +409,7 @@ q AS (SELECT conv_id, turn, avg(mc / hc) AS p, avg(CASE WHEN length(ref) - n + 1
 
 @query(f"WITH {CHRF_SQL} SELECT conv_id, turn, round(CASE WHEN coalesce(p, 0) + coalesce(r, 0) = 0 THEN 0 ELSE 100 * 10 * p * r / (9 * p + r) END, 6) AS chrf FROM pr LEFT JOIN q USING (conv_id, turn)")
 def q_chrf(spark, sf_dir):
-    return pairs(spark, sf_dir).select("conv_id", "turn", r6(scored("reference", "hypothesis")["chrf"]).alias("chrf"))
+    return pairs(spark, sf_dir).select("conv_id", "turn", r6(scored("chrf", "reference", "hypothesis")).alias("chrf"))
 
 
 @query(f"""WITH {PAIRS}, w AS (SELECT conv_id, turn, {sql_words('ref')} AS rw, {sql_words('hyp')} AS hw FROM pr), o AS (SELECT unnest(range(1, 5)) AS n),
@@ -419,12 +419,12 @@ m AS (SELECT conv_id, turn, n, sum(least(h.c, coalesce(f.c, 0))) / sum(h.c) AS p
 q AS (SELECT conv_id, turn, exp(avg(ln(p))) AS gm FROM m WHERE p > 0 GROUP BY ALL)
 SELECT conv_id, turn, round(100 * coalesce(gm, 0) * CASE WHEN len(hw) = 0 THEN 0 WHEN len(hw) > len(rw) THEN 1 WHEN len(rw) = 0 THEN 0 ELSE 1 - len(rw) / len(hw) END, 6) + 0 AS bleu FROM w LEFT JOIN q USING (conv_id, turn)""")
 def q_bleu(spark, sf_dir):
-    return pairs(spark, sf_dir).select("conv_id", "turn", (r6(scored("reference", "hypothesis")["bleu"]) + 0).alias("bleu"))
+    return pairs(spark, sf_dir).select("conv_id", "turn", (r6(scored("bleu", "reference", "hypothesis")) + 0).alias("bleu"))
 
 
 @query()
 def q_wer(spark, sf_dir):
-    return pairs(spark, sf_dir).select("conv_id", "turn", r6(scored("reference", "hypothesis")["wer"]).alias("wer"))
+    return pairs(spark, sf_dir).select("conv_id", "turn", r6(scored("wer", "reference", "hypothesis")).alias("wer"))
 
 
 @query()

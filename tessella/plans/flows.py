@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import validators
 from ..functions.text import squash, strip
 from ..operators import chunking, glossary, routing, timeline
+from ..sources.staged import stored
 from .backends import translated
 
 
@@ -30,20 +31,23 @@ def postprocess_transcript(segments: DataFrame, lang_prob: float | None = None)
 def translate(df: DataFrame, terms: list, waves: list, strict: bool = True) -> DataFrame:
     """Locks terms, routes, translates, restores and validates df(id, text, src, tgt); what fails goes on to the next of waves.
 
-    waves: backend factories in the order of trial. Adds translation, passed, score, reason, backend, wave; the last wave's result stays even if it failed."""
-    lang = df.select("tgt").first()
-    lang = lang[0] if lang else ""
+    waves: in the order of trial, each a backend factory, or factories by the name of the backend that a row is routed to. The first wave takes a row's resolved
+    source language. Terms are restored in each row's own target language. Adds translation, passed, score, reason, backend, wave; the last wave's result stays
+    even if it failed. Each wave is stored, so that no model is called again for what follows it."""
     left = routing.route_texts(glossary.lock(df, "text", terms))
+    held = [*df.columns, "locked_text", "placeholders", "backend", "resolved_src"]
     out = None
     for k, factory in enumerate(waves):
-        tried = translated(left.withColumnsRenamed({"text": "source", "locked_text": "text"}), factory).withColumnsRenamed({"text": "locked_text", "source": "text"})
-        tried = tried.withColumn("translation", glossary.restore("hypothesis", "placeholders", lang, terms))
-        tried = tried.withColumn("_r", validators.matching_ratio(validators.plain("text"), validators.plain("translation")))
+        asked = left.select(*(F.col(c).alias("source" if c == "text" else "_src" if c == "src" else c) for c in held)).withColumnsRenamed({"locked_text": "text"})
+        asked = asked.withColumn("src", F.col("resolved_src" if k == 0 else "_src"))
+        tried = translated(asked, factory).withColumnsRenamed({"text": "locked_text"}).drop("src").withColumnsRenamed({"source": "text", "_src": "src"})
+        tried = tried.withColumn("translation", glossary.restore("hypothesis", "placeholders", F.col("tgt"), terms))
+        tried = tried.withColumn("_r", validators.copy_ratio("text", "translation", "src", "tgt"))
         tried = tried.withColumn("_v", validators.validate_translation("text", "translation", "src", "tgt", strict, F.col("_r")))
-        tried = tried.select(*df.columns, "locked_text", "placeholders", "backend", "resolved_src", "translation", "_v.*", F.lit(k).alias("wave"))
+        tried = stored(tried.select(*held, "translation", "_v.*", F.lit(k).alias("wave")), f"wave-{k}")
         done = tried if k == len(waves) - 1 else tried.filter("passed")
         out = done if out is None else out.unionByName(done)
-        left = tried.filter(~F.col("passed")).select(*df.columns, "locked_text", "placeholders", "backend", "resolved_src")
+        left = tried.filter(~F.col("passed")).select(*held)
     return out
 
 
@@ -56,7 +60,7 @@ def translate_chunks(segments: DataFrame, src: str, tgt: str, factory, small: in
     chunks = chunking.chunk_semantic(whole.join(times, "video")).withColumns({"src": F.lit(src), "tgt": F.lit(tgt)})
 
     def tried(df: DataFrame, strict: bool) -> DataFrame:
-        out = translated(df, factory).withColumn("_r", validators.matching_ratio(validators.plain("text"), validators.plain("hypothesis")))
+        out = translated(df, factory).withColumn("_r", validators.copy_ratio("text", "hypothesis", "src", "tgt"))
         return out.withColumn("_v", validators.validate_translation("text", "hypothesis", "src", "tgt", strict, F.col("_r"))).withColumns({"passed": F.col("_v.passed"), "score": F.col("_v.score")}).drop("_v", "_r")
 
     key = ["video", "chunk_idx", "start", "end"]

@@ -1,6 +1,8 @@
 """Timeline, chunking, glossary, routing, evaluation and audio operators on hand-made rows."""
 
 import math
+import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -100,6 +102,19 @@ def test_chunkers():
     assert chunking.speakable("short one, " + "word " * 12 + "end.", 30)[-1] == "short one,"
 
 
+def test_speakable_in_any_text():
+    rng = random.Random(3)
+    for _ in range(400):
+        t = "".join(rng.choice(["a", "bb", "dddd", " ", " ", ". ", "! ", ", ", "; ", "x" * rng.randrange(1, 30)]) for _ in range(rng.randrange(60)))
+        whole, held = chunking.speakable(t, 25, 5, lossless=True), chunking.speakable(t, 25, 5)
+        assert " ".join(whole).split() == t.split()  # in order, and nothing is lost
+        # otherwise words may come in another order, and one short piece at the end may be missing
+        rest = Counter(t.split())
+        rest.subtract(Counter(" ".join(held).split()))
+        assert min(rest.values(), default=0) >= 0 and len(" ".join(rest.elements())) < 5 or len(" ".join(t.split())) < 5
+        assert all(len(x) <= 25 or " " not in x for x in (*whole, *held))
+
+
 def test_pack_requests(spark):
     def greedy(texts):
         groups, c, b, n, g = [], 0, 0, 0, -1
