@@ -3,42 +3,23 @@
 from __future__ import annotations
 
 import gc
-import re
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.staged import shared_dir, stored  # noqa: F401
+
 #: The ASCII white space that separates words, as a Java character class.
 SPACE = r"[\x20\x09-\x0D]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it. Only a session on one machine may leave it out: it gets one under /tmp."""
-    if at := spark.conf.get("spark.checkpoint.dir", None):
-        return at.rstrip("/")
-    if not re.match(r"local(\[|$)", spark.sparkContext.master):
-        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
-    return "file:///tmp/tessella-shared"
-
-
 def release(spark: SparkSession) -> None:
     """Has the driver drop what it no longer refers to, so that Spark deletes the shuffle files of jobs that are over."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, written as Parquet in the shared folder and read again: lineage ends there, so lost executors lose nothing of it.
-
-    The tables of an application lie together under its id and can be deleted when it has ended."""
-    spark = df.sparkSession
-    at = f"{shared_dir(spark)}/tessella/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
-
-
 def let(value: Column, body) -> Column:
     """body(value) with value computed once."""
     return F.element_at(F.transform(F.array(value), body), 1)
