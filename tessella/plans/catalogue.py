@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from ..functions.scripts import BLOCKS, MODEL_CODES, ROUTES, SCRIPTS, SPEECH_NAM
 from ..operators import audio, chunking, evaluation, glossary, routing, timeline
 from ..ship import ship
 from ..sources import files
+from ..sources.staged import shared_dir
 from ..streaming import streams
 from . import flows
 from .backends import Identity, Marked
@@ -93,7 +96,19 @@ def q_phrase_loops(spark, sf_dir):
     return d.select("doc_id", F.col("p.item").alias("phrase"), F.col("p.n").cast("long").alias("times"))
 
 
-@query()
+_tail = f"regexp_extract(l[i], '[{WC}]+$')"
+
+def loops_sql(rel: str, key: str) -> str:
+    """Loops of the texts in rel, by key: single characters, words that follow each other, and phrases."""
+    return f"""lw AS (SELECT {key}, {sql_words('text')} AS w, list_transform(w, lambda x: lower(x)) AS l, string_split(lower(coalesce(text, '')), '') AS c FROM {rel}),
+lf AS (SELECT {key}, w, l, len(list_filter(range(1, len(c) - 3), lambda i: c[i] <> chr(10) AND c[i] = c[i + 1] AND c[i] = c[i + 2] AND c[i] = c[i + 3] AND c[i] = c[i + 4])) > 0 AS char_loop,
+  len(list_filter(range(1, len(l) - 1), lambda i: {_tail} <> '' AND l[i + 1] = {_tail} AND starts_with(l[i + 2], {_tail}))) > 0 AS word_loop FROM lw),
+lp AS (SELECT DISTINCT {key}, true AS phrase FROM (SELECT {key}, p FROM (SELECT {key}, n, array_to_string(list_slice(l, i, i + n - 1), ' ') AS p FROM (SELECT {key}, l, n, unnest(range(1, len(l) - n + 2)) AS i FROM lf, (VALUES (2), (3), (4), (5)) AS v(n) WHERE len(l) >= 2 * n)) GROUP BY ALL HAVING count(*) >= 3)),
+lo AS (SELECT lf.*, CASE WHEN len(w) < 4 THEN 'short' WHEN char_loop THEN 'char_loop' WHEN word_loop THEN 'word_loop' WHEN phrase THEN 'phrase_loop' ELSE 'ok' END AS loop, loop IN ('short', 'ok') AS loop_valid,
+  CASE loop WHEN 'short' THEN 1 WHEN 'phrase_loop' THEN 0.1 WHEN 'ok' THEN len(list_distinct(l)) / len(w) ELSE 0 END::DOUBLE AS loop_score FROM lf LEFT JOIN lp USING ({key}))"""
+
+
+@query(f"WITH {loops_sql('documents', 'doc_id')} SELECT doc_id, char_loop, word_loop, loop_valid AS valid, round(loop_score, 6) AS score, loop AS code FROM lo")
 def q_loop_detection(spark, sf_dir):
     d = docs(spark, sf_dir).select("doc_id", V.char_loop("text").alias("char_loop"), V.word_loop("text").alias("word_loop"), V.loops("text").alias("l"))
     return d.select("doc_id", "char_loop", "word_loop", "l.valid", r6("l.score").alias("score"), "l.code")
@@ -105,7 +120,12 @@ def q_asr_gate(spark, sf_dir):
     return d.select("doc_id", V.gate("text", "lang", F.lit("en"), F.lit(0.7)).alias("reason"), r6(T.repetition_score("text")).alias("repetition"))
 
 
-@query()
+@query(f"""WITH {SCRIPT_SQL}, {GARBAGE_SQL}, {loops_sql('documents', 'doc_id')},
+a AS (SELECT doc_id, length({sql_strip('text')}) < 3 AS little, doc_id % 10 / 10 AS conf, conf > 0 AND conf < 0.5::DOUBLE AS low, d.lang IS NOT NULL AND d.lang NOT IN ('', 'auto') AS asked, loop, loop_valid, loop_score, ratio, ratio <= 0.2::DOUBLE AS clean, scv.valid, scv.score, scv.code
+  FROM documents d JOIN lo USING (doc_id) JOIN gb USING (doc_id) JOIN scv USING (doc_id)),
+b AS (SELECT *, concat_ws('; ', CASE WHEN NOT loop_valid THEN loop END, CASE WHEN NOT clean THEN 'garbage' END, CASE WHEN low THEN 'low_confidence' END, CASE WHEN asked AND NOT valid THEN code END) AS reason,
+  (loop_score + greatest(0, 1 - ratio / 0.2::DOUBLE) + CASE WHEN low THEN conf ELSE 0 END + CASE WHEN asked THEN score ELSE 0 END) / (2 + low::INT + asked::INT) AS mean FROM a)
+SELECT doc_id, NOT little AND reason = '' AS passed, round(CASE WHEN little THEN 0 ELSE mean END, 6) AS score, CASE WHEN little THEN 'too_short' ELSE reason END AS reason FROM b""")
 def q_asr_validation(spark, sf_dir):
     d = docs(spark, sf_dir).select("doc_id", V.validate_transcript("text", "lang", F.col("doc_id") % 10 / 10).alias("v"))
     return d.select("doc_id", "v.passed", r6("v.score").alias("score"), "v.reason")
@@ -116,7 +136,15 @@ def q_repetition_warning(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", V.repetition_warning("text").alias("warning"))
 
 
-@query()
+_garbage = f"CASE WHEN length(text) > 0 THEN {sql_count('text', '[^' + WC + WS[1:-1] + BLOCKS + '.,!?;:' + chr(39) * 2 + chr(34) + '-]')} / length(text) ELSE 0 END"
+
+
+@query(f"""WITH {SEG_CONV}, {loops_sql('seg', 'video, seg_idx')},
+a AS (SELECT video, seg_idx, en - st AS n, text, w, l, loop, loop_valid, loop_score, {_garbage} AS ratio FROM seg JOIN lo USING (video, seg_idx)),
+b AS (SELECT *, length({sql_strip('text')}) < 3 AS little, (n > 2 AND len(w) / n < 0.3::DOUBLE) OR contains(text, '♪') OR contains(text, '♫') OR list_has_any(string_split_regex(lower(coalesce(text, '')), '[^{WC}]+'), ['music', 'instrumental', 'bgm', 'background'])
+  OR len(list_filter(range(1, len(l) - 1), lambda i: regexp_full_match(l[i + 1], '[{WC}]+') AND ends_with(l[i], l[i + 1]) AND starts_with(l[i + 2], l[i + 1]))) > 0 AS music FROM a),
+c AS (SELECT *, CASE WHEN n < 0.5::DOUBLE THEN 'short' WHEN n > 15 THEN 'long' WHEN music THEN 'suspicious' WHEN little THEN 'too_short' END AS early, concat_ws('; ', CASE WHEN NOT loop_valid THEN loop END, CASE WHEN ratio > 0.2::DOUBLE THEN 'garbage' END) AS reason FROM b)
+SELECT video, seg_idx::INTEGER AS seg_idx, early IS NULL AND reason = '' AS passed, round(CASE WHEN early IS NULL THEN (loop_score + greatest(0, 1 - ratio / 0.2::DOUBLE)) / 2 ELSE 0 END, 6) AS score, coalesce(early, reason) AS reason FROM c""")
 def q_segment_quality(spark, sf_dir):
     s = seg_conv(spark, sf_dir)
     return s.select("video", "seg_idx", V.validate_segment("text", "start", "end", timeline.is_music("text", F.col("end") - F.col("start"))).alias("v")).select("video", "seg_idx", "v.passed", r6("v.score").alias("score"), "v.reason")
@@ -311,7 +339,9 @@ def q_timecodes(spark, sf_dir):
     return seg_conv(spark, sf_dir).select("video", "seg_idx", T.timecode(F.round("start", 1)).alias("timecode"))
 
 
-@query()
+@query(f"""WITH {SEG_CONV}, a AS (SELECT *, {sql_squeeze('text')} AS t FROM seg),
+b AS (SELECT *, CASE WHEN length(t) >= 2 AND t[1] IN ('"', chr(39)) AND t[1] = t[-1] THEN {sql_strip('t[2:-2]')} ELSE t END AS u FROM a)
+SELECT video, seg_idx::INTEGER AS seg_idx, CASE WHEN seg_idx % 5 = 4 THEN 'edited' WHEN u <> '' THEN u ELSE text END AS text FROM b""")
 def q_review_round_trip(spark, sf_dir):
     s = seg_conv(spark, sf_dir)
     lines = s.select("video", F.col("seg_idx").alias("line_no"), F.when(F.col("seg_idx") % 5 == 4, files.review_line(c=F.lit("edited"))).otherwise(files.review_line()).alias("line"))
@@ -324,6 +354,36 @@ def q_stems_and_keys(spark, sf_dir):
     return p.select("page_id", T.safe_stem("url").alias("stem"), files.resume_key("page_id", "url", F.lit(None), F.length("html")).alias("resume_key"))
 
 
+# sources, written and read back
+
+def _written(spark, name: str) -> str:
+    return f"{shared_dir(spark)}/tessella/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+@query("SELECT 'set ' || item_id % 4 AS name, 'en' AS src_lang, 'hi' AS tgt_lang, (row_number() OVER (PARTITION BY item_id % 4 ORDER BY item_id) - 1)::INTEGER AS segment_index, text AS source, text || '!' AS reference, NULL::VARCHAR AS context FROM benchmark")
+def q_benchmark_source(spark, sf_dir):
+    b = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("set "), (F.col("item_id") % 4).cast("string")).alias("name"), F.lit("en").alias("src_lang"), F.lit("hi").alias("tgt_lang"), F.col("item_id").alias("segment_index"), F.col("text").alias("source"), F.concat("text", F.lit("!")).alias("reference"), F.lit(None).cast("string").alias("context"))
+    files.write_benchmark(b, at := _written(spark, "benchmarks"))
+    return files.read_benchmarks(spark, at)
+
+
+@query(f"WITH {HISTORY}, n AS (SELECT benchmark, backend, doc_id % 4 AS ts, count(*) AS n FROM mt GROUP BY ALL) SELECT benchmark, backend, make_timestamp((ts * 86400000000)::BIGINT) AS ts, round(wer_mean, 6) AS wer_mean, round(chrf_mean, 6) AS chrf_mean, round(bleu_mean, 6) AS bleu_mean, n AS num_segments FROM hs JOIN n USING (benchmark, backend, ts)")
+def q_history_source(spark, sf_dir):
+    h = metrics(spark, sf_dir).groupBy("benchmark", "backend", (F.col("doc_id") % 4).alias("t")).agg(*(F.avg(m).alias(f"{m}_mean") for m in ("wer", "chrf", "bleu")), F.count("*").alias("num_segments")).withColumn("ts", F.timestamp_seconds(F.col("t") * 86400))
+    at = _written(spark, "history")
+    for day in range(4):
+        files.append_history(h.filter(F.col("t") == day).drop("t"), at)
+    return files.read_history(spark, at).select("benchmark", "backend", F.col("ts").cast("timestamp_ntz").alias("ts"), *(r6(f"{m}_mean").alias(f"{m}_mean") for m in ("wer", "chrf", "bleu")), "num_segments")
+
+
+@query("SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey % 2 = 0")
+def q_checkpoint_source(spark, sf_dir):
+    """A step saved under a run's key, and resumed under it."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
+    files.save_checkpoint(c.filter("c_custkey % 2 = 0"), at := _written(spark, "checkpoints"), "load", "run|1")
+    return files.load_checkpoint(spark, at, "load", "run|1")
+
+
 # glossary
 
 TERMS = [glossary.Term("the", {"hi": "ही"}, "general"), glossary.Term("was", {"hi": "था"}, "verb"), glossary.Term("that", {"hi": "वह"}, "general"), glossary.Term("de", {}, "general"), glossary.Term("The", {"hi": "दी"}, "name", case_sensitive=True), glossary.Term("and", {"hi": "और"}, "general", locked=False)]
@@ -422,7 +482,11 @@ def q_bleu(spark, sf_dir):
     return pairs(spark, sf_dir).select("conv_id", "turn", (r6(scored("bleu", "reference", "hypothesis")) + 0).alias("bleu"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {PAIRS}, w AS (SELECT conv_id, turn, list_transform({sql_words('ref')}, lambda x: lower(x)) AS r, list_transform({sql_words('hyp')}, lambda x: lower(x)) AS h FROM pr),
+e(conv_id, turn, i, d) AS (SELECT conv_id, turn, 0, range(0, len(h) + 1) FROM w UNION ALL
+  SELECT conv_id, turn, i + 1, list_transform(range(0, len(b)), lambda j: j + list_min(list_transform(b[1:j + 1], lambda x, k: x - k + 1)))
+  FROM (SELECT e.conv_id, e.turn, i, list_prepend((i + 1)::BIGINT, list_transform(range(1, len(h) + 1), lambda j: least(d[j + 1] + 1, d[j] + (h[j] <> r[i + 1])::BIGINT))) AS b FROM e JOIN w ON w.conv_id = e.conv_id AND w.turn = e.turn WHERE i < len(r)))
+SELECT w.conv_id, w.turn, round(CASE WHEN len(r) = 0 THEN 0 ELSE least(1, d[-1] / len(r)) END, 6) AS wer FROM w JOIN e ON w.conv_id = e.conv_id AND w.turn = e.turn AND i = len(r)""")
 def q_wer(spark, sf_dir):
     return pairs(spark, sf_dir).select("conv_id", "turn", r6(scored("wer", "reference", "hypothesis")).alias("wer"))
 
@@ -477,17 +541,44 @@ def _pieces(d: DataFrame, how, **options) -> DataFrame:
     return d.select("doc_id", F.posexplode(chunking.chunked("text", how, **options)).alias("chunk_idx", "text"))
 
 
-@query()
+@query(f"""WITH RECURSIVE d AS (SELECT doc_id, {sql_squeeze('text')} AS t FROM documents),
+s AS (SELECT doc_id, i, s[i] AS s, length(s[i]) > 1200 AS long, coalesce(length(s[i - 1]) > 1200, false) AS after FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, CASE WHEN length(t) <= 1200 THEN list_filter([t], lambda x: x <> '') ELSE {sql_sentences('t')} END AS s FROM d))),
+w AS (SELECT doc_id, i, j, w[j] AS w, j = 1 OR length(w[j - 1]) > 1200 AS begins FROM (SELECT doc_id, i, string_split(s, ' ') AS w, unnest(range(1, len(string_split(s, ' ')) + 1)) AS j FROM s WHERE long)),
+u AS (SELECT doc_id, i, 0 AS j, 0 AS k, s AS u, after AS begins FROM s WHERE NOT long UNION ALL SELECT doc_id, i, j, 0, w, begins FROM w WHERE length(w) <= 1200
+  UNION ALL SELECT doc_id, i, j, k, substr(w, 1200 * k + 1, 1200), true FROM (SELECT *, unnest(range(0, (length(w) + 1199) // 1200)) AS k FROM w WHERE length(w) > 1200)),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i, j, k) AS n FROM u),
+g(doc_id, n, size, chunk) AS (SELECT doc_id, n, length(u), 0 FROM o WHERE n = 1 UNION ALL
+  SELECT o.doc_id, o.n, CASE WHEN begins OR size + 1 + length(u) > 1200 THEN length(u) ELSE size + 1 + length(u) END, chunk + (begins OR size + 1 + length(u) > 1200)::INT FROM g JOIN o ON o.doc_id = g.doc_id AND o.n = g.n + 1)
+SELECT doc_id, chunk AS chunk_idx, string_agg(u, ' ' ORDER BY n) AS text FROM g JOIN o USING (doc_id, n) GROUP BY doc_id, chunk""")
 def q_chunk_simple(spark, sf_dir):
     return _pieces(docs(spark, sf_dir), chunking.by_sentences, limit=1200)
 
 
-@query()
+_clean = f"regexp_replace(regexp_replace({sql_squeeze('text')}, '([.!?,;:]){{4,}}', '\\1\\1\\1', 'g'), '[<>\"''`\\\\]', '', 'g')"
+
+
+@query(f"""WITH RECURSIVE d AS (SELECT doc_id, {_clean} AS t FROM documents),
+s AS (SELECT doc_id, i, s[i] AS s, length(s[i]) > 80 AS long FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, {sql_sentences('t', '.!?।')} AS s FROM d WHERE length(t) > 80))),
+c AS (SELECT doc_id, i, j, c[j] AS c, long FROM (SELECT doc_id, i, c, long, unnest(range(1, len(c) + 1)) AS j FROM (SELECT doc_id, i, long, CASE WHEN long THEN {sql_sentences('s', ',;')} ELSE [s] END AS c FROM s))),
+p AS (SELECT doc_id, sum((long AND j = 1)::INT) OVER w AS stretch, row_number() OVER w AS i, c FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY i, j ROWS UNBOUNDED PRECEDING)),
+u AS (SELECT doc_id, stretch, 0 AS grp, i, 0 AS j, c AS u FROM p WHERE length(c) <= 80 UNION ALL SELECT doc_id, stretch, i, i, j, w[j] FROM (SELECT *, {sql_words('c')} AS w, unnest(range(1, len({sql_words('c')}) + 1)) AS j FROM p WHERE length(c) > 80)),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, stretch, grp ORDER BY i, j) AS n FROM u),
+g(doc_id, stretch, grp, n, size, run) AS (SELECT doc_id, stretch, grp, n, length(u), 0 FROM o WHERE n = 1 UNION ALL
+  SELECT o.doc_id, o.stretch, o.grp, o.n, CASE WHEN size + 1 + length(u) > 80 THEN length(u) ELSE size + 1 + length(u) END, run + (size + 1 + length(u) > 80)::INT FROM g JOIN o ON o.doc_id = g.doc_id AND o.stretch = g.stretch AND o.grp = g.grp AND o.n = g.n + 1),
+r AS (SELECT doc_id, stretch, grp, run, string_agg(u, ' ' ORDER BY n) AS text, min(i) AS i FROM g JOIN o USING (doc_id, stretch, grp, n) GROUP BY ALL),
+t AS (SELECT *, CASE WHEN grp > 0 THEN i ELSE lead(i) OVER (PARTITION BY doc_id, stretch, grp ORDER BY run) END AS done FROM r),
+a AS (SELECT doc_id, text, grp, row_number() OVER w - 1 AS k, count(*) OVER (PARTITION BY doc_id) - 1 AS last FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY stretch, done NULLS LAST, run))
+SELECT doc_id, k::INTEGER AS chunk_idx, text FROM a WHERE NOT (k = last AND grp = 0 AND length(text) < 10) UNION ALL SELECT doc_id, 0, t FROM d WHERE length(t) BETWEEN 10 AND 80""")
 def q_chunk_tts(spark, sf_dir):
     return _pieces(docs(spark, sf_dir), chunking.speakable, limit=80)
 
 
-@query()
+@query(f"""WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+o AS (SELECT doc_id, n, s[n] AS u, CASE WHEN n <= 10 THEN 2.0::DOUBLE * (n - 1) END AS tm FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS n FROM (SELECT doc_id, CASE WHEN length(t) <= 800 THEN [t] ELSE {sql_sentences('t')} END AS s FROM d))),
+g(doc_id, n, size, k, chunk, st, en) AS (SELECT doc_id, n, length(u), 1, 0, tm, tm + 1.5::DOUBLE FROM o WHERE n = 1 UNION ALL
+  SELECT doc_id, n, CASE WHEN z THEN size + 1 + length(u) ELSE length(u) END, CASE WHEN z THEN k + 1 ELSE 1 END, chunk + (NOT z)::INT, CASE WHEN z THEN st ELSE coalesce(tm, st) END, coalesce(tm + 1.5::DOUBLE, en)
+  FROM (SELECT o.*, size, k, chunk, st, en, size + length(u) + 1 <= 800 AND (k + 1 <= 3 OR size < 100) AS z FROM g JOIN o ON o.doc_id = g.doc_id AND o.n = g.n + 1))
+SELECT doc_id AS video, chunk AS chunk_idx, string_agg(u, ' ' ORDER BY n) AS text, arg_max(st, n) AS start, arg_max(en, n) AS "end" FROM g JOIN o USING (doc_id, n) GROUP BY doc_id, chunk""")
 def q_chunk_semantic(spark, sf_dir):
     d = docs(spark, sf_dir)
     return chunking.chunk_semantic(d.select(F.col("doc_id").alias("video"), "text", F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.struct((i * 2.0).alias("start"), (i * 2.0 + 1.5).alias("end"))).alias("times")))

@@ -29,7 +29,8 @@ def write_benchmark(df: DataFrame, path: str) -> None:
     """Benchmarks from rows as read_benchmarks() gives them, one file for each name."""
     rows = F.sort_array(F.collect_list(F.struct("segment_index", "source", "reference", "context")))
     out = df.groupBy("name", "src_lang", "tgt_lang").agg(F.transform(rows, lambda x: F.struct(x["source"].alias("source"), x["reference"].alias("reference"), x["context"].alias("context"))).alias("segments"))
-    out.withColumn("description", F.lit("")).write.mode("append").json(path)
+    # a file holds one object, so each has a folder of its own
+    out.withColumns({"description": F.lit(""), "file": F.concat_ws("_", "name", "src_lang", "tgt_lang")}).write.partitionBy("file").mode("append").json(path)
 
 
 def list_benchmarks(spark: SparkSession, path: str) -> DataFrame:
