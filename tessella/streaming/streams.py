@@ -34,9 +34,9 @@ def classified(lines: DataFrame) -> DataFrame:
 
 
 def run_progress(lines: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """run_id, progress (that of the last line with any), errors, warnings, lines for lines(run_id, ts, line); a stream gets a watermark."""
+    """run_id, progress (that of the last line with any, of lines at one time the greatest), errors, warnings, lines for lines(run_id, ts, line); a stream gets a watermark."""
     rows = classified(lines.withWatermark("ts", late) if lines.isStreaming else lines)
-    last = F.max_by("progress", F.when(F.col("progress").isNotNull(), F.col("ts")))
+    last = F.max_by("progress", F.when(F.col("progress").isNotNull(), F.struct("ts", "progress")))
     return rows.groupBy("run_id").agg(last.alias("progress"), F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"), F.count("*").alias("lines"))
 
 
