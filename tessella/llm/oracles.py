@@ -66,3 +66,31 @@ s AS ({' UNION ALL '.join(_spans(k, kind) for k, kind in enumerate(RULES))}),
 a AS (SELECT r, {', '.join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in BASE)}, string_agg(concat_ws(':', kind, st::BIGINT, en::BIGINT), ',' ORDER BY st, k) FILTER (k < {len(BASE)}) AS base, string_agg(concat_ws(':', kind, st::BIGINT, en::BIGINT), ',' ORDER BY st, k) AS spans FROM s GROUP BY r)
 SELECT doc_id, {', '.join(f'coalesce(n_{k}, 0) AS n_{k}' for k in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a ON d.r = a.r
 """
+
+def crc32(text: str) -> str:
+    """The unsigned CRC32 of the UTF-8 of an SQL string, by the table crc of the clause CRC."""
+    byte = f"('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::BIGINT"
+    return f"xor(list_reduce(list_prepend(4294967295, list_transform(range(octet_length(encode({text}))), lambda i: {byte})), lambda x, y: xor(x >> 8, crc[(xor(x, y) & 255) + 1])), 4294967295)"
+
+
+#: The table of CRC32's remainders of all bytes.
+CRC = "crc AS (SELECT list(list_reduce(list_prepend(c, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) ORDER BY c) AS crc FROM range(256) AS r(c))"
+
+_features = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP13 = f"""
+WITH {CRC},
+d AS (SELECT row_number() OVER () AS r, doc_id, {_features} AS w FROM documents),
+f AS (SELECT r, unnest(w) AS w FROM d),
+g AS (SELECT unnest({_features}) AS w FROM benchmark),
+b AS (SELECT w, {crc32('w')} % 10000 AS b FROM (SELECT w FROM f UNION SELECT w FROM g), crc),
+s AS (SELECT b, count(*) AS n FROM f JOIN b USING (w) GROUP BY b),
+t AS (SELECT b, count(*) AS n FROM g JOIN b USING (w) GROUP BY b),
+n AS (SELECT (SELECT coalesce(sum(n), 0) FROM s)::DOUBLE AS s_all, (SELECT coalesce(sum(n), 0) FROM t)::DOUBLE AS t_all),
+k AS (SELECT s.b, floor(1000 * ln((coalesce(t.n, 0)::DOUBLE + 1) * (s_all + 10000) / ((s.n::DOUBLE + 1) * (t_all + 10000))))::BIGINT AS gain FROM s LEFT JOIN t ON s.b = t.b, n),
+m AS (SELECT r, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM f JOIN b USING (w) JOIN k ON b.b = k.b GROUP BY r),
+z AS (SELECT d.r, doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0) AS weight, ('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h FROM d LEFT JOIN m ON d.r = m.r),
+c AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM z),
+o AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, n_features) AS k, count(*) OVER () AS n FROM c WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN k <= 10 * n // 100 THEN k END AS rank FROM c LEFT JOIN o ON c.r = o.r
+"""
