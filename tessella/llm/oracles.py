@@ -94,3 +94,36 @@ c AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))):
 o AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, n_features) AS k, count(*) OVER () AS n FROM c WHERE n_features >= 20)
 SELECT doc_id, n_features, weight, score, CASE WHEN k <= 10 * n // 100 THEN k END AS rank FROM c LEFT JOIN o ON c.r = o.r
 """
+
+#: Near words share the word or what is left without one letter: two of one length if they differ there, at the same place; else the longer without a letter is the shorter.
+OP12 = rf"""
+WITH RECURSIVE {CRC},
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{{C0}}-\x{{FF}}]+') AS w FROM documents),
+o AS (SELECT w, doc_id, count(*) AS n FROM (SELECT doc_id, unnest(w) AS w FROM d) WHERE length(w) >= 7 GROUP BY ALL),
+h AS (SELECT w, n, {crc32("coalesce(doc_id::VARCHAR, '') || ':' || w")} AS h FROM o, crc),
+p AS (SELECT CASE WHEN h % 31 = 0 THEN substr(w, 1, (h % length(w))::BIGINT) || substr(w, (h % length(w))::BIGINT + 2) ELSE w END AS word, n FROM h),
+v AS (SELECT word, sum(n)::BIGINT AS n FROM p WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+x AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+e AS (SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM x a JOIN x b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT x.word, x.n, v.word, v.n FROM x JOIN v ON x.rest = v.word UNION SELECT v.word, v.n, x.word, x.n FROM x JOIN v ON x.rest = v.word),
+g AS (SELECT word, count(*) AS n_near, max(near_n) AS most, arg_min(near, (-near_n, encode(near))) AS best, any_value(n) AS n FROM e GROUP BY word),
+f AS (SELECT word, n_near, CASE WHEN most >= 10 * n THEN best END AS form, CASE WHEN most >= 10 * n THEN most END AS form_n FROM g),
+c AS (SELECT word, form AS root, 1 AS k FROM f WHERE form IS NOT NULL UNION ALL SELECT c.word, f.form, k + 1 FROM c JOIN f ON c.root = f.word WHERE f.form IS NOT NULL),
+r AS (SELECT word, arg_max(root, k) AS root FROM c GROUP BY word)
+SELECT v.word, form, coalesce(root, v.word) AS root, v.n, coalesce(n_near, 0) AS n_near, form_n FROM v LEFT JOIN f ON v.word = f.word LEFT JOIN r ON v.word = r.word
+"""
+
+#: Pairs of different sets only; sets are told apart by the MD5 of what they hold.
+OP11 = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, {SPACE_WORDS.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+s AS (SELECT r, doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [md5(array_to_string(w, ' '))] ELSE list_transform(range(1, len(w) - 1), lambda i: md5(array_to_string(w[i:i + 2], ' '))) END)) AS s FROM d),
+c AS (SELECT md5(array_to_string(s, '')) AS c, min(doc_id) AS least, any_value(len(s)) AS n, any_value(s) AS s FROM s WHERE len(s) > 0 GROUP BY 1),
+x AS (SELECT c, n, unnest(s) AS x FROM c),
+m AS (SELECT x FROM x GROUP BY x HAVING count(*) > 1),
+y AS (SELECT x.* FROM x SEMI JOIN m USING (x)),
+p AS (SELECT a.c AS a, b.c AS b FROM y a JOIN y b ON a.x = b.x AND a.c < b.c AND 10 * a.n >= 9 * b.n AND 10 * b.n >= 9 * a.n GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+e AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
+t AS (SELECT c AS a, c AS b FROM c UNION SELECT t.a, e.b FROM t JOIN e ON t.b = e.a),
+k AS (SELECT t.a, min(least) AS component_id FROM t JOIN c ON t.b = c.c GROUP BY t.a)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, CASE WHEN len(s) = 0 THEN doc_id ELSE component_id END AS component_id FROM s LEFT JOIN k ON md5(array_to_string(s, '')) = k.a
+"""

@@ -139,11 +139,23 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import jaccard
+
+    return jaccard.join(documents(spark, sf_dir)).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import spelling
+
+    return spelling.variants(documents(spark, sf_dir))
+
+
 def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import resampling
 
     return resampling.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_suffixes, op3_url_filter, op4_substrings, op5_decontamination, op6_quality, op7_sharding, op8_ngram, op9_secrets, op10_simhash, op13_resampling)}
-ORACLE = {"op13_resampling": oracles.OP13, "op2_suffixes": oracles.OP2, "op6_quality": oracles.OP6, "op9_secrets": oracles.OP9, "op3_url_filter": OP3_SQL, "op4_substrings": OP4_SQL, "op5_decontamination": OP5_SQL, "op7_sharding": OP7_SQL}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_suffixes, op3_url_filter, op4_substrings, op5_decontamination, op6_quality, op7_sharding, op8_ngram, op9_secrets, op10_simhash, op11_jaccard, op12_spelling, op13_resampling)}
+ORACLE = {"op11_jaccard": oracles.OP11, "op12_spelling": oracles.OP12, "op13_resampling": oracles.OP13, "op2_suffixes": oracles.OP2, "op6_quality": oracles.OP6, "op9_secrets": oracles.OP9, "op3_url_filter": OP3_SQL, "op4_substrings": OP4_SQL, "op5_decontamination": OP5_SQL, "op7_sharding": OP7_SQL}
