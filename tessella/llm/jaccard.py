@@ -6,8 +6,9 @@ prefixes. Classes that meet at an n-gram go through filters before any set is lo
 filter), how many n-grams the prefixes share, and, for what comes after, the n-grams that each has in each of BINS ranges of hashes (suffix filter).
 What passes is verified once a pair on whole sets, which are made from the texts of these classes alone.
 
-Components are what the result needs, so no group makes all its pairs: in the first rounds each class is compared with one class at each n-gram where it meets others,
-and what that links needs no further comparing. Only n-grams at which different components still meet are then joined with themselves, for classes of different components.
+Components are what the result needs, so no group makes all its pairs: first each class asks one of those that it meets, and what that links needs no further comparing.
+N-grams at which different components still meet go on. Classes that meet at n-grams with the same first class are a family; families are cut into blocks of bounded size, and
+workers filter and verify two blocks at a time, and send an edge for each class that is linked, never pairs.
 
 Defined cases: a text of fewer words is one n-gram; null and blank texts have an empty set, linked with nothing; long texts are read whole; a null
 doc_id is never a component's id unless it has no other; repeated rows all get their row; an empty table gives no rows; other columns are ignored. N-grams are
@@ -22,16 +23,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import few, stored
-from .shingles import shingler
+from .shingles import connected, in_common, shingler
 from .simhash import components
 
 SHINGLE = 3
 #: The least similarity is ALIKE[0] / ALIKE[1].
 ALIKE = (90, 100)
 #: N-grams counted at once in a task; how many frequent ones have their own place in the order, which is what workers are sent (16 bytes each).
-COUNTED, MOST = 1 << 21, 1 << 20
-#: Ranges of the suffix filter; rounds in which classes are compared with one other.
-BINS, ROUNDS = 32, 2
+COUNTED, MOST = 1 << 20, 1 << 20
+#: Ranges of the suffix filter.
+BINS = 32
+#: Classes, and n-grams of all of them, of a block, on average.
+ROWS, GRAMS = 512, 1 << 20
 
 
 def frequent(docs: DataFrame, size: int = SHINGLE, most: int = MOST, at_once: int = COUNTED) -> np.ndarray:
@@ -85,19 +88,28 @@ def sets(docs: DataFrame, late: np.ndarray, size: int = SHINGLE, alike: tuple[in
 
 
 def can_meet(n: Column, at: Column, m: Column, to: Column, alike: tuple[int, int] = ALIKE) -> Column:
-    """Whether sets of n and m n-grams that have one in common, at these places, can be linked: by their sizes, and by what can come before and after it."""
+    """Whether different sets of n and m n-grams that have one in common, at these places, can be linked: by their sizes, and by what can come before and after it.
+    Of different sets of one size each has an n-gram of its own."""
     a, b = alike
     n, m, at, to = (x.cast("long") for x in (n, m, at, to))
-    sized = b * F.least(n, m) >= a * F.greatest(n, m)
-    return sized & ((a + b) * (F.least(at, to) + F.least(n - at, m - to)) >= a * (n + m))
+    common = F.least(F.least(at, to) + F.least(n - at, m - to), F.when(n == m, n - 1).otherwise(F.least(n, m)))
+    return (b * F.least(n, m) >= a * F.greatest(n, m)) & ((a + b) * common >= a * (n + m))
 
 
-def enough_met(pairs: DataFrame, alike: tuple[int, int] = ALIKE) -> DataFrame:
-    """a, b of meetings(a, b, n, m), all of those of each pair, that can be linked: of the prefix that ends first all common n-grams are in both, so others are no more than what is left of its set."""
-    a, b = alike
-    left = lambda x: F.floor((a * x.cast("long") + b - 1) / b) - 1
-    met = pairs.groupBy("a", "b", "n", "m").agg(F.count("*").alias("c"))
-    return met.filter((a + b) * (F.col("c") + F.greatest(left(F.col("n")), left(F.col("m")))) >= a * (F.col("n") + F.col("m"))).select("a", "b")
+def whole_sets(ids: DataFrame, classes: DataFrame, docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """id, s: the sorted hashes of the n-grams of those of classes that are in ids(id), from one text of each."""
+
+    def whole(batches):
+        shingles = shingler(size)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t.as_py()).tobytes() for t in b.column(1)], pa.binary())], names=["id", "s"])
+
+    named = stored(classes.join(ids.distinct(), "id").select("id", F.col("one.doc_id").alias("_d"), F.col("one.v").alias("_v")), "compared")
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("v")).join(few(named, 32), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("v") == F.col("_v"))).select("id", "text")
+    s = stored(texts.mapInArrow(whole, "id long, s binary"), "whole-sets")
+    if s.groupBy("id").count().filter("count > 1").head(1):  # of rows that are there several times; else sets aren't moved for it
+        s = s.dropDuplicates(["id"])
+    return s
 
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int = SHINGLE, alike: tuple[int, int] = ALIKE) -> DataFrame:
@@ -121,50 +133,101 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int =
                 keep.append(alike[1] * both >= alike[0] * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in b.columns[:2]], names=["a", "b"])
 
-    def whole(batches):
-        shingles = shingler(size)
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t.as_py()).tobytes() for t in b.column(1)], pa.binary())], names=["id", "s"])
-
     about = classes.select("id", "n", "bins")
     sized = pairs.join(about.toDF("a", "n", "x"), "a").join(about.toDF("b", "m", "y"), "b").select("a", "b", "n", "m", "x", "y")
     asked = stored(sized.mapInArrow(by_bins, "a long, b long"), "asked")
-    ids = asked.select(F.col("a").alias("id")).unionAll(asked.select("b")).distinct()
-    named = stored(classes.join(ids, "id").select("id", F.col("one.doc_id").alias("_d"), F.col("one.v").alias("_v")), "compared")
-    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("v")).join(few(named, 32), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("v") == F.col("_v"))).select("id", "text")
-    s = stored(texts.mapInArrow(whole, "id long, s binary").dropDuplicates(["id"]), "whole-sets")
+    s = whole_sets(asked.select(F.col("a").alias("id")).unionAll(asked.select("b")), classes, docs, size)
     return stored(asked.join(s.toDF("a", "x"), "a").join(s.toDF("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(compared, "a long, b long"), "linked")
 
 
-def links(classes: DataFrame, docs: DataFrame, size: int = SHINGLE, alike: tuple[int, int] = ALIKE, rounds: int = ROUNDS) -> DataFrame:
+def hubs(met: DataFrame) -> DataFrame:
+    """met(h, id, ...) with hub, the class that comes first where it meets others, in an order that is the same everywhere."""
+    return met.join(met.groupBy("h").agg(F.min(F.struct(F.xxhash64("id").alias("by"), *(c for c in met.columns if c != "h"))).alias("hub")), "h")
+
+
+def asked_once(met: DataFrame, alike: tuple[int, int] = ALIKE) -> DataFrame:
+    """a, b: for each class b of met(h, id, n, at) that can be linked with the first class somewhere, the first of these."""
+    able = hubs(met).filter((F.col("id") != F.col("hub.id")) & can_meet(F.col("n"), F.col("at"), F.col("hub.n"), F.col("hub.at"), alike))
+    return able.groupBy("id").agg(F.min(F.struct("hub.by", "hub.id")).alias("hub")).select(F.col("hub.id").alias("a"), F.col("id").alias("b"))
+
+
+def families(met: DataFrame, rows: int = ROWS, grams: int = GRAMS) -> DataFrame:
+    """f, i, j, own, id, root: each class of met(h, id, n, root), in each of its families, once for each pair of blocks, i and j, that its own is in. Families of one component are left out."""
+    each = stored(hubs(met).groupBy(F.col("hub.id").alias("f"), "id").agg(F.first("n").alias("n"), F.first("root").alias("root")), "families")
+    about = each.groupBy("f").agg(F.count("*").alias("c"), F.sum("n").alias("s"), F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most")
+    blocks = F.greatest(F.ceil(F.col("c") / rows), F.ceil(F.col("s") / grams), F.lit(1)).cast("int")
+    each = each.join(few(stored(about.select("f", blocks.alias("blocks")), "open-families"), 16), "f").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    each = each.select("f", "own", "id", "root", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("k"))
+    return each.select("f", F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j"), "own", "id", "root")
+
+
+def linked_in_families(met: DataFrame, classes: DataFrame, docs: DataFrame, size: int = SHINGLE, alike: tuple[int, int] = ALIKE, rows: int = ROWS, grams: int = GRAMS) -> DataFrame:
+    """a, b: edges that connect all classes of met(h, id, n, root) of different components that meet and are linked.
+
+    In a worker two blocks of a family are filtered by sizes, by n-grams in common of their prefixes and by their bins; what may be linked goes on as parts, the
+    connected classes of this graph, to be verified on whole sets. A part is named by its classes, so one found in several families is verified once."""
+    a, b = alike
+
+    def possible(table: pa.Table) -> pa.Table:
+        from xxhash import xxh3_64_intdigest
+
+        n, ids, root, own, i, j = (table.column(x).to_numpy() for x in ("n", "id", "root", "own", "i", "j"))
+        n = n.astype(np.int32)
+        both = n[:, None] + n[None, :]
+        mask = (root[:, None] != root[None, :]) & (b * np.minimum(n[:, None], n[None, :]) >= a * np.maximum(n[:, None], n[None, :]))
+        if len(i) and i[0] != j[0]:
+            mask &= own[:, None] != own[None, :]
+        # of the prefix that ends first all common n-grams are in both, so others are no more than what is left of its set
+        left = -(-a * n // b) - 1
+        met = in_common([x.values.to_numpy() for x in table.column("prefix")])
+        mask &= (met > 0) & ((a + b) * (met + np.maximum(left[:, None], left[None, :])) >= a * both)
+        x, y = np.nonzero(np.triu(mask))
+        bins = np.frombuffer(b"".join(table.column("bins").to_pylist()), np.uint16).reshape(-1, BINS).astype(np.int32)
+        for s in range(0, len(x), 1 << 16):  # suffix filter
+            p, q = x[s : s + (1 << 16)], y[s : s + (1 << 16)]
+            mask[p, q] = (a + b) * (both[p, q] - np.abs(bins[p] - bins[q]).sum(axis=1)) >= 2 * a * both[p, q]
+        mask = np.triu(mask)
+        mask |= mask.T
+        keep = mask.any(axis=1)
+        ids, part = ids[keep], connected(mask)[keep]
+        order = np.lexsort((ids, part))
+        ids, part = ids[order], part[order]
+        cuts = np.flatnonzero(np.diff(part)) + 1
+        names = [xxh3_64_intdigest(p.tobytes()) for p in np.split(ids, cuts) if len(p)]
+        sizes = np.diff(np.concatenate([[0], cuts, [len(ids)]])) if len(ids) else []
+        return pa.table({"part": pa.array(np.repeat(np.array(names, np.uint64), sizes).view(np.int64), pa.int64()), "id": pa.array(ids, pa.int64())})
+
+    def exact(table: pa.Table) -> pa.Table:
+        ids, s = table.column("id").to_numpy(), [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("s")]
+        n, both = np.array([len(x) for x in s]), in_common(s)
+        label = connected(b * both >= a * ((n[:, None] + n[None, :]).astype(np.int32) - both))
+        keep = label != np.arange(len(ids))
+        return pa.table({"a": ids[label[keep]], "b": ids[keep]})
+
+    blocks = families(met, rows, grams).join(classes.select("id", "n", "prefix", "bins"), "id")
+    found = stored(blocks.select("f", "i", "j", "own", "id", "root", "n", "prefix", "bins").groupBy("f", "i", "j").applyInArrow(possible, "part long, id long").distinct(), "possible")
+    return stored(found.join(whole_sets(found.select("id"), classes, docs, size), "id").groupBy("part").applyInArrow(exact, "a long, b long"), "linked")
+
+
+def links(classes: DataFrame, docs: DataFrame, size: int = SHINGLE, alike: tuple[int, int] = ALIKE, rows: int = ROWS) -> DataFrame:
     """node, root: the components, of more than one, of stored classes(id, one, n, prefix, bins) by their links."""
-    met = classes.select("id", "n", F.posexplode("prefix").alias("at", "h")).withColumn("root", F.col("id"))
-    edges = nodes = None
-    for k in range(rounds + 1):
-        hub = F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("by"), "id", "n", "at", "root"))
-        open_ = met.groupBy("h").agg(F.min("root").alias("least"), F.max("root").alias("most"), hub.alias("hub")).filter("least <> most").select("h", "hub")
-        if k < rounds:
-            met = stored(met.join(open_, "h"), "met")
-            apart = met.filter((F.col("root") != F.col("hub.root")) & can_meet(F.col("n"), F.col("at"), F.col("hub.n"), F.col("hub.at"), alike))
-            pairs = apart.select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct()
-        else:
-            met = stored(met.join(open_, "h", "left_semi"), "met")
-            other = met.select("h", *(F.col(c).alias(f"_{c}") for c in ("id", "n", "at", "root")))
-            apart = met.join(other, "h").filter((F.col("id") < F.col("_id")) & (F.col("root") != F.col("_root")) & can_meet(F.col("n"), F.col("at"), F.col("_n"), F.col("_at"), alike))
-            pairs = enough_met(apart.select(F.col("id").alias("a"), F.col("_id").alias("b"), "n", F.col("_n").alias("m")), alike)
-        found = verified(pairs, classes, docs, size, alike)
-        edges = found if edges is None else edges.unionAll(found)
-        nodes = stored(components(edges), "components")
-        met = met.select("id", "n", "at", "h").join(nodes, F.col("id") == F.col("node"), "left").select("id", "n", "at", "h", F.coalesce("root", "id").alias("root"))
-    return nodes
-
-
-def join(docs: DataFrame, size: int = SHINGLE, alike: tuple[int, int] = ALIKE, most: int = MOST, rounds: int = ROUNDS) -> DataFrame:
+    each = classes.select("id", F.posexplode("prefix").alias("at", "h"))
+    several = each.groupBy("h").count().filter("count > 1").select("h")
+    met = stored(each.join(several, "h", "left_semi").join(classes.select("id", "n"), "id").select("h", "id", "n", "at"), "met")
+    edges = verified(asked_once(met, alike), classes, docs, size, alike)
+    nodes = stored(components(edges), "components")
+    rooted = met.join(nodes, F.col("id") == F.col("node"), "left").select("h", "id", "n", F.coalesce("root", "id").alias("root"))
+    apart = rooted.groupBy("h").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("h")
+    more = linked_in_families(stored(rooted.join(apart, "h", "left_semi"), "still-met"), classes, docs, size, alike, rows)
+    return stored(components(edges.unionAll(more)), "components")
+
+
+def join(docs: DataFrame, size: int = SHINGLE, alike: tuple[int, int] = ALIKE, most: int = MOST, rows: int = ROWS) -> DataFrame:
     """doc_id, v (a hash of the text), n (size of the set), root (a number that names the component; null for empty sets), component_id (its least doc_id) for every row of docs(doc_id, text)."""
     each = stored(sets(docs, frequent(docs, size, most), size, alike), "sets")
     one = each.filter("n > 0").groupBy("key").agg(F.min(F.struct("doc_id", "v")).alias("one"), F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bins").alias("bins"))
     classes = stored(one.select(F.monotonically_increasing_id().alias("id"), "*"), "classes")
-    nodes = links(classes, docs, size, alike, rounds)
+    nodes = links(classes, docs, size, alike, rows)
     of = classes.select("id", "key", "least").join(nodes, F.col("id") == F.col("node"), "left").select("key", "least", F.coalesce("root", "id").alias("root"))
     named = of.groupBy("root").agg(F.min("least").alias("component_id"))
     of = of.join(named, "root").select("key", "root", "component_id")

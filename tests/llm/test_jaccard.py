@@ -62,13 +62,13 @@ def near_rows(seed=8):
     return [(None if i % 50 == 7 else i, t, "en", "s0", len(t or ""), None, 0) for i, t in enumerate(texts)] + [(3, texts[5], "en", "s0", 0, None, 0)] * 3
 
 
-@pytest.mark.parametrize("most, rounds, size, alike", [(1 << 20, 2, 3, (90, 100)), (5, 0, 3, (90, 100)), (1, 1, 2, (7, 10))])
-def test_join(spark, most, rounds, size, alike):
+@pytest.mark.parametrize("most, block, size, alike", [(1 << 20, 512, 3, (90, 100)), (5, 7, 3, (90, 100)), (1, 20, 2, (7, 10))])
+def test_join(spark, most, block, size, alike):
     rows = near_rows()
     expected = brute(rows, size, alike)
     groups = Counter(x[2] for x in expected)
     assert max(groups.values()) >= 40 and sum(n > 1 for n in groups.values()) > 10
-    got = jaccard.join(frame(spark, rows), size, alike, most, rounds).select("doc_id", "n", "component_id")
+    got = jaccard.join(frame(spark, rows), size, alike, most, block).select("doc_id", "n", "component_id")
     assert Counter(map(tuple, got.collect())) == expected
 
 
@@ -83,14 +83,15 @@ def test_frequent(spark):
 
 
 def test_a_group_makes_no_pairs(spark, monkeypatch):
-    """Of 400 near copies each is verified a few times, not with each other."""
+    """400 near copies give about an edge each."""
     rng = random.Random(3)
     w = words(rng, 200)
     rows = [(i, " ".join([*w[: i % 200], f"own{i}", *w[i % 200 :]]), None, None, 0, None, 0) for i in range(400)]
-    asked = []
-    monkeypatch.setattr(jaccard, "verified", lambda pairs, *a, f=jaccard.verified: asked.append(pairs.count()) or f(pairs, *a))
+    made = []
+    for name in ("verified", "linked_in_families"):
+        monkeypatch.setattr(jaccard, name, lambda first, *a, f=getattr(jaccard, name): made.append(f(first, *a)) or made[-1])
     got = jaccard.join(frame(spark, rows))
-    assert {r["component_id"] for r in got.collect()} == {0} and sum(asked) < 2000, asked
+    assert {r["component_id"] for r in got.collect()} == {0} and sum(x.count() for x in made) < 1200
 
 
 def test_filters_lose_nothing():
