@@ -164,30 +164,41 @@ def families(met: DataFrame, rows: int = ROWS, grams: int = GRAMS) -> DataFrame:
 def linked_in_families(met: DataFrame, classes: DataFrame, docs: DataFrame, size: int = SHINGLE, alike: tuple[int, int] = ALIKE, rows: int = ROWS, grams: int = GRAMS) -> DataFrame:
     """a, b: edges that connect all classes of met(h, id, n, root) of different components that meet and are linked.
 
-    In a worker two blocks of a family are filtered by sizes, by n-grams in common of their prefixes and by their bins; what may be linked goes on as parts, the
-    connected classes of this graph, to be verified on whole sets. A part is named by its classes, so one found in several families is verified once."""
+    In a worker two blocks of a family are filtered by sizes and bins first, and those left by the n-grams in common of their prefixes; what may be linked goes on
+    as parts, the connected classes of this graph, to be verified on whole sets. A part is named by its classes, so one found in several families is verified once."""
     a, b = alike
+    block = ["f", "i", "j", "own", "id", "root"]
 
-    def possible(table: pa.Table) -> pa.Table:
-        from xxhash import xxh3_64_intdigest
-
-        n, ids, root, own, i, j = (table.column(x).to_numpy() for x in ("n", "id", "root", "own", "i", "j"))
+    def sized(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """n, n of each two, and whether they can be linked by it."""
+        n, root, own, i, j = (table.column(x).to_numpy() for x in ("n", "root", "own", "i", "j"))
         n = n.astype(np.int32)
         both = n[:, None] + n[None, :]
         mask = (root[:, None] != root[None, :]) & (b * np.minimum(n[:, None], n[None, :]) >= a * np.maximum(n[:, None], n[None, :]))
         if len(i) and i[0] != j[0]:
             mask &= own[:, None] != own[None, :]
+        return n, both, mask
+
+    def by_bins(table: pa.Table) -> pa.Table:
+        _, both, mask = sized(table)
+        bins = np.frombuffer(b"".join(table.column("bins").to_pylist()), np.uint16).reshape(-1, BINS).astype(np.int32)
+        x, y = np.nonzero(np.triu(mask))
+        keep = np.zeros(len(mask), bool)
+        for s in range(0, len(x), 1 << 16):
+            p, q = x[s : s + (1 << 16)], y[s : s + (1 << 16)]
+            able = (a + b) * (both[p, q] - np.abs(bins[p] - bins[q]).sum(axis=1)) >= 2 * a * both[p, q]
+            keep[p[able]] = keep[q[able]] = True
+        return table.select(block).filter(pa.array(keep))
+
+    def possible(table: pa.Table) -> pa.Table:
+        from xxhash import xxh3_64_intdigest
+
+        ids = table.column("id").to_numpy()
+        n, both, mask = sized(table)
         # of the prefix that ends first all common n-grams are in both, so others are no more than what is left of its set
         left = -(-a * n // b) - 1
         met = in_common([x.values.to_numpy() for x in table.column("prefix")])
         mask &= (met > 0) & ((a + b) * (met + np.maximum(left[:, None], left[None, :])) >= a * both)
-        x, y = np.nonzero(np.triu(mask))
-        bins = np.frombuffer(b"".join(table.column("bins").to_pylist()), np.uint16).reshape(-1, BINS).astype(np.int32)
-        for s in range(0, len(x), 1 << 16):  # suffix filter
-            p, q = x[s : s + (1 << 16)], y[s : s + (1 << 16)]
-            mask[p, q] = (a + b) * (both[p, q] - np.abs(bins[p] - bins[q]).sum(axis=1)) >= 2 * a * both[p, q]
-        mask = np.triu(mask)
-        mask |= mask.T
         keep = mask.any(axis=1)
         ids, part = ids[keep], connected(mask)[keep]
         order = np.lexsort((ids, part))
@@ -204,8 +215,11 @@ def linked_in_families(met: DataFrame, classes: DataFrame, docs: DataFrame, size
         keep = label != np.arange(len(ids))
         return pa.table({"a": ids[label[keep]], "b": ids[keep]})
 
-    blocks = families(met, rows, grams).join(classes.select("id", "n", "prefix", "bins"), "id")
-    found = stored(blocks.select("f", "i", "j", "own", "id", "root", "n", "prefix", "bins").groupBy("f", "i", "j").applyInArrow(possible, "part long, id long").distinct(), "possible")
+    able = families(met, rows, grams).join(classes.select("id", "n", "bins"), "id").select(*block, "n", "bins").groupBy("f", "i", "j")
+    able = stored(able.applyInArrow(by_bins, "f long, i int, j int, own int, id long, root long"), "possible-by-bins")
+    some = classes.select("id", "n", "prefix").join(few(stored(able.select("id").distinct(), "possible-ids"), 16), "id", "left_semi")
+    found = able.join(some, "id").select(*block, "n", "prefix").groupBy("f", "i", "j")
+    found = stored(found.applyInArrow(possible, "part long, id long").distinct(), "possible")
     return stored(found.join(whole_sets(found.select("id"), classes, docs, size), "id").groupBy("part").applyInArrow(exact, "a long, b long"), "linked")
 
 
