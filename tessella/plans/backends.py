@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.chunking import DELIMITER, MARK, MAX_BYTES, MAX_CHARS, MAX_ITEMS
+from ..operators.requests import DELIMITER, MARK, MAX_BYTES, MAX_CHARS, MAX_ITEMS
 
 
 class Translator:
@@ -40,6 +40,15 @@ class Marked(Translator):
         return f"[{src}>{tgt}] {text.upper()}"
 
 
+class Brittle(Translator):
+    """Stand-in: the text behind the language pair; fails beyond 3000 characters."""
+
+    def translate(self, text: str, src: str, tgt: str) -> str:
+        if len(text) > 3000:
+            raise ValueError(f"{len(text)} characters")
+        return f"[{src}>{tgt}] {text}"
+
+
 class Delimited(Translator):
     """Sends texts in requests within a budget, joined by a delimiter; if a reply doesn't come apart into as many, its texts go one by one."""
 
@@ -75,25 +84,26 @@ class Delimited(Translator):
         self.inner.unload()
 
 
-FACTORIES: dict[str, Callable[[], Translator]] = {"identity": Identity, "marked": Marked}
+FACTORIES: dict[str, Callable[[], Translator]] = {"identity": Identity, "marked": Marked, "brittle": Brittle}
 
 
 def register(name: str, factory: Callable[[], Translator]) -> None:
     FACTORIES[name] = factory
 
 
-def translated(df: DataFrame, factory: Callable[[], Translator] | dict, out: str = "hypothesis") -> DataFrame:
-    """Adds out for df(text, src, tgt): blank texts stay blank, failed ones become null.
+def translated(df: DataFrame, factory: Callable[[], Translator] | dict, out: str = "hypothesis", errors: str | None = None) -> DataFrame:
+    """Adds out for df(text, src, tgt): blank texts stay blank, failed ones become null. errors: a further column for what was raised.
 
     factory: of one backend for all rows, or a dict of factories by the name in the column backend, with None for all other names. A worker creates
     a backend when its first row comes."""
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), f"`{out}` string"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), f"`{out}` string", *([f"`{errors}` string"] if errors else [])])
     by_name = factory if isinstance(factory, dict) else {None: factory}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         made: dict = {}
         for b in batches:
             got: list = [""] * len(b)
+            raised: list = [None] * len(b)
             names = b["backend"] if isinstance(factory, dict) else [None] * len(b)
             calls: dict = {}
             for i, (t, name) in enumerate(zip(b["text"], names)):
@@ -102,12 +112,20 @@ def translated(df: DataFrame, factory: Callable[[], Translator] | dict, out: str
             for (name, src, tgt), rows in calls.items():
                 try:
                     backend = made.get(name) or made.setdefault(name, by_name[name]())
-                    for i, t in zip(rows, backend.translate_batch([b["text"].iat[i] for i in rows], src, tgt)):
+                    replies = backend.translate_batch([b["text"].iat[i] for i in rows], src, tgt)
+                    if len(replies) != len(rows):
+                        raise ValueError(f"{len(replies)} replies to {len(rows)} texts")
+                    for i, t in zip(rows, replies):
                         got[i] = t
-                except Exception:  # a failing model fails its texts, not the job
+                except Exception as whole:  # a failing text fails itself, not its batch, and no text fails the job
                     for i in rows:
-                        got[i] = None
-            yield b.assign(**{out: got})
+                        try:
+                            if name not in made:
+                                raise whole
+                            got[i] = made[name].translate(b["text"].iat[i], src, tgt)
+                        except Exception as e:
+                            got[i], raised[i] = None, f"{type(e).__name__}: {e}"
+            yield b.assign(**{out: got} | ({errors: raised} if errors else {}))
         for backend in made.values():
             backend.unload()
 

@@ -11,13 +11,13 @@ from ..functions import text as T
 from ..functions import validators as V
 from ..functions.metrics import scored
 from ..functions.scripts import BLOCKS, MODEL_CODES, ROUTES, SCRIPTS, SPEECH_NAMES
-from ..operators import audio, chunking, evaluation, glossary, routing, timeline
+from ..operators import audio, chunking, evaluation, glossary, requests, routing, timeline
 from ..ship import ship
 from ..sources import files
-from ..sources.staged import shared_dir
+from ..sources.staged import shared_dir, stored
 from ..streaming import streams
-from . import flows
-from .backends import Identity, Marked
+from . import batches, flows, runs
+from .backends import Brittle, Identity, Marked
 from .views import HISTORY, METRICS, PAIRS, SEG_CONV, SEG_EVENTS, WC, WS, history, metrics, pairs, seg_conv, seg_events, sql_count, sql_sentences, sql_squeeze, sql_strip, sql_words, table
 
 QUERIES: dict = {}
@@ -526,15 +526,43 @@ def q_regression(spark, sf_dir):
 
 # chunkers and packers
 
-@query(f"""WITH RECURSIVE d AS (SELECT source AS batch, doc_id AS item, {sql_strip("replace(text, '###__SEGMENT_BOUNDARY__###', ' ')")} AS t, length(t) AS c, octet_length(encode(t)) AS b FROM documents),
+def pack_sql(rel: str) -> str:
+    """Relation g(batch, item, gid) of rel(batch, item, text), by a recursion over the texts of each batch."""
+    return f"""RECURSIVE d AS (SELECT batch, item, {sql_strip("replace(text, '###__SEGMENT_BOUNDARY__###', ' ')")} AS t, length(t) AS c, octet_length(encode(t)) AS b FROM {rel}),
 o AS (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY item) AS k FROM d WHERE c > 0 AND c < 4000),
 g(batch, k, item, gc, gb, gn, gid) AS (SELECT batch, k, item, c, b, 1, 0 FROM o WHERE k = 1 UNION ALL
   SELECT o.batch, o.k, o.item, CASE WHEN z THEN o.c ELSE gc + o.c + 28 END, CASE WHEN z THEN o.b ELSE gb + o.b + 28 END, CASE WHEN z THEN 1 ELSE gn + 1 END, gid + z::INT
-  FROM (SELECT g.*, o.item AS i2, o.c, o.b, gc + o.c + 28 > 4000 OR gb + o.b + 28 > 4200 OR gn >= 24 AS z FROM g JOIN o ON o.batch = g.batch AND o.k = g.k + 1) AS x JOIN o ON o.batch = x.batch AND o.k = x.k + 1)
-SELECT d.batch, d.item, g.gid AS group_id, d.c >= 4000 AS alone, d.c::INTEGER AS chars, d.b::INTEGER AS bytes FROM d LEFT JOIN g ON g.batch = d.batch AND g.item = d.item""")
+  FROM (SELECT g.*, o.item AS i2, o.c, o.b, gc + o.c + 28 > 4000 OR gb + o.b + 28 > 4200 OR gn >= 24 AS z FROM g JOIN o ON o.batch = g.batch AND o.k = g.k + 1) AS x JOIN o ON o.batch = x.batch AND o.k = x.k + 1)"""
+
+
+_packed = "SELECT d.batch, d.item, g.gid AS group_id, d.c >= 4000 AS alone, d.c::INTEGER AS chars, d.b::INTEGER AS bytes FROM d LEFT JOIN g ON g.batch = d.batch AND g.item = d.item"
+
+
+@query(f"WITH {pack_sql('(SELECT source AS batch, doc_id AS item, text FROM documents)')} {_packed}")
 def q_batch_pack(spark, sf_dir):
     d = docs(spark, sf_dir).select(F.col("source").alias("batch"), F.col("doc_id").alias("item"), "text")
-    return chunking.pack_requests(d)
+    return requests.pack_requests(d)
+
+
+@query(f"WITH {pack_sql("(SELECT 'all' AS batch, doc_id AS item, text FROM documents)")} {_packed}")
+def q_batch_pack_all(spark, sf_dir):
+    """All documents as one batch, in blocks that hold a small part of them."""
+    return requests.pack_requests(docs(spark, sf_dir).select(F.lit("all").alias("batch"), F.col("doc_id").alias("item"), "text"), block=256)
+
+
+#: Turns as the texts of one batch a role; the stand-in fails beyond 3000 characters, so larger requests go text by text, and longer texts in pieces.
+_turns = "(SELECT role AS batch, conv_id * 1000 + turn AS item, text FROM conversations)"
+
+
+@query(f"""WITH {pack_sql(_turns)},
+p AS (SELECT batch, gid, count(*) AS n, sum(length(t)) + 28 * (count(*) - 1) AS size, min(item) AS head FROM g JOIN d USING (batch, item) GROUP BY ALL),
+l AS (SELECT d.batch, d.item, d.t, d.c, d.item = p.head AS head, p.n > 1 AND p.size <= 3000 AS joined FROM d LEFT JOIN g USING (batch, item) LEFT JOIN p ON p.batch = g.batch AND p.gid = g.gid)
+SELECT batch, item, CASE WHEN c = 0 THEN 'blank' WHEN joined THEN 'joined' ELSE 'each' END AS level, CASE WHEN c = 0 THEN '' WHEN joined AND NOT head THEN t ELSE '[en>fr] ' || t END AS translation FROM l WHERE c <= 3000""")
+def q_batch_translation(spark, sf_dir):
+    """With a stand-in backend. Texts that go in pieces are left to the tests."""
+    c = table(spark, sf_dir, "conversations").select(F.col("role").alias("batch"), (F.col("conv_id") * 1000 + F.col("turn")).alias("item"), "text")
+    out = batches.translate_batches(c, "en", "fr", [], {"google": Brittle}, requested="google")
+    return out.filter(F.length(requests.sendable("text")) <= 3000).select("batch", "item", "level", "translation")
 
 
 def _pieces(d: DataFrame, how, **options) -> DataFrame:
@@ -677,6 +705,39 @@ def q_synthesis_plan(spark, sf_dir):
     return p.select("video", "chunk_id", "seg_idx", r6("start").alias("start"), r6("silence").alias("silence"), F.size("pieces").alias("pieces"))
 
 
+DUB_SQL = f"""RECURSIVE {SEG_EVENTS}, {FIX_SQL}, mu AS (SELECT *, en - st > 2 AND w / (en - st) < 0.3::DOUBLE AS music FROM fx),
+kept AS (SELECT *, row_number() OVER (PARTITION BY video ORDER BY seg_idx) AS k FROM (SELECT *, avg(music::INT) OVER (PARTITION BY video) AS share FROM mu) WHERE NOT music OR share > 0.25::DOUBLE),
+ch(video, k, en, anchor, chunk_id) AS (SELECT video, k, en, st, 0 FROM kept WHERE k = 1 UNION ALL
+  SELECT s.video, s.k, s.en, CASE WHEN s.st - anchor > 24 THEN s.st ELSE anchor END, chunk_id + (s.st - anchor > 24)::INT FROM ch JOIN kept s ON s.video = ch.video AND s.k = ch.k + 1),
+vd AS (SELECT video, max(greatest(st, en)) AS secs FROM seg GROUP BY video)"""
+
+
+def _dubbed(spark, sf_dir) -> tuple[runs.Run, dict]:
+    """Events as segments, dubbed into one language and then, by a second run that finds the transcript there, into another."""
+    segments = stored(seg_events(spark, sf_dir).select("video", "seg_idx", "start", "end", "text"), "segments")
+    root, source = f"{shared_dir(spark)}/tessella/{spark.sparkContext.applicationId}/runs-{uuid.uuid4().hex[:12]}", runs.files_fingerprint(spark, f"{sf_dir}/events.parquet")
+    dub = lambda tgt: (run := runs.Run(spark, root, runs.key_of("events", "en")), runs.dub(run, segments, source, "en", tgt, [], {"google": Brittle}, "google", chunk_seconds=24.0))
+    dub("es")
+    return dub("fr")
+
+
+@query(f"""WITH {DUB_SQL} SELECT video, CASE WHEN secs <= 60 THEN 'short' WHEN secs <= 300 THEN 'medium' WHEN secs <= 600 THEN 'long' ELSE 'very_long' END AS category, round(secs, 6) AS video_seconds,
+  round(coalesce(a, 0), 6) AS audio_seconds, round(greatest(0, secs - coalesce(a, 0)), 6) AS pad, coalesce(n, 0) AS spoken_segments, coalesce(c, 0) AS chunks
+FROM vd LEFT JOIN (SELECT video, max(en) AS a, count(*) AS n, count(DISTINCT chunk_id) AS c FROM ch GROUP BY video) USING (video)""")
+def q_full_pipeline(spark, sf_dir):
+    """With a stand-in backend."""
+    m = _dubbed(spark, sf_dir)[1]["merged"].table
+    return m.select("video", "category", *(r6(c).alias(c) for c in ("video_seconds", "audio_seconds", "pad")), "spoken_segments", "chunks")
+
+
+@query(f"""WITH {DUB_SQL} SELECT 'videos' AS step, 'resumed' AS status, count(*) AS rows FROM vd UNION ALL SELECT 'transcript', 'resumed', count(*) FROM seg
+UNION ALL SELECT 'translated', 'ok', count(*) FROM kept UNION ALL SELECT 'speech', 'ok', count(*) FROM kept UNION ALL SELECT 'merged', 'ok', count(*) FROM vd""")
+def q_full_pipeline_steps(spark, sf_dir):
+    """What the second run's report says of each step."""
+    run, _ = _dubbed(spark, sf_dir)
+    return run.report().filter(F.col("run_id") == run.id).select("step", "status", "rows")
+
+
 def shipped(f):
     """f, after the package's code has gone to the executors."""
     return lambda spark, sf_dir: f(ship(spark), sf_dir)

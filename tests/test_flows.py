@@ -8,8 +8,8 @@ import sys
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.operators import timeline
-from tessella.plans import backends, flows
+from tessella.operators import glossary, timeline
+from tessella.plans import backends, batches, flows
 from tessella.sources import files
 from tessella.streaming import streams
 
@@ -162,3 +162,40 @@ def test_chunk_translation(spark):
 
     got = flows.translate_chunks(s, "en", "fr", Picky).orderBy("chunk_idx").collect()
     assert got[0]["start"] == 0.0 and all("voici" in r["text"] for r in got) and all(0 < r["quality_score"] <= 1 for r in got)
+
+
+class Losing(backends.Translator):
+    """Loses a mark of requests that hold "lossy", fails on "bad"."""
+
+    def translate(self, text, src, tgt):
+        if "bad" in text:
+            raise ValueError("bad text")
+        return (text.replace("###__SEGMENT_BOUNDARY__###", "", 1) if "lossy" in text else text).replace("home", "maison")
+
+
+def test_batches(spark):
+    """Each text comes back to its item, by the first wave that gives it back."""
+    texts = ["home one", "", "home two", None, "  Google home ", "x " * 1600 + "home.", "home " * 900]
+    rows = [("joined", i, t) for i, t in enumerate(texts)] + [("lossy", 0, "lossy home"), ("lossy", 1, "home"), ("bad", 0, "bad home"), ("bad", 1, "home"), (None, 7, "home of no batch")]
+    df = spark.createDataFrame(rows, "batch string, item int, text string")
+    terms = [glossary.Term("Google", {"fr": "Gogol"}, "brand")]
+    got = {(r["batch"], r["item"]): r for r in batches.translate_batches(df, "en", "fr", terms, {"google": Losing}, requested="google").collect()}
+    assert len(got) == len(rows)
+    level = {k: r["level"] for k, r in got.items()}
+    assert [level["joined", i] for i in range(7)] == ["joined", "blank", "joined", "blank", "joined", "joined", "each"]
+    assert level["lossy", 0] == level["lossy", 1] == "each" and level["bad", 1] == "each" and level[None, 7] == "each"
+    assert level["bad", 0] == "failed" and got["bad", 0]["error"] == "ValueError: bad text" and got["bad", 0]["translation"] is None
+    assert [got["joined", i]["translation"] for i in (0, 1, 2, 3)] == ["maison one", "", "maison two", ""]
+    assert got["joined", 4]["translation"] == "Gogol maison" and got["joined", 6]["translation"] == " ".join(["maison"] * 900)
+    assert got["lossy", 0]["translation"] == "lossy maison" and got["bad", 1]["translation"] == "maison"
+    # a backend that only fails, and the fallback
+    got = {(r["batch"], r["item"]): r for r in batches.translate_batches(df, "en", "fr", terms, {"marian": Losing, "google": backends.Identity}, requested="marian").collect()}
+    assert got["bad", 0]["level"] == "fallback" and got["bad", 0]["translation"] == "bad home" and got["bad", 0]["error"] == "ValueError: bad text"
+    assert got["joined", 0]["level"] == "each" and got["joined", 0]["translation"] == "maison one"
+
+
+def test_batches_are_routed_by_all_their_text(spark):
+    rows = [("roman", i, "kya haal hai bhai") for i in range(3)] + [("roman", 9, "क"), ("deva", 0, "hello"), ("deva", 1, "नमस्ते दुनिया यह ठीक है")]
+    locked = spark.createDataFrame(rows, "batch string, item int, locked_text string")
+    got = {r["batch"]: (r["backend"], r["src"]) for r in batches.route_batches(locked, "hi", "en", "indictrans2").collect()}
+    assert got == {"roman": ("google", "auto"), "deva": ("indictrans2", "hi")}

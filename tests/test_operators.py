@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.operators import audio, chunking, evaluation, glossary, routing, timeline
+from tessella.operators import audio, chunking, evaluation, glossary, requests, routing, timeline
 
 SEG = "video string, seg_idx int, start double, end double, text string"
 
@@ -133,10 +133,39 @@ def test_pack_requests(spark):
 
     texts = ["x"] * 30 + ["y" * 3990, " ", None, "z" * 4000] + ["é" * 1500] * 4 + ["w" * 1000] * 6
     df = spark.createDataFrame([("b", i, t) for i, t in enumerate(texts)], "batch string, item int, text string")
-    got = chunking.pack_requests(df).orderBy("item").collect()
+    got = requests.pack_requests(df).orderBy("item").collect()
     assert [r["group_id"] for r in got] == greedy(texts) and [r["item"] for r in got if r["alone"]] == [33]
 
 
+@pytest.mark.parametrize("seed, block, budgets", [(0, 6, (60, 70, 6)), (1, 24, (150, 120, 5)), (2, 7, (40, 400, 7)), (3, 1000, (90, 90, 9))])
+def test_requests_over_blocks(spark, seed, block, budgets):
+    """Groups of batches in many blocks are those of one greedy pass, wherever the blocks are cut."""
+    rng = random.Random(seed)
+    most, octets, items = budgets
+    rows = [(rng.choice(["a", "a", "a", "b", None]), i, rng.choice([None, " ", "é" * rng.randrange(1, most + 5)] + ["x" * rng.randrange(1, 20)] * 6)) for i in range(700)]
+    expected, state = {}, {}
+    for b, i, t in rows:
+        t = (t or "").strip()
+        if not t or len(t) >= most:
+            expected[b, i] = None
+            continue
+        g, c, k, n = state.get(b, (-1, 0, 0, 0))
+        if n == 0 or c + len(t) + 28 > most or k + len(t.encode()) + 28 > octets or n >= items:
+            g, c, k, n = g + 1, len(t), len(t.encode()), 1
+        else:
+            c, k, n = c + len(t) + 28, k + len(t.encode()) + 28, n + 1
+        state[b], expected[b, i] = (g, c, k, n), g
+    df = spark.createDataFrame(rows, "batch string, item int, text string").repartition(5)
+    got = requests.pack_requests(df, most, octets, items, block).collect()
+    assert {(r["batch"], r["item"]): r["group_id"] for r in got} == expected and len(got) == len(rows)
+    assert max(g for g in expected.values() if g is not None) > 40
+
+
+def test_no_requests(spark):
+    df = spark.createDataFrame([("b", 1, None), ("b", 2, " ")], "batch string, item int, text string")
+    assert [r["group_id"] for r in requests.pack_requests(df).collect()] == [None, None] and requests.pack_requests(df.limit(0)).collect() == []
+
+
 def test_glossary(spark):
     T = glossary.Term
     terms = [T("fuel efficiency", {"hi": "FE"}, "technical"), T("fuel", {"hi": "F"}, "technical"), T("MG", {"hi": "MG!"}, "brand", case_sensitive=True), T("km/l", {"hi": "KL"}, "unit"), T("old", {}, "general"), T("loose", {"hi": "L"}, "general", locked=False)]
