@@ -22,10 +22,11 @@ _ratio = "least(1000, {0} * 1000 // greatest({1}, 1))"
 _levels = {"g": "lang, source", "l": "lang", "a": ""}
 
 
-def _quartiles(name: str, by: str) -> str:
+def _quartiles(name: str, by: str, values: str, lowest: str) -> str:
+    """The fence of each ratio by the values of a relation, 0 where lowest doesn't hold."""
     keys, over = (f"{by}, " if by else ""), f"PARTITION BY {by + ', ' if by else ''}ratio"
-    return f"""{name} AS (SELECT {keys}ratio, CASE WHEN any_value(size) >= {ENOUGH} THEN min(value) FILTER (upto * 4 >= size * 2) + {SPREAD} * (min(value) FILTER (upto * 4 >= size * 3) - min(value) FILTER (upto * 4 >= size)) END AS fence
-  FROM (SELECT {keys}ratio, value, count(*) OVER ({over} ORDER BY value RANGE UNBOUNDED PRECEDING) AS upto, count(*) OVER ({over}) AS size FROM u) GROUP BY {keys}ratio)"""
+    return f"""{name} AS (SELECT {keys}ratio, CASE WHEN any_value(size) >= {ENOUGH} THEN CASE WHEN {lowest} THEN min(value) FILTER (upto * 4 >= size * 2) + {SPREAD} * (min(value) FILTER (upto * 4 >= size * 3) - min(value) FILTER (upto * 4 >= size)) ELSE 0 END END AS fence
+  FROM (SELECT {keys}ratio, value, count(*) OVER ({over} ORDER BY value RANGE UNBOUNDED PRECEDING) AS upto, count(*) OVER ({over}) AS size FROM {values}) GROUP BY {keys}ratio)"""
 
 
 def _by_ratio(values: dict) -> str:
@@ -33,7 +34,8 @@ def _by_ratio(values: dict) -> str:
 
 
 _found = "coalesce(g.fence, l.fence, a.fence)"
-_fence = f"CASE WHEN {_found} IS NULL THEN {_by_ratio(UNTOLD)} ELSE least(greatest({_found}, {_by_ratio({k: x[0] for k, x in BOUNDS.items()})}), {_by_ratio({k: x[1] for k, x in BOUNDS.items()})}) END"
+_usual = "coalesce(ag.fence, al.fence, aa.fence, 0)"
+_rare = f"CASE WHEN {_found} IS NULL THEN {_by_ratio(UNTOLD)} ELSE least(greatest({_found}, {_by_ratio({k: x[0] for k, x in BOUNDS.items()})}), {_by_ratio({k: x[1] for k, x in BOUNDS.items()})}) END"
 
 OP6 = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS t, {SPACE_WORDS.format('text')} AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
@@ -44,9 +46,10 @@ c AS (SELECT d.r, doc_id, lang, source, len(w)::BIGINT AS n_words, length(array_
 m AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, {_ratio.format('n_symbols', 'word_chars')} AS symbols, {_ratio.format('n_dup_lines', 'n_lines')} AS dup_lines, {_ratio.format('n_repeat_words', 'n_words')} AS repeats FROM c),
 v AS (SELECT r, lang, source, unnest(['symbols', 'dup_lines', 'repeats']) AS ratio, unnest([symbols, dup_lines, repeats]) AS value FROM m WHERE NOT base_failed),
 u AS (SELECT * FROM v WHERE value > 0 AND value <= {_by_ratio({k: x[1] for k, x in BOUNDS.items()})}),
-{', '.join(_quartiles(k, by) for k, by in _levels.items())},
-o AS (SELECT v.r, bool_or(value > {_fence}) AS out
-  FROM v LEFT JOIN g ON v.ratio = g.ratio AND v.lang IS NOT DISTINCT FROM g.lang AND v.source IS NOT DISTINCT FROM g.source LEFT JOIN l ON v.ratio = l.ratio AND v.lang IS NOT DISTINCT FROM l.lang LEFT JOIN a ON v.ratio = a.ratio GROUP BY v.r)
+{', '.join(_quartiles(k, by, 'u', 'true') for k, by in _levels.items())},
+{', '.join(_quartiles('a' + k, by, 'v', 'min(value) FILTER (upto * 4 >= size * 2) > 0') for k, by in _levels.items())},
+o AS (SELECT v.r, bool_or(v.value > greatest({_rare}, {_usual})) AS out
+  FROM v {' '.join(f"LEFT JOIN {p}g ON v.ratio = {p}g.ratio AND v.lang IS NOT DISTINCT FROM {p}g.lang AND v.source IS NOT DISTINCT FROM {p}g.source LEFT JOIN {p}l ON v.ratio = {p}l.ratio AND v.lang IS NOT DISTINCT FROM {p}l.lang LEFT JOIN {p}a ON v.ratio = {p}a.ratio" for p in ('', 'a'))} GROUP BY v.r)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(out, false) AS kept FROM m LEFT JOIN o ON m.r = o.r
 """
 

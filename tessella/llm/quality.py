@@ -4,8 +4,9 @@ Counts are taken of every whole text by built-in functions. The method then adap
 thousandths, and a histogram sketch of it is kept per language and source. Sketches merge by adding counts, so partial ones are
 combined before the shuffle, the order of merging doesn't matter, and the rank error is none at the resolution of a thousandth. The fence of a
 ratio is the median of its group's values above 0, of documents that pass the base, plus SPREAD times the distance between their quartiles, within BOUNDS on
-both sides: it rises and falls with what is ordinary in the group. Values beyond the upper bound don't count, so bad documents, however many, can't
-lift a fence. Groups with fewer than ENOUGH values take the fence of their language, small languages that of the corpus, and where even the corpus has too
+both sides: it rises and falls with what is ordinary in the group. Values beyond the upper bound don't count there, so a minority of bad documents, however bad, can't
+lift a fence. Where most of a group's documents have the ratio above 0, its level is ordinary in the group (a source of tables, or of code): the same rule over all values
+of the group, without an upper bound, lifts the fence if it gives more. Groups with fewer than ENOUGH values take the fence of their language, small languages that of the corpus, and where even the corpus has too
 few the ratio is UNTOLD. The fences, at most one row for each language and source, are joined with the counts and decide.
 
 Defined cases: a null or empty text has no words and fails the base; texts of any length are counted whole; a null language or source is a group of its own; ratios of a
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import SPACE, let, space_words, stored
 
 WINDOW = 8
-#: For each ratio, in thousandths: the bounds of its fence (from 300 of repeats on the base decides), and the fence where too few values tell.
+#: For each ratio, in thousandths: the bounds of its fence where few documents have it (from 300 of repeats on the base decides), and that fence where too few values tell.
 BOUNDS = {"symbols": (20, 80), "dup_lines": (175, 700), "repeats": (150, 300)}
 UNTOLD = {"symbols": 40, "dup_lines": 350, "repeats": 300}
 #: Times the distance between quartiles that a fence is above the median; values that a group needs.
@@ -106,10 +107,13 @@ def fences(stats: DataFrame, spread: int = SPREAD, least: int = ENOUGH) -> DataF
     for r, (_, high) in BOUNDS.items():
         upper = F.when(F.col("ratio") == r, high).otherwise(upper)
     passed = stored(sketch(stats.filter(~base_rule()), ["lang", "source"]), "quality-sketch")
-    counted = passed.filter((F.col("value") > 0) & (F.col("value") <= upper))
-    groups = by_level(passed.select("lang", "source", "ratio").distinct(), counted, F.col("q2") + spread * (F.col("q3") - F.col("q1")), least)
+    rule = F.col("q2") + spread * (F.col("q3") - F.col("q1"))
+    usual = by_level(passed.select("lang", "source", "ratio").distinct(), passed, F.when(F.col("q2") > 0, rule).otherwise(0), least)
+    usual = usual.select("lang", "source", "ratio", F.coalesce("g", "l", "a", F.lit(0)).alias("usual"))
+    groups = by_level(usual, passed.filter((F.col("value") > 0) & (F.col("value") <= upper)), rule, least)
     found = F.coalesce("g", "l", "a")
-    held = lambda r: F.when(found.isNull(), UNTOLD[r]).otherwise(F.least(F.greatest(found, F.lit(BOUNDS[r][0])), F.lit(BOUNDS[r][1])))
+    rare = lambda r: F.when(found.isNull(), UNTOLD[r]).otherwise(F.least(F.greatest(found, F.lit(BOUNDS[r][0])), F.lit(BOUNDS[r][1])))
+    held = lambda r: F.greatest(rare(r), F.col("usual"))
     return groups.groupBy("lang", "source").agg(*(F.max(F.when(F.col("ratio") == r, held(r))).alias(f"fence_{r}") for r in BOUNDS))
 
 

@@ -32,3 +32,16 @@ def test_both_directions(spark):
     assert got["low"]["fence_dup_lines"] == 175 and got["low"]["fence_repeats"] == 150  # the lower bounds
     assert got["high"]["fence_dup_lines"] > quality.UNTOLD["dup_lines"] and got["high"]["fence_repeats"] == 300
     assert {r["fence_symbols"] for r in got.values()} == {quality.UNTOLD["symbols"]}  # nothing to go by
+
+
+def test_a_source_of_symbols(spark):
+    """Where most documents are full of symbols they are ordinary; the same documents as a minority of another source are rejected, and so is what is extreme even here."""
+    rows = [doc(i, "tables", 10 + i % 12) for i in range(400)] + [doc(500 + i, "tables", 50) for i in range(3)]
+    rows += [doc(1000 + i, "prose") for i in range(300)] + [doc(1400 + i, "prose", 10 + i % 12) for i in range(60)]
+    got = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).collect()
+    assert {r["doc_id"] for r in got if r["kept"]} == set(range(400)) | set(range(1000, 1300))
+    by = {r["source"]: r["fence_symbols"] for r in got}
+    assert by["tables"] > quality.BOUNDS["symbols"][1] >= by["prose"]
+    # no constant gives these verdicts: what is rejected in one source is kept in the other
+    kept, gone = ({r["n_symbols"] for r in got if r["source"] == s and r["kept"] == k} for s, k in (("tables", True), ("prose", False)))
+    assert gone <= kept and sum(r["source"] == "prose" and not r["kept"] for r in got) >= 0.01 * len(got)
