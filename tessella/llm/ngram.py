@@ -134,7 +134,7 @@ def train(docs: DataFrame, path: str, slices: int | None = None) -> dict:
         c, at = np.add.reduceat(c[order], first), order[first]
         h, v, w = h[at], v[at], w[at]
         s = table.column("slice")[0].as_py()
-        save(folder, f"pairs-{s:06d}", h=h, c=np.minimum(c, (1 << 32) - 1).astype(np.uint32), n=np.array([(c == k).sum() for k in (1, 2, 3, 4)]))
+        save(folder, f"pairs-{s:06d}", h=h, c=np.minimum(c, (1 << 32) - 1).astype(np.uint32), n=np.array([*((c == k).sum() for k in (1, 2, 3, 4)), len(h)]))
         # a word as a continuation, and as a context
         x, one, zero = np.concatenate([w, v]), np.ones(len(w), np.int64), np.zeros(len(w), np.int64)
         sums = (np.concatenate([c, np.where(v == BEGIN, c, 0)]), np.concatenate([one, zero]), *(np.concatenate([zero, k]) for k in (c == 1, c == 2, c > 2)))
@@ -161,7 +161,12 @@ def train(docs: DataFrame, path: str, slices: int | None = None) -> dict:
     binary = lambda names: ", ".join(["slice int", *(f"{x} binary" for x in names)])
     found = docs.select("text").mapInArrow(count, binary(names)).groupBy("slice").applyInArrow(pairs, binary(about.names[1:])).groupBy("slice").applyInArrow(words, "slice int, facts array<long>").collect()
     total = np.sum([r["facts"] for r in found] or [[0] * 8], axis=0).tolist()
-    n = np.sum([np.load(f"{folder}/{x}") for x in os.listdir(folder) if x.startswith("pairs-") and x.endswith("-n.npy")] or [[0] * 4], axis=0).tolist()
+    here = {k: sorted({int(x.split("-")[1]) for x in os.listdir(folder) if x.startswith(f"{k}-") and x.endswith(".npy")}) for k in ("pairs", "words")}
+    *n, kept = np.sum([np.load(f"{folder}/pairs-{s:06d}-n.npy") for s in here["pairs"]] or [[0] * 5], axis=0).tolist()
+    # every distinct pair is a continuation once, so the files of pairs that are visible must hold as many as the words were told of
+    if kept != total[2] or here["words"] != sorted(r["slice"] for r in found):
+        raise FileNotFoundError(f"{folder} lacks slices of the model: it has to be one folder on all machines")
+    save(folder, "manifest", **{k: np.packbits(np.isin(np.arange(slices), x)) for k, x in here.items()})
     model = {"slices": slices, "tokens": total[0], "types": total[1], "pairs": total[2], "d_pair": discounts(n).tolist(), "d_word": discounts(total[3:7]).tolist(), "few": [*total[3:5], total[7]]}
     with open(f"{folder}/model.json", "w") as f:
         json.dump(model, f)
@@ -173,6 +178,7 @@ class Model:
 
     def __init__(self, folder: str):
         self.folder, self.maps = folder, {}
+        self.there = {k: np.load(f"{folder}/manifest-{k}.npy", mmap_mode="r") for k in ("pairs", "words")}
         with open(f"{folder}/model.json") as f:
             self.m = json.load(f)
         d, few, pairs, types = np.array(self.m["d_word"]), self.m["few"], self.m["pairs"], self.m["types"]
@@ -180,9 +186,11 @@ class Model:
         self.uniform = 1.0 / (types + 1)
 
     def slice(self, kind: str, s: int, names: tuple[str, ...]):
+        """The arrays of a slice, None of one that has no keys. A slice that was written and can't be read raises."""
         if (kind, s) not in self.maps:
+            written = self.there[kind][s >> 3] >> (7 - (s & 7)) & 1
             at = f"{self.folder}/{kind}-{s:06d}"
-            self.maps[kind, s] = [np.load(f"{at}-{x}.npy", mmap_mode="r") for x in names] if os.path.exists(f"{at}-h.npy") else None
+            self.maps[kind, s] = [np.load(f"{at}-{x}.npy", mmap_mode="r") for x in names] if written else None
         return self.maps[kind, s]
 
     def look_up(self, kind: str, keys: np.ndarray, width: int, names: tuple[str, ...]) -> list[np.ndarray]:
