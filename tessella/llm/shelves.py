@@ -23,7 +23,9 @@ def shelved(docs: DataFrame, text: Column) -> tuple[DataFrame, int, int]:
     """label, row, doc_id, text of all docs(doc_id, text), as stored; how many labels there are; the bytes of all texts."""
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET))
+    # Spark allows so many buckets; beyond them a bucket holds more labels, which a task reads and groups one after the other
+    most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))
+    buckets = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET)), most)
     labels = max(2 * buckets, size // GROUP) | 1  # odd, since numbers of rows begin at multiples of a power of two
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     rows = rows.select(F.pmod("row", F.lit(labels)).cast("int").alias("label"), "row", "doc_id", "text").repartition(buckets, "label")
@@ -31,7 +33,9 @@ def shelved(docs: DataFrame, text: Column) -> tuple[DataFrame, int, int]:
     at = f"{shared_dir(spark)}/tessella/{spark.sparkContext.applicationId}/{name}"
     rows.write.format("parquet").option("compression", "zstd").option("path", at).bucketBy(buckets, "label").saveAsTable(name)
     release(spark)
-    return spark.table(name), labels, size
+    shelf = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the catalog forgets it; the files and the plan that reads them by buckets stay
+    return shelf, labels, size
 
 
 def in_order(table: pa.Table) -> pa.Table:
