@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -16,7 +16,7 @@ from ..ship import ship
 from ..sources import files
 from ..sources.staged import shared_dir, stored
 from ..streaming import streams
-from . import batches, flows, runs
+from . import batches, flows, runs, synthesis
 from .backends import Brittle, Identity, Marked
 from .views import HISTORY, METRICS, PAIRS, SEG_CONV, SEG_EVENTS, WC, WS, history, metrics, pairs, seg_conv, seg_events, sql_count, sql_sentences, sql_squeeze, sql_strip, sql_words, table
 
@@ -705,6 +705,42 @@ def q_synthesis_plan(spark, sf_dir):
     return p.select("video", "chunk_id", "seg_idx", r6("start").alias("start"), r6("silence").alias("silence"), F.size("pieces").alias("pieces"))
 
 
+#: Samples by what the stand-in says of a text's length, at 100 a second; then each video's parts one after the other, by a recursion whose state is the time, all samples and those left by fades of 3.
+TIMED_SQL = f"""RECURSIVE {SEG_EVENTS}, s0 AS (SELECT video, seg_idx, st - min(st) OVER (PARTITION BY video) AS st, en - min(st) OVER (PARTITION BY video) AS en, length(text || ' ' || seg_idx) AS l FROM seg),
+s1 AS (SELECT *, greatest(0.05::DOUBLE, en - st) AS target, CASE WHEN l % 11 = 0 THEN 0 WHEN l % 7 <> 0 AND l % 5 = 0 THEN 4 ELSE l * 6 END AS n1, l % 11 <> 0 AND l % 7 = 0 AS quiet FROM s0),
+s2 AS (SELECT *, n1 / 100.0::DOUBLE <= greatest(0.05::DOUBLE, least(0.15::DOUBLE, 0.15::DOUBLE * target)) OR (target >= 0.2::DOUBLE AND (quiet OR n1 = 0)) AS again FROM s1),
+s3 AS (SELECT *, CASE WHEN NOT again THEN n1 WHEN l % 11 = 0 THEN 0 ELSE l * 6 END AS raw FROM s2),
+s4 AS (SELECT *, CASE WHEN locked AND raw > 0 THEN floor(target * 100 + 0.5::DOUBLE)::BIGINT ELSE raw END AS n FROM s3, (VALUES (true), (false)) AS b(locked)),
+tl(video, locked, seg_idx, n, q, place, cursor, total, track) AS (SELECT DISTINCT video, locked, -1::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::DOUBLE, 0::BIGINT, 0::BIGINT FROM s4 UNION ALL
+  SELECT video, locked, seg_idx, n, q, joined - fade, CASE WHEN n > 0 THEN CASE WHEN locked THEN en ELSE st + n / 100.0::DOUBLE END ELSE greatest(cursor, st) END, sum1 + n, joined - fade + n FROM
+  (SELECT *, CASE WHEN sum1 > 3 AND n > 3 THEN 3 ELSE 0 END AS fade FROM
+  (SELECT *, total + q AS sum1, track + q - CASE WHEN total > 3 AND q > 3 THEN 3 ELSE 0 END AS joined FROM
+  (SELECT s.video, s.locked, s.seg_idx, s.n, s.st, s.en, cursor, total, track, floor(greatest(0, s.st - cursor) * 100 + 0.5::DOUBLE)::BIGINT AS q FROM tl JOIN s4 AS s ON s.video = tl.video AND s.locked = tl.locked AND s.seg_idx = tl.seg_idx + 1))))"""
+
+
+def _timed(spark, sf_dir) -> list[DataFrame]:
+    """Events as segments from 0 on, with their number in the text, spoken once and timed with slots (True) and without: plans and tracks."""
+    s = seg_events(spark, sf_dir)
+    zero = F.min("start").over(Window.partitionBy("video"))
+    s = s.select("video", "seg_idx", (F.col("start") - zero).alias("start"), (F.col("end") - zero).alias("end"), F.concat_ws(" ", "text", "seg_idx").alias("text"))
+    pieces = synthesis.voices(s, synthesis.Tone, synthesis.CarefulTone, rate=100)
+    both = [(locked, synthesis.timed(pieces, 100, locked, block=4096)) for locked in (True, False)]
+    return [a.unionByName(b) for a, b in zip(*([df.withColumn("locked", F.lit(locked)) for df in dfs] for locked, dfs in both))]
+
+
+@query(f"""WITH {TIMED_SQL} SELECT video, locked, seg_idx::INTEGER AS seg_idx, 1 + again::INTEGER AS attempts, round(raw / 100.0::DOUBLE, 6) AS produced, tl.n::INTEGER AS n, q AS silence, CASE WHEN tl.n > 0 THEN place END AS "at"
+FROM tl JOIN s4 USING (video, locked, seg_idx)""")
+def q_timed_synthesis(spark, sf_dir):
+    """With a stand-in voice."""
+    return _timed(spark, sf_dir)[0].select("video", "locked", "seg_idx", "attempts", r6("produced").alias("produced"), "n", "silence", "at")
+
+
+@query(f"WITH {TIMED_SQL} SELECT video, locked, max(track) AS samples, max(track + 4095) // 4096 AS blocks FROM tl GROUP BY video, locked HAVING max(track) > 0")
+def q_timed_track(spark, sf_dir):
+    """With a stand-in voice."""
+    return _timed(spark, sf_dir)[1].groupBy("video", "locked").agg(F.sum(F.size("samples")).alias("samples"), F.count("*").alias("blocks"))
+
+
 DUB_SQL = f"""RECURSIVE {SEG_EVENTS}, {FIX_SQL}, mu AS (SELECT *, en - st > 2 AND w / (en - st) < 0.3::DOUBLE AS music FROM fx),
 kept AS (SELECT *, row_number() OVER (PARTITION BY video ORDER BY seg_idx) AS k FROM (SELECT *, avg(music::INT) OVER (PARTITION BY video) AS share FROM mu) WHERE NOT music OR share > 0.25::DOUBLE),
 ch(video, k, en, anchor, chunk_id) AS (SELECT video, k, en, st, 0 FROM kept WHERE k = 1 UNION ALL
