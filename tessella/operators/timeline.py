@@ -32,6 +32,12 @@ def fix_timestamps(df: DataFrame, compat: bool = False) -> DataFrame:
     return out.select(*ORDER, "start", "end", "text", "duration", "words_per_second") if compat else out
 
 
+def renumbered(df: DataFrame) -> DataFrame:
+    """Segments, and the parts of split ones, numbered anew in each video."""
+    by = ["seg_idx", *(["part_idx"] if "part_idx" in df.columns else [])]
+    return df.withColumn("seg_idx", (F.row_number().over(ordered("video", *by)) - 1).cast("int")).drop("part_idx")
+
+
 def gaps(df: DataFrame, large: float = 3.0) -> DataFrame:
     """Adds gap, the time since the previous segment's end (null for the first), and large_gap."""
     gap = F.col("start") - F.lag("end").over(ordered())

@@ -16,7 +16,7 @@ from ..ship import ship
 from ..sources import files
 from ..sources.staged import shared_dir, stored
 from ..streaming import streams
-from . import batches, flows, runs, synthesis
+from . import batches, flows, recognition, runs, synthesis
 from .backends import Brittle, Identity, Marked
 from .views import HISTORY, METRICS, PAIRS, SEG_CONV, SEG_EVENTS, WC, WS, history, metrics, pairs, seg_conv, seg_events, sql_count, sql_sentences, sql_squeeze, sql_strip, sql_words, table
 
@@ -705,6 +705,25 @@ def q_synthesis_plan(spark, sf_dir):
     return p.select("video", "chunk_id", "seg_idx", r6("start").alias("start"), r6("silence").alias("silence"), F.size("pieces").alias("pieces"))
 
 
+_fix_again = FIX_SQL.replace("FROM seg", "FROM mg").replace("f1", "h1").replace("f2", "h2").replace("fx", "hx")
+
+
+@query(f"""WITH {SEG_EVENTS}, {FIX_SQL},
+lo AS (SELECT video, seg_idx, floor((en + 0.25::DOUBLE - greatest(0, st - 0.25::DOUBLE)) * 10)::BIGINT AS n FROM (SELECT *, row_number() OVER (PARTITION BY video ORDER BY seg_idx) AS k FROM fx WHERE avg_logprob < -1.1::DOUBLE OR is_suspicious) WHERE k <= 8),
+rf AS (SELECT fx.video, fx.seg_idx, st, en, coalesce(n % 7 <> 0 AND n % 3 <> 0, false) AS refined, CASE WHEN refined THEN 'echo ' || n || ' um' ELSE text END AS text FROM fx LEFT JOIN lo USING (video, seg_idx)),
+g AS (SELECT video, seg_idx, st, lag(en) OVER (PARTITION BY video ORDER BY seg_idx) AS pe FROM rf),
+cl AS (SELECT video, greatest(0, pe + 0.05::DOUBLE) AS a, greatest(a + 0.10::DOUBLE, st - 0.05::DOUBLE) AS b, row_number() OVER (PARTITION BY video ORDER BY seg_idx) AS k FROM g WHERE st - pe BETWEEN 2.5 AND 15),
+rc AS (SELECT video, a + 0.0::DOUBLE AS st, a + CASE WHEN n % 3 = 0 THEN b - a ELSE 1.0::DOUBLE END AS en, CASE WHEN n % 3 = 0 THEN 'no' ELSE 'echo ' || n END AS text FROM (SELECT *, floor((b - a) * 10)::BIGINT AS n FROM cl WHERE k <= 6) WHERE n % 7 <> 0),
+mg AS (SELECT video, row_number() OVER (PARTITION BY video ORDER BY st, en, seg_idx NULLS LAST) - 1 AS seg_idx, st, en, text, refined, gap_refined
+  FROM (SELECT *, false AS gap_refined FROM rf WHERE video IN (SELECT video FROM rc) UNION ALL BY NAME SELECT *, false AS refined, true AS gap_refined FROM rc)),
+{_fix_again}
+SELECT video, seg_idx::INTEGER AS seg_idx, round(st, 6) AS start, round(en, 6) AS "end", text, refined, gap_refined FROM (SELECT video, seg_idx, st, en, text, refined, gap_refined FROM hx UNION ALL SELECT video, seg_idx, st, en, text, refined, false FROM rf WHERE video NOT IN (SELECT video FROM rc))""")
+def q_refinement_waves(spark, sf_dir):
+    """With a stand-in recognizer."""
+    s = recognition.refined(timeline.fix_timestamps(seg_events(spark, sf_dir)), recognition.Echo)
+    return s.select("video", "seg_idx", r6("start").alias("start"), r6("end").alias("end"), "text", "refined", "gap_refined")
+
+
 #: Samples by what the stand-in says of a text's length, at 100 a second; then each video's parts one after the other, by a recursion whose state is the time, all samples and those left by fades of 3.
 TIMED_SQL = f"""RECURSIVE {SEG_EVENTS}, s0 AS (SELECT video, seg_idx, st - min(st) OVER (PARTITION BY video) AS st, en - min(st) OVER (PARTITION BY video) AS en, length(text || ' ' || seg_idx) AS l FROM seg),
 s1 AS (SELECT *, greatest(0.05::DOUBLE, en - st) AS target, CASE WHEN l % 11 = 0 THEN 0 WHEN l % 7 <> 0 AND l % 5 = 0 THEN 4 ELSE l * 6 END AS n1, l % 11 <> 0 AND l % 7 = 0 AS quiet FROM s0),

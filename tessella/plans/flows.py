@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,20 +14,22 @@ from ..sources.staged import stored
 from .backends import translated
 
 
-def postprocess_transcript(segments: DataFrame, lang_prob: float | None = None) -> tuple[DataFrame, DataFrame]:
+def postprocess_transcript(segments: DataFrame, lang_prob: float | None = None, refine: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """(segments, summary): squashed, without empty texts, fixed, split and flagged; and per video its text, confidence, and gate.
 
-    segments has video, seg_idx, start, end, text, and may have avg_logprob, language, expected and language_probability."""
+    segments has video, seg_idx, start, end, text, and may have avg_logprob, language, expected and language_probability. refine: listens again, as recognition.refined
+    does; texts are those after it, confidence and music those of what was heard first."""
     have = segments.columns
     df = segments.withColumn("text", squash("text")).filter("text <> ''")
     df = timeline.flag_music(timeline.split_overlong(timeline.fix_timestamps(df)))
     if "avg_logprob" not in have:
         df = df.withColumn("avg_logprob", F.lit(0.0))
-    summary = timeline.transcript(df).join(timeline.confidence_summary(df), "video").join(timeline.music_heavy(df).select("video", "music_ratio", "music_heavy"), "video")
+    again = df if refine is None else refine(timeline.renumbered(df))
+    summary = timeline.transcript(again).join(timeline.confidence_summary(df), "video").join(timeline.music_heavy(df).select("video", "music_ratio", "music_heavy"), "video")
     facts = segments.groupBy("video").agg(*(F.first(c, ignorenulls=True).alias(c) if c in have else F.lit(None).cast(t).alias(c) for c, t in (("language", "string"), ("expected", "string"), ("language_probability", "double"))))
     prob = F.lit(lang_prob) if lang_prob is not None else F.coalesce("language_probability", F.lit(0.0))
     summary = summary.join(facts, "video").withColumn("gate", validators.gate("text", "language", "expected", prob, "avg_logprob"))
-    return df, summary.withColumn("passed", F.col("gate") == "ok")
+    return again, summary.withColumn("passed", F.col("gate") == "ok")
 
 
 def translate(df: DataFrame, terms: list, waves: list, strict: bool = True) -> DataFrame:

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip
 from ..operators import audio, chunking, routing, timeline
+from ..operators.timeline import renumbered
 from ..sources import files
 from . import batches
 from .flows import postprocess_transcript, run_report
@@ -110,12 +111,6 @@ def clock(segments: DataFrame, gb: float | None = None, force_cpu: bool = False)
     return routing.strategy(each, force_cpu=force_cpu)
 
 
-def renumbered(segments: DataFrame) -> DataFrame:
-    """Segments, and the parts of split ones, numbered anew in each video."""
-    by = ["seg_idx", *(["part_idx"] if "part_idx" in segments.columns else [])]
-    return segments.withColumn("seg_idx", (F.row_number().over(Window.partitionBy("video").orderBy(*by)) - 1).cast("int")).drop("part_idx")
-
-
 def translated(segments: DataFrame, videos: DataFrame, src: str, tgt: str, terms: list, factories: dict, requested: str | None, settings: Settings) -> DataFrame:
     """video, seg_idx, start, end, text, estimated: each video's segments in the target language. One language for both leaves texts as they are; suspicious segments are skipped where few are;
     a video of which no segment has a text gets its sentences' estimated times over its duration; a text of which nothing came back stays empty."""
