@@ -81,11 +81,20 @@ class Ledger:
         schema = f"blob_id string, version string, spans {SPANS}"
         if not at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at):
             return self.spark.range(0).select(F.lit("").alias("blob_id"), F.lit("").alias("version"), F.array().cast(SPANS).alias("spans"))
-        # two runs at a time may both have scanned a blob
+        # a version is a folder, so no other is read; two runs at a time may both have scanned a blob
         return self.spark.read.schema(schema).parquet(self.path).filter(F.col("version") == version).dropDuplicates(["blob_id"])
 
     def append(self, entries: DataFrame) -> None:
-        entries.select("blob_id", "version", "spans").write.mode("append").parquet(self.path)
+        entries.select("blob_id", "version", "spans").write.mode("append").partitionBy("version").parquet(self.path)
+
+
+#: The session setting that names the folder of a ledger to be kept from run to run.
+LEDGER = "spark.tessella.secrets.ledger"
+
+
+def ledger_of(spark: SparkSession) -> Ledger:
+    """The ledger that the session names, to be read and extended, or an empty one for a single run where it names none."""
+    return Ledger(spark, at.rstrip("/")) if (at := spark.conf.get(LEDGER, None)) else own_ledger(spark)
 
 
 def own_ledger(spark: SparkSession) -> Ledger:
@@ -120,8 +129,8 @@ def near(found: DataFrame) -> DataFrame:
 
 
 def report(docs: DataFrame, ledger: Ledger | None = None, version: str = RULES_VERSION) -> DataFrame:
-    """doc_id and spans, an array that is empty where nothing was found, for every row of docs; without a ledger all blobs are scanned."""
-    found = findings(docs, ledger or own_ledger(docs.sparkSession), version)
+    """doc_id and spans, an array that is empty where nothing was found, for every row of docs; ledger: by default the one that the session names."""
+    found = findings(docs, ledger or ledger_of(docs.sparkSession), version)
     return addressed(docs).select("doc_id", "blob_id").join(near(found), "blob_id", "left").select("doc_id", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
 
 

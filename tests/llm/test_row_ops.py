@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tessella.llm import ngram, quality, secrets, sharding, simhash, url_filter
+from tessella.llm import ngram, quality, queries, secrets, sharding, simhash, url_filter
 
 from .data import SCHEMA, documents, frame
 from .test_text_ops import empty, space_words
@@ -242,14 +242,37 @@ def test_ledger(spark, tmp_path):
     assert ledger.entries("1").count() == 5  # the new text and the empty one
     key = lambda d: Counter((r["blob_id"], str(r["spans"])) for r in d.collect())
     assert key(found) == key(secrets.findings(two, secrets.own_ledger(spark)))
-    before = {f for f in (tmp_path / "ledger").iterdir()}
+    before = {f for f in (tmp_path / "ledger").rglob("*.parquet")}
     secrets.findings(two, ledger)
-    assert {f for f in (tmp_path / "ledger").iterdir()} == before  # nothing is new
+    assert {f for f in (tmp_path / "ledger").rglob("*.parquet")} == before  # nothing is new
     secrets.findings(two, ledger, "2")
     assert ledger.entries("2").count() == 4 and ledger.entries("1").count() == 5
     assert Counter(str(r) for r in secrets.report(two, ledger).collect()) == Counter(str(r) for r in secrets.report(two).collect())
 
 
+def test_kept_ledger(spark, docs, tmp_path, monkeypatch):
+    """Query and pipeline stage share the ledger that the session names: the second scans nothing, and both give what they give without it."""
+    import corpus_pipeline as cp
+
+    docs.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    key = lambda d: Counter(str(r) for r in d.collect())
+    query, stage = key(queries.op9_secrets(spark, str(tmp_path))), key(cp.secret_scans(spark, rows, str(tmp_path)))
+    scanned, scan = [], secrets.scan
+    monkeypatch.setattr(secrets, "scan", lambda blobs: scanned.append(blobs.select("blob_id").distinct().count()) or scan(blobs))
+    spark.conf.set(secrets.LEDGER, f"file://{tmp_path}/kept/")
+    try:
+        assert key(queries.op9_secrets(spark, str(tmp_path))) == query
+        assert scanned == [rows.select(F.coalesce("text", F.lit(""))).distinct().count()]
+        assert key(cp.secret_scans(spark, rows, str(tmp_path))) == stage
+        assert len(scanned) == 1
+        more = rows.limit(0).unionByName(spark.createDataFrame([(999, "password=abcdefgh", "en", "s", 17)], rows.schema)).unionByName(rows)
+        assert cp.secret_scans(spark, more, str(tmp_path)).filter("doc_id = 999").first()["text"] == "[secret]"
+        assert scanned[1:] == [1]
+    finally:
+        spark.conf.unset(secrets.LEDGER)
+
+
 @pytest.mark.parametrize("bound", [32 << 20, 0])
 def test_scan_after_ledger(spark, docs, bound, monkeypatch):
     """In the plan the patterns stand above the join with unseen blobs, and nothing below it names them."""
