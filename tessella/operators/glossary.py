@@ -154,13 +154,11 @@ def lock(df: DataFrame, c: str, terms: list[Term], form: str = "<<{category}:{in
         return F.transform(ms, lambda m, i: F.struct(m["ord"].alias("ord"), m["matched"].alias("matched"), name(m, i).alias("name")))
 
     def replaced(t: Column, x: Column) -> Column:
-        # the pattern has to be a literal, so each term is a case; regexp_instr finds the first match and overlay replaces it
-        at, size = None, None
+        # in two halves at the first match: places of regexp_instr count characters beyond the basic plane twice
+        halves = None
         for k, term in row:
-            here = x["ord"] == k
-            at = (F if at is None else at).when(here, F.regexp_instr(t, F.lit(term.pattern)))
-            size = (F if size is None else size).when(here, F.length(F.regexp_substr(t, F.lit(term.pattern))))
-        return let(F.struct(at.alias("at"), size.alias("n")), lambda p: F.when(p["at"] > 0, F.concat(F.substring(t, F.lit(1), p["at"] - 1), x["name"], F.substring(t, p["at"] + p["n"], F.length(t)))).otherwise(t))
+            halves = (F if halves is None else halves).when(x["ord"] == k, F.split(t, term.pattern, 2))
+        return let(halves, lambda p: F.when(F.size(p) == 2, F.concat(F.get(p, F.lit(0)), x["name"], F.get(p, F.lit(1)))).otherwise(t))
 
     marked = df.withColumn("_m", let(keep, numbered))
     if not terms:
