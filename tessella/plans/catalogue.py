@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import validators as V
+from ..functions.text import W
 from ..functions.metrics import scored
 from ..functions.scripts import BLOCKS, MODEL_CODES, ROUTES, SCRIPTS, SPEECH_NAMES
-from ..operators import audio, chunking, evaluation, glossary, requests, routing, timeline
+from ..operators import audio, chunking, evaluation, glossary, requests, routing, terms, timeline
 from ..ship import ship
 from ..sources import files
 from ..sources.staged import shared_dir, stored
@@ -416,6 +417,18 @@ def q_glossary_builtin(spark, sf_dir):
     return glossary.found(docs(spark, sf_dir), "doc_id", "text", glossary.builtin())
 
 
+@query(f"""WITH t AS (SELECT DISTINCT lower(regexp_extract(text, '^([{WC}]+ [{WC}]+)(?:[^{WC}]|$)', 1)) AS term FROM benchmark),
+p AS (SELECT doc_id, regexp_extract_all(text, '[{WC}]+|[^{WC}]+') AS p FROM documents),
+x AS (SELECT doc_id, lower(z[1] || ' ' || z[3]) AS w FROM (SELECT doc_id, unnest(list_zip(p, p[2:], p[3:])) AS z FROM p) WHERE z[2] = ' ')
+SELECT term, count(*) AS times, count(DISTINCT doc_id) AS docs FROM t JOIN x ON w = term WHERE term <> '' AND split_part(term, ' ', 1) <> split_part(term, ' ', 2) GROUP BY term""")
+def q_glossary_table(spark, sf_dir):
+    """A glossary of the two words that each benchmark text begins with, found in documents."""
+    first = F.lower(F.regexp_extract("text", f"^([{W}]+ [{W}]+)(?:[^{W}]|$)", 1))
+    known = table(spark, sf_dir, "benchmark").groupBy(first.alias("term")).agg(F.min("item_id").cast("int").alias("ord"))
+    known = known.filter((F.col("term") != "") & (F.split_part("term", F.lit(" "), F.lit(1)) != F.split_part("term", F.lit(" "), F.lit(2))))
+    return terms.found(docs(spark, sf_dir), "doc_id", "text", known).groupBy("term").agg(F.count("*").alias("times"), F.count_distinct("doc_id").alias("docs"))
+
+
 # routing
 
 _routes = "(VALUES " + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in ROUTES) + ") AS {0}(src, tgt, backend)"
