@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +21,8 @@ from ..functions.text import squeeze, strip
 from ..operators import audio, chunking
 from ..sources.staged import stored
 
-BLOCK = 1 << 18
+#: Samples of a block of the track, and those of finished blocks that a worker returns at once.
+BLOCK, READY = 1 << 18, 1 << 20
 
 
 class Synthesizer:
@@ -148,7 +150,7 @@ def schedule(lengths: DataFrame, rate: int, locked: bool = True, fade: int = 30)
 def track(parts: DataFrame, block: int = BLOCK) -> DataFrame:
     """video, block, samples: the track in blocks of so many samples (the last is shorter), for the parts of a schedule with their samples, null for silence.
 
-    A group is a block and has only the samples that lie in it; parts are laid in order, each faded over what is there, as joining them one after the other does."""
+    A block is in one task, which has only the samples that lie in it and lays one block after the other; parts are laid in order, each faded over what is there, as joining them one after the other does."""
     last = F.floor((F.col("at") + F.col("length") - 1) / block)
     df = parts.withColumn("block", F.explode(F.sequence(F.floor(F.col("at") / block), last)))
     low, high = F.greatest("at", F.col("block") * block), F.least(F.col("at") + F.col("length"), (F.col("block") + 1) * block)
@@ -156,18 +158,40 @@ def track(parts: DataFrame, block: int = BLOCK) -> DataFrame:
     df = df.select("video", "block", "seg_idx", "part", "fade", (low - F.col("at")).alias("skip"), (low - F.col("block") * block).alias("first"), (high - low).alias("n"), inside.alias("samples"))
     kind = parts.schema["video"].dataType.simpleString()
 
-    def lay(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["seg_idx", "part"])
-        out = np.zeros(int((rows["first"] + rows["n"]).max()), np.int16)
-        for fade, skip, first, n, samples in zip(rows["fade"], rows["skip"], rows["first"], rows["n"], rows["samples"]):
-            new = np.zeros(n, np.int16) if samples is None else np.asarray(samples, np.int16)
-            if (m := min(n, max(0, fade - skip))) > 0:
-                share = np.arange(skip, skip + m) / (fade - 1) if fade > 1 else np.zeros(m)
-                out[first : first + m] = np.trunc(out[first : first + m] * (1 - share) + new[:m] * share)
-            out[first + m : first + n] = new[m:]
-        return pd.DataFrame({"video": [key[0]], "block": [key[1]], "samples": [out]})
-
-    return df.groupBy("video", "block").applyInPandas(lay, f"video {kind}, block long, samples array<short>")
+    def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, out, end, ready, waiting = None, np.zeros(0, np.int16), 0, [], 0
+
+        def emitted(video: pa.DataType) -> pa.RecordBatch:
+            ends = np.cumsum([0, *(len(x) for _, x in ready)], dtype=np.int32)
+            samples = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([x for _, x in ready])))
+            return pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in ready], video), pa.array([k[1] for k, _ in ready], pa.int64()), samples], names=["video", "block", "samples"])
+
+        for b in batches:
+            sound = b.column("samples")
+            heard, starts, values = sound.is_valid().to_numpy(zero_copy_only=False).tolist(), sound.offsets.to_numpy().tolist(), sound.values.to_numpy(zero_copy_only=False)
+            numbers = (b.column(x).to_numpy().tolist() for x in ("fade", "skip", "first", "n"))
+            for video, at, given, start, fade, skip, first, n in zip(b.column("video").to_pylist(), b.column("block").to_pylist(), heard, starts, *numbers):
+                if (video, at) != key:
+                    if key is not None:
+                        ready.append((key, out[:end]))
+                        waiting += end
+                    if waiting >= READY:
+                        yield emitted(b.schema.field("video").type)
+                        ready, waiting = [], 0
+                    key, out, end = (video, at), np.zeros(block, np.int16), 0
+                m = min(n, max(0, fade - skip))
+                if m > 0:
+                    share = np.arange(skip, skip + m) / (fade - 1) if fade > 1 else np.zeros(m)
+                    out[first : first + m] = np.trunc(out[first : first + m] * (1 - share) + (values[start : start + m] if given else 0) * share)
+                out[first + m : first + n] = values[start + m : start + n] if given else 0
+                end = max(end, first + n)
+        if key is not None:
+            ready.append((key, out[:end]))
+            yield emitted(b.schema.field("video").type)
+
+    # sorted in each task, so a block's rows follow each other there; one call for each of the many blocks would cost more than the samples
+    together = df.repartition("video", "block").sortWithinPartitions("video", "block", "seg_idx", "part")
+    return together.mapInArrow(lay, f"video {kind}, block long, samples array<short>")
 
 
 def timed(pieces: DataFrame, rate: int = 24000, locked: bool = True, fade: int = 30, block: int = BLOCK, exact: bool = True, **speeds: float) -> tuple[DataFrame, DataFrame]:
