@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 W = r"\p{L}\p{N}_"
 S = r"[\t-\r\x1c-\x1f \x85\p{Z}]"
 B = rf"(?:(?<![{W}])(?=[{W}])|(?<=[{W}])(?![{W}]))"
+#: ASCII word characters, which a class looks up at once; a word character by these first (the same set as W); a whole word and the white space after one, which give up no part of what they match.
+A = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_"
+C = rf"[[{A}][{W}]]"
+WORD, NEXT = rf"(?<!{C}){C}++", rf"{S}++{C}++"
 
 
 def let(value: Column, body) -> Column:
@@ -56,35 +60,20 @@ def distinct_words(c: Column | str) -> Column:
     return F.size(F.array_distinct(F.transform(words(c), F.lower)))
 
 
-def phrases(w: Column, n: int) -> Column:
-    """Each n consecutive words of the array w, in lower case, joined by spaces."""
-    return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1))), lambda i: F.lower(F.array_join(F.slice(w, i, n), " ")))).otherwise(F.array().cast("array<string>"))
-
-
-def most_frequent(items: Column) -> Column:
-    """struct(n, item): the most frequent item of an array of strings, of equally frequent ones that which comes first; null for no items."""
-    start = F.struct(F.lit(None).cast("string").alias("item"), F.lit(0).alias("run"), F.lit(0).alias("first"), F.lit(0).alias("n"), F.lit(None).cast("string").alias("best"), F.lit(0).alias("at"))
-
-    def step(a: Column, x: Column) -> Column:
-        same = F.coalesce(a["item"] == x["item"], F.lit(False))
-        run, first = F.when(same, a["run"] + 1).otherwise(1), F.when(same, a["first"]).otherwise(x["i"])
-        better = (run > a["n"]) | ((run == a["n"]) & (first < a["at"]))
-        return F.struct(x["item"].alias("item"), run.alias("run"), first.alias("first"), F.when(better, run).otherwise(a["n"]).alias("n"), F.when(better, x["item"]).otherwise(a["best"]).alias("best"), F.when(better, first).otherwise(a["at"]).alias("at"))
-
-    ordered = F.sort_array(F.transform(items, lambda x, i: F.struct(x.alias("item"), i.alias("i"))))
-    found = F.aggregate(ordered, start, step, lambda a: F.struct(a["n"].alias("n"), a["best"].alias("item")))
-    return F.when(F.size(items) > 0, found)
-
-
-#: Noise that squash() deletes (fixed values).
+#: Noise that squash() deletes (fixed values); each begins with one of a few letters, so most places are passed by at once.
 NOISE = [
-    rf"{B}(protty|prottty|prr+|t+{S}*t+|d+{S}*d+){B}",
-    rf"{B}(m+m+|h+h+|a+a+|o+o+){B}",
+    rf"(?=[ptd])(?<![{W}])(?:protty|prottty|prr+|t+{S}*t+|d+{S}*d+)(?![{W}])",
+    rf"(?=[mhao])(?<![{W}])(?:m+m+|h+h+|a+a+|o+o+)(?![{W}])",
     r"\p{Nd}{4,}",
-    rf"{B}(music|instrumental|bgm){B}",
+    rf"(?=[mib])(?<![{W}])(?:music|instrumental|bgm)(?![{W}])",
 ]
 
 
+def spaced(t: Column, keep: str = "") -> Column:
+    """The words of a squeezed text, each normalized, still one space apart."""
+    return normalized(t, f"{keep} ")
+
+
 def dedupe_words(w: Column) -> Column:
     """w without words beyond the second of a run that are equal when normalized."""
     keys = F.transform(w, lambda x: normalized(x, r"ऀ-ॿ"))
@@ -92,10 +81,16 @@ def dedupe_words(w: Column) -> Column:
 
 
 def squash(c: Column | str) -> Column:
-    """c with runs of words and phrases collapsed, noise deleted and white space squeezed."""
-    out = F.array_join(let(words(c), dedupe_words), " ")
-    for n in (4, 3, 2):
-        out = F.regexp_replace(out, rf"(?iu)({B}(?:[{W}]+{S}+){{{n - 1}}}[{W}]+{B})(?:{S}+\1)+", "$1")
+    """c with runs of words and phrases collapsed, noise deleted and white space squeezed. Few texts have any such run, and only these are taken apart."""
+    tripled = lambda t: spaced(t, r"ऀ-ॿ").rlike(r"(?<![^ ])([^ ]++) \1 \1(?![^ ])")
+    out = let(squeeze(c), lambda t: F.when(tripled(t), F.array_join(dedupe_words(F.split(t, " ")), " ")).otherwise(t))
+
+    def collapsed(t: Column) -> Column:
+        for n in (4, 3, 2):
+            t = F.regexp_replace(t, rf"({WORD}(?:{NEXT}){{{n - 1}}})(?:{S}++(?iu:\1))++", "$1")
+        return t
+
+    out = let(out, lambda t: F.when(t.rlike(rf"({WORD}(?:{NEXT}){{1,3}}?){S}++(?iu:\1)"), collapsed(t)).otherwise(t))
     for noise in NOISE:
         out = F.regexp_replace(out, f"(?iu){noise}", "")
     return squeeze(out)
@@ -110,8 +105,8 @@ def repetition_score(c: Column | str) -> Column:
         alike = (a["run"] > 0) & (a["anchor"] != "") & (x != "") & (F.contains(a["anchor"], x) | F.contains(x, a["anchor"]))
         return F.when(alike, F.struct(a["anchor"].alias("anchor"), (a["run"] + 1).alias("run"), a["total"].alias("total"))).otherwise(F.struct(x.alias("anchor"), F.lit(1).alias("run"), flushed(a).alias("total")))
 
-    score = let(words(c), lambda w: F.when((F.length(text(c)) < 20) | (F.size(w) < 5), F.lit(0.0)).otherwise(F.least(F.lit(1.0), F.aggregate(F.transform(w, normalized), start, step, flushed) / F.size(w))))
-    return score
+    score = lambda w: F.when((F.length(text(c)) < 20) | (F.size(w) < 5), F.lit(0.0)).otherwise(F.least(F.lit(1.0), F.aggregate(w, start, step, flushed) / F.size(w)))
+    return let(F.split(spaced(squeeze(c)), " "), score)
 
 
 def clean_for_speech(c: Column | str) -> Column:

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import difflib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from .scripts import BLOCKS, GATE_BLOCKS, SCRIPTS
-from .text import B, S, W, col, distinct_words, let, most_frequent, phrases, repetition_score, squash, strip, text, words
+from .text import A, S, W, WORD, col, distinct_words, let, repetition_score, squash, strip, text, words
 
 
 def outcome(valid, score, code) -> Column:
@@ -29,7 +30,8 @@ def by_language(lang: Column, value, other: Column) -> Column:
 def script(c: Column | str, lang: Column | str) -> Column:
     """Whether enough letters are of the script that lang is written in. Marks count as script but not as letters, so the ratio can exceed 1."""
     c, lang = text(c), col(lang)
-    ratio = by_language(lang, lambda k: F.try_divide(F.regexp_count(c, F.lit(SCRIPTS[k][1])), F.regexp_count(c, F.lit(r"\p{L}"))), F.lit(None).cast("double"))
+    count = lambda one: F.length(c) - F.regexp_count(c, F.lit(rf"(?s)(?!{one})."))  # noqa: E731 - most characters are such, so the others are counted
+    ratio = by_language(lang, lambda k: F.try_divide(count(SCRIPTS[k][1]), count(r"\p{L}")), F.lit(None).cast("double"))
     least = by_language(lang, lambda k: F.lit(SCRIPTS[k][2]), F.lit(None).cast("double"))
 
     def judged(x: Column) -> Column:
@@ -50,33 +52,62 @@ def char_loop(c: Column | str) -> Column:
 
 
 def word_loop(c: Column | str) -> Column:
-    return text(c).rlike(rf"(?iu)({B}[{W}]+{B})(?:{S}+\1){{2,}}")
+    return text(c).rlike(rf"({WORD})(?:{S}++(?iu:\1)){{2}}")
+
+
+def most_frequent(words: list[str], least: int) -> tuple[int, str] | None:
+    """(n, phrase): the first most frequent of the longest phrases of five to two of words that occur least times. A phrase occurs no more often than what it begins with, so few places are left for longer ones."""
+    numbers: dict[str, int] = {}
+    w = np.array([numbers.setdefault(x, len(numbers)) for x in words], np.int64)
+    at, code, found = np.arange(len(w)), w, None
+    for k in (2, 3, 4, 5):
+        if len(w) < 2 * k:
+            break
+        inside = at <= len(w) - k
+        at, code = at[inside], code[inside] * len(numbers) + w[at[inside] + k - 1]
+        _, first, code, n = np.unique(code, return_index=True, return_inverse=True, return_counts=True)
+        often = n >= least
+        if not often.any():
+            break
+        best = np.flatnonzero(n == n.max())
+        best = best[first[best].argmin()]
+        found = int(n[best]), " ".join(words[at[first[best]] : at[first[best]] + k])
+        keep = often[code]
+        at, code = at[keep], code[keep]
+    return found
 
 
 def repeated_phrase(w: Column, least: int = 3) -> Column:
-    """struct(n, item): the first most frequent phrase of five, four, three or two words that occurs least times or more; else null."""
-    best = lambda w, k: let(let(phrases(w, k), most_frequent), lambda x: F.when(x["n"] >= least, x))
-    return let(w, lambda w: F.coalesce(*(F.when(F.size(w) >= 2 * k, best(w, k)) for k in (5, 4, 3, 2))))
+    """struct(n, item): the first most frequent phrase of five, four, three or two words that occurs least times or more, in lower case; else null. No part of a lambda, as workers find it."""
+
+    @F.pandas_udf("struct<n:int,item:string>")
+    def find(t: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([most_frequent((x or "").split("\n"), least) or (None, None) for x in t], columns=["n", "item"]).astype({"n": "Int32", "item": object})
+
+    found = find(F.lower(F.array_join(w, "\n")))
+    return F.when(found["n"].isNotNull(), found)
 
 
 def loops(c: Column | str) -> Column:
     """Repetition of characters, words or phrases; without any the score is the share of distinct words."""
 
-    def judged(w: Column) -> Column:
+    def judged(x: Column) -> Column:
+        w = x["w"]
         return (
             F.when(F.size(w) < 4, outcome(True, 1.0, "short"))
             .when(char_loop(c), outcome(False, 0.0, "char_loop"))
             .when(word_loop(c), outcome(False, 0.0, "word_loop"))
-            .when(repeated_phrase(w).isNotNull(), outcome(False, 0.1, "phrase_loop"))
+            .when(x["again"], outcome(False, 0.1, "phrase_loop"))
             .otherwise(outcome(True, distinct_words(c) / F.size(w), "ok"))
         )
 
-    return let(words(c), judged)
+    return let(F.struct(words(c).alias("w"), repeated_phrase(words(c)).isNotNull().alias("again")), judged)
 
 
 def coherence(c: Column | str) -> Column:
     """Sentence lengths: their mean must be 2 to 50 words, and a share of 0.3 of them 3 to 30 words long."""
-    parts = F.filter(F.transform(F.split(text(c), "[.!?।॥]+"), strip), lambda s: s != "")
+    sizes = F.filter(F.transform(F.split(text(c), "[.!?।॥]+"), lambda s: F.size(words(s))), lambda n: n > 0)
+    other = f"[^{S[1:-1]}]"
 
     def judged(n: Column) -> Column:
         total, count = F.aggregate(n, F.lit(0), lambda a, x: a + x), F.size(n)
@@ -86,15 +117,15 @@ def coherence(c: Column | str) -> Column:
             F.when(count == 0, outcome(False, 0.0, F.when(text(c) == "", "empty").otherwise("no_sentences")))
             .when(mean < 2, outcome(False, 0.2, "short_sentences"))
             .when(mean > 50, outcome(False, 0.3, "long_sentences"))
-            .when(F.size(words(c)) < 3, outcome(False, 0.1, "few_words"))
+            .when(~text(c).rlike(rf"{other}{S}++{other}++{S}++{other}"), outcome(False, 0.1, "few_words"))
             .otherwise(outcome(good >= 0.3, good, F.when(good >= 0.3, "ok").otherwise("few_good_sentences")))
         )
 
-    return let(F.transform(parts, lambda s: F.size(words(s))), judged)
+    return let(sizes, judged)
 
 
 def garbage_ratio(c: Column | str, blocks: str = BLOCKS, marks: str = r""".,!?;:'"\-""") -> Column:
-    pattern = rf"[^{W}{S[1:-1]}{blocks}{marks}]"
+    pattern = rf"(?![{A} ])[^{W}{S[1:-1]}{blocks}{marks}]"
     return F.coalesce(F.try_divide(F.regexp_count(text(c), F.lit(pattern)), F.length(text(c))), F.lit(0.0))
 
 
@@ -162,8 +193,9 @@ def validate_transcript(c, lang=None, confidence=None) -> Column:
     lang = F.lit(None).cast("string") if lang is None else col(lang)
     low = (confidence > 0) & (confidence < 0.5)
     expected = lang.isNotNull() & (lang != "") & (lang != "auto")
-    checks = lambda s: fused([loops(c), garbage(c)], [F.when(low, confidence), F.when(expected, s["score"])], [F.when(low, F.lit("low_confidence")), F.when(expected & ~s["valid"], s["code"])])
-    return F.when(F.length(strip(c)) < 3, too_short()).otherwise(let(script(c, lang), checks))
+    checks = lambda x: fused([x["loops"], x["garbage"]], [F.when(low, confidence), F.when(expected, x["script"]["score"])], [F.when(low, F.lit("low_confidence")), F.when(expected & ~x["script"]["valid"], x["script"]["code"])])
+    judged = F.struct(script(c, lang).alias("script"), loops(c).alias("loops"), garbage(c).alias("garbage"))
+    return F.when(F.length(strip(c)) < 3, too_short()).otherwise(let(judged, checks))
 
 
 def gate(c, detected, expected, language_prob, avg_logprob=None, confidence=None) -> Column:
