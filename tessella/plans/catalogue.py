@@ -579,7 +579,7 @@ def q_batch_translation(spark, sf_dir):
 
 
 def _pieces(d: DataFrame, how, **options) -> DataFrame:
-    return d.select("doc_id", F.posexplode(chunking.chunked("text", how, **options)).alias("chunk_idx", "text"))
+    return chunking.chunk_texts(d.select("doc_id", "text"), how, **options)
 
 
 @query(f"""WITH RECURSIVE d AS (SELECT doc_id, {sql_squeeze('text')} AS t FROM documents),
