@@ -1,7 +1,8 @@
 """Near copies by exact similarity of shingles.
 
 Two texts are near copies if their sets of five-word shingles have a Jaccard similarity of at least 0.8; groups are what such pairs
-connect. Texts with the same set are merged first. Candidates come from prefixes: with the shingles of every text in one order, two
+connect. Texts with the same set are merged first. SimHash proposes pairs: fingerprints of the sets within its radius, found by its vantage-point
+trees, a pair for each linked fingerprint and one for each further set with the same, which are compared exactly. Near copies whose fingerprints lie farther apart, as most do at this similarity, come from prefixes: with the shingles of every text in one order, two
 near copies share a shingle among the first 1 + n/5 of each, so no pair is lost, whatever the order is. Shingles that a bounded sample
 shows to be common come last in it, so that few texts meet at them. Where several texts meet, each is first compared with the first of them;
 what that connects needs no further comparing, so a large group of near copies makes no pairs. What it leaves open is compared in a second round, in
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import few, release, stored
-from .simhash import LOWERED, components
+from .simhash import LOWERED, RADIUS, components, near_edges, voted
 
 SHINGLE = 5
 #: The least similarity is ALIKE[0] / ALIKE[1].
@@ -95,24 +96,25 @@ def before(marks: np.ndarray, n: np.ndarray, other: np.ndarray) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame) -> DataFrame:
-    """doc_id, v (a hash of the text), key (names the set of shingles), n (its size), prefix (its first shingles), marks (the places in the order of
+    """doc_id, v (a hash of the text), key (names the set of shingles), n (its size), fp (its SimHash fingerprint), prefix (its first shingles), marks (the places in the order of
     MARKS + 1 of these, from the first to the last) for docs(doc_id, text)."""
     late = common(docs)
     order = np.argsort(late)
     late, rank = late[order], order + 1
-    kinds = pa.schema([("doc_id", pa.int64()), ("v", pa.int64()), ("key", pa.binary()), ("n", pa.int32()), ("prefix", pa.list_(pa.int64())), ("marks", pa.list_(pa.int64()))])
+    kinds = pa.schema([("doc_id", pa.int64()), ("v", pa.int64()), ("key", pa.binary()), ("n", pa.int32()), ("fp", pa.int64()), ("prefix", pa.list_(pa.int64())), ("marks", pa.list_(pa.int64()))])
 
     def run(batches):
         from xxhash import xxh3_128_digest
 
         shingles = shingler()
         for b in batches:
-            keys, sizes, firsts, marks = [], [], [], []
+            keys, sizes, fps, firsts, marks = [], [], [], [], []
             for t in b.column(2):
                 h = shingles(t.as_py())
                 n = len(h)
                 keys.append(xxh3_128_digest(h.tobytes()))
                 sizes.append(n)
+                fps.append(voted(h))
                 place = (h >> np.uint64(1)).view(np.int64)  # in the order; common shingles follow all others
                 if len(late) and n:
                     at = np.minimum(np.searchsorted(late, h), len(late) - 1)
@@ -122,9 +124,9 @@ def prefixes(docs: DataFrame) -> DataFrame:
                     h = h[order]
                 firsts.append(h[: n - -(-ALIKE[0] * n // ALIKE[1]) + 1].view(np.int64))
                 marks.append(place[marked(len(firsts[-1]))] if n else place)
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(1), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64())), pa.array(marks, pa.list_(pa.int64()))], schema=kinds)
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(1), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(fps, pa.int64()), pa.array(firsts, pa.list_(pa.int64())), pa.array(marks, pa.list_(pa.int64()))], schema=kinds)
 
-    return docs.select("doc_id", F.xxhash64("text").alias("v"), "text").mapInArrow(run, "doc_id long, v long, key binary, n int, prefix array<long>, marks array<long>")
+    return docs.select("doc_id", F.xxhash64("text").alias("v"), "text").mapInArrow(run, "doc_id long, v long, key binary, n int, fp long, prefix array<long>, marks array<long>")
 
 
 def prefix_size(n: np.ndarray) -> np.ndarray:
@@ -299,12 +301,23 @@ def linked(shared: DataFrame, nodes: DataFrame, classes: DataFrame, docs: DataFr
     return stored(found.join(sets, "id").groupBy("part").applyInArrow(exact, "a long, b long"), "linked")
 
 
+def near_fingerprints(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """a, b: pairs of classes(id, n, fp) that SimHash links, to be compared: one for each linked fingerprint, between the first classes that have the two, and one for each further class of a fingerprint."""
+    some = classes.filter("n > 0").select("id", "fp")
+    heads = stored(some.groupBy("fp").agg(F.min("id").alias("head")), "fingerprints")
+    same = some.join(heads, "fp").filter("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"))
+    edges = stored(near_edges(heads.select("fp"), radius), "near-fingerprints")
+    ends = [heads.select(F.col("fp").alias(end), F.col("head").alias(f"_{end}")) for end in ("a", "b")]
+    return same.unionByName(edges.join(ends[0], "a").join(ends[1], "b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")))
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
     """doc_id, v (a hash of the text), root (a number that names the group) for every row of docs(doc_id, text)."""
     each = stored(prefixes(docs), "prefixes")
-    merged = each.groupBy("key").agg(F.min(F.struct("doc_id", "v")).alias("one"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("marks").alias("marks"))
-    classes = stored(merged.select(F.monotonically_increasing_id().alias("id"), "key", "one", "n", "prefix", "marks"), "classes")
+    merged = each.groupBy("key").agg(F.min(F.struct("doc_id", "v")).alias("one"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix"), F.first("marks").alias("marks"))
+    classes = stored(merged.select(F.monotonically_increasing_id().alias("id"), "key", "one", "n", "fp", "prefix", "marks"), "classes")
     release(docs.sparkSession)
+    proposed = near_fingerprints(classes)
     met = Window.partitionBy("h")
     places = classes.select("id", "n", F.explode("prefix").alias("h"))
     shared = places.select("*", F.count("*").over(met).alias("c"), F.min(F.struct("id", "n")).over(met).alias("first")).filter("c > 1").drop("c")
@@ -313,7 +326,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
 
     # pairs that also meet elsewhere may be missing here; they are then in families
     first = shared.filter(F.col("id") != F.col("first.id")).select(F.col("first.id").alias("a"), F.col("id").alias("b"), F.col("first.n").alias("n"), F.col("n").alias("m"))
-    asked = stored(in_place(candidates(first), classes), "first-pairs")
+    asked = stored(in_place(candidates(first), classes).unionByName(proposed).distinct(), "first-pairs")
     edges = alike(asked, shingle_sets(asked.select(F.col("a").alias("id")).unionAll(asked.select("b")), classes, docs))
     nodes = stored(components(edges), "groups")
     release(docs.sparkSession)

@@ -52,6 +52,14 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view(np.int64)[0])
 
 
+def voted(hashes: np.ndarray) -> int:
+    """The fingerprint of 64-bit hashes, as a signed integer: each bit that over half of them have."""
+    counts = np.zeros(64, np.int64)
+    for s in range(0, len(hashes), CHUNK):
+        counts += np.unpackbits(hashes[s : s + CHUNK].view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.int64)[0])
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, v (a hash of the text), fp for docs(doc_id, text)."""
 
