@@ -23,8 +23,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import few, stored
-from .shingles import connected, in_common, shingler
+from .shingles import connected, in_common, joined, shingler
 from .simhash import components
+from .words import parts, space_places, xxh64
 
 SHINGLE = 3
 #: The least similarity is ALIKE[0] / ALIKE[1].
@@ -37,20 +38,46 @@ BINS = 32
 ROWS, GRAMS = 512, 1 << 20
 
 
+def shingled(column: pa.Array, size: int = SHINGLE):
+    """What shingler() gives for each text of a string column, in order. Words of about a megabyte of texts are hashed at once, because a call for each took most of the time."""
+    shingles = shingler(size)
+    for first, last, data, offsets in parts(column):
+        data, starts, lengths, per_text = space_places(data, offsets, lower=True)
+        h, begin = joined(xxh64(data, starts, lengths), size), 0
+        for i, m in enumerate(per_text.tolist()):
+            if 0 < m < size:
+                yield shingles(column[first + i].as_py())
+            else:
+                s = np.sort(h[begin : begin + max(0, m - size + 1)])
+                yield s[np.concatenate([s[:1] == s[:1], s[1:] != s[:-1]])]
+            begin += m
+
+
+def in_order(h: np.ndarray, first: int, late: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first so many of h, which is sorted: those that aren't in late, which is too, then those that are by their rank. Mostly these lie in the first places of h, so only they are looked up."""
+    for some in (h[: 4 * first], h):
+        at = np.minimum(np.searchsorted(late, some), len(late) - 1)
+        is_late = late[at] == some if len(late) else np.zeros(len(some), bool)
+        rare = some[~is_late][:first]
+        if len(rare) == first:
+            return rare
+    return np.concatenate([rare, h[is_late][np.argsort(rank[at[is_late]])]])[:first]
+
+
 def frequent(docs: DataFrame, size: int = SHINGLE, most: int = MOST, at_once: int = COUNTED) -> np.ndarray:
     """N-grams of docs(text) that are frequent, the most frequent last. Tasks count all texts and send what they find twice or more at once, so that rare n-grams aren't shuffled."""
 
     def run(batches):
-        shingles, held, n = shingler(size), [], 0
+        held, n = [], 0
 
         def counts():
             h, c = np.unique(np.concatenate(held), return_counts=True)
             return pa.RecordBatch.from_arrays([pa.array(h[c > 1].view(np.int64)), pa.array(c[c > 1], pa.int64())], names=["h", "n"])
 
         for b in batches:
-            for t in b.column(0):
-                held.append(shingles(t.as_py()))
-                n += len(held[-1])
+            for h in shingled(b.column(0), size):
+                held.append(h)
+                n += len(h)
                 if n >= at_once:
                     yield counts()
                     held, n = [], 0
@@ -70,18 +97,13 @@ def sets(docs: DataFrame, late: np.ndarray, size: int = SHINGLE, alike: tuple[in
     def run(batches):
         from xxhash import xxh3_128_digest
 
-        shingles = shingler(size)
         for b in batches:
             out = []
-            for t in b.column(2):
-                h = shingles(t.as_py())
+            for h in shingled(b.column(2), size):
                 n = len(h)
                 bins = np.bincount((h >> np.uint64(59)).astype(np.int64), minlength=BINS)
-                key = xxh3_128_digest(h.tobytes())
-                if n and len(late):
-                    at = np.minimum(np.searchsorted(late, h), len(late) - 1)
-                    h = h[np.argsort(np.where(late[at] == h, rank[at], 0), kind="stable")]
-                out.append((key, n, h[: n - -(-alike[0] * n // alike[1]) + 1].view(np.int64) if n else h.view(np.int64), np.minimum(bins, 65535).astype(np.uint16).tobytes()))
+                prefix = in_order(h, n - -(-alike[0] * n // alike[1]) + 1, late, rank) if n else h
+                out.append((xxh3_128_digest(h.tobytes()), n, prefix.view(np.int64), np.minimum(bins, 65535).astype(np.uint16).tobytes()))
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(1), *(pa.array(x, k.type) for x, k in zip(zip(*out) if out else [[]] * 4, list(kinds)[2:]))], schema=kinds)
 
     return docs.select("doc_id", F.xxhash64("text").alias("v"), "text").mapInArrow(run, "doc_id long, v long, key binary, n int, prefix array<long>, bins binary")
@@ -100,9 +122,8 @@ def whole_sets(ids: DataFrame, classes: DataFrame, docs: DataFrame, size: int =
     """id, s: the sorted hashes of the n-grams of those of classes that are in ids(id), from one text of each."""
 
     def whole(batches):
-        shingles = shingler(size)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t.as_py()).tobytes() for t in b.column(1)], pa.binary())], names=["id", "s"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([h.tobytes() for h in shingled(b.column(1), size)], pa.binary())], names=["id", "s"])
 
     named = stored(classes.join(ids.distinct(), "id").select("id", F.col("one.doc_id").alias("_d"), F.col("one.v").alias("_v")), "compared")
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("v")).join(few(named, 32), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("v") == F.col("_v"))).select("id", "text")

@@ -36,12 +36,22 @@ REMEMBERED = 1 << 16
 ROWS, SHINGLES, COLUMNS = 1024, 1 << 20, 2048
 
 
+def joined(w: np.ndarray, size: int) -> np.ndarray:
+    """The hash of each size hashes of words in a row."""
+    n = max(0, len(w) - size + 1)
+    h = np.zeros(n, np.uint64)
+    for k in range(size):
+        h += w[k : k + n] * np.uint64(pow(0x9E3779B97F4A7C15, k + 1, 1 << 64))
+    for shift, by in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(by)
+    return h ^ (h >> np.uint64(33))
+
+
 def shingler(size: int = SHINGLE):
     """A function from a text to the sorted hashes of its different shingles."""
     from xxhash import xxh64_intdigest
 
     known: dict[bytes, int] = {}
-    powers = [np.uint64(pow(0x9E3779B97F4A7C15, k + 1, 1 << 64)) for k in range(size)]
 
     def hashed(word: bytes) -> int:
         if (h := known.get(word)) is None:
@@ -56,12 +66,7 @@ def shingler(size: int = SHINGLE):
             return np.zeros(0, np.uint64)
         if len(words) < size:
             return np.array([xxh64_intdigest(b" ".join(words))], np.uint64)
-        w = np.fromiter(map(hashed, words), np.uint64, len(words))
-        n = len(w) - size + 1
-        h = sum(w[k : k + n] * p for k, p in enumerate(powers))
-        for shift, by in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53)):
-            h = (h ^ (h >> np.uint64(shift))) * np.uint64(by)
-        return np.unique(h ^ (h >> np.uint64(33)))
+        return np.unique(joined(np.fromiter(map(hashed, words), np.uint64, len(words)), size))
 
     return shingles
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from xxhash import xxh3_128_intdigest
+from xxhash import xxh3_128_intdigest, xxh64_intdigest
 
 U = np.uint64
 #: Odd 64-bit constants (fixed values).
@@ -63,11 +63,36 @@ def hashed(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[n
     return h, g
 
 
-def space_words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Two hashes of each word between ASCII white space, in order, and how many words each text has."""
+def xxh64(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The XXH64 of each string of data, with seed 0: those under 32 bytes all at once, longer ones alone."""
+    one, two, three, four, five = (U(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    rotated = lambda x, by: (x << U(by)) | (x >> U(64 - by))
+    eight = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(8, np.uint8)]), 8)
+    h, short = lengths.astype(U) + five, lengths < 32
+    for at in (0, 8, 16):
+        i = np.flatnonzero(short & (lengths >= at + 8))
+        x = np.ascontiguousarray(eight[starts[i] + at]).view(U).ravel()
+        h[i] = rotated(h[i] ^ (rotated(x * two, 31) * one), 27) * one + four
+    left = lengths & 7
+    x = np.ascontiguousarray(eight[starts + lengths - left]).view(U).ravel()
+    i = np.flatnonzero(left >= 4)
+    h[i] = rotated(h[i] ^ ((x[i] & U(0xFFFFFFFF)) * one), 23) * two + three
+    x[i] >>= U(32)
+    left = left & 3
+    for k in range(3):
+        i = np.flatnonzero(left > k)
+        h[i] = rotated(h[i] ^ ((x[i] >> U(8 * k) & U(255)) * five), 11) * one
+    h = (h ^ (h >> U(33))) * two
+    h = (h ^ (h >> U(29))) * three
+    h ^= h >> U(32)
+    for i in np.flatnonzero(~short).tolist():
+        h[i] = xxh64_intdigest(data[starts[i] : starts[i] + lengths[i]])
+    return h
+
+
+def space_places(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """data, in lower case if asked for, the start and length of each word between ASCII white space, in order, and how many words each text has."""
     n = len(data)
-    if not n:
-        return np.zeros(0, U), np.zeros(0, U), np.zeros(len(offsets) - 1, np.int64)
     if lower:
         data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
     inside = np.ones(n + 1, bool)
@@ -78,7 +103,15 @@ def space_words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> t
     edge[offsets] = True
     starts = np.flatnonzero(inside & (~before | edge))
     ends = np.flatnonzero(before & (~inside | edge))
-    return *hashed(data, starts, ends - starts), np.diff(np.searchsorted(starts, offsets))
+    return data, starts, ends - starts, np.diff(np.searchsorted(starts, offsets))
+
+
+def space_words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two hashes of each word between ASCII white space, in order, and how many words each text has."""
+    if not len(data):
+        return np.zeros(0, U), np.zeros(0, U), np.zeros(len(offsets) - 1, np.int64)
+    data, starts, lengths, per_text = space_places(data, offsets, lower)
+    return *hashed(data, starts, lengths), per_text
 
 
 def windows(h: np.ndarray, g: np.ndarray, per_text: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
