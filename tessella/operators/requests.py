@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import text
-from ..sources.staged import stored
+from ..sources.staged import sorted_in, stored
 
 #: The mark between the texts of a request, and its budgets (fixed values).
 DELIMITER, MARK = "\n###__SEGMENT_BOUNDARY__###\n", "###__SEGMENT_BOUNDARY__###"
@@ -42,7 +42,7 @@ def numbered(df: DataFrame) -> DataFrame:
     sizes = sort.groupBy("batch", "_part").agg(F.count("*").alias("_c"), F.min("_at").alias("_first"))
     before = F.coalesce(F.sum("_c").over(Window.partitionBy("batch").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.select(F.col("batch").alias("_b"), F.col("_part").alias("_p"), (before - F.col("_first")).alias("_shift"))
-    return sort.join(starts, F.col("batch").eqNullSafe(F.col("_b")) & (F.col("_part") == F.col("_p"))).withColumn("n", F.col("_at") + F.col("_shift")).drop("_b", "_p", "_part", "_at", "_shift")
+    return sort.join(sorted_in(starts), F.col("batch").eqNullSafe(F.col("_b")) & (F.col("_part") == F.col("_p"))).withColumn("n", F.col("_at") + F.col("_shift")).drop("_b", "_p", "_part", "_at", "_shift")
 
 
 def pack_requests(df: DataFrame, max_chars: int = MAX_CHARS, max_bytes: int = MAX_BYTES, max_items: int = MAX_ITEMS, block: int = BLOCK) -> DataFrame:
@@ -95,7 +95,7 @@ def pack_requests(df: DataFrame, max_chars: int = MAX_CHARS, max_bytes: int = MA
     blocks = stored(rows.groupBy("batch", "block").applyInArrow(through, f"batch {kind}, block long, left array<long>, groups array<long>"), "through")
     entries = blocks.groupBy("batch").applyInArrow(composed, f"_b {kind}, _k long, entry int, first long")
     item = df.schema["item"].dataType.simpleString()
-    told = rows.join(entries, F.col("batch").eqNullSafe(F.col("_b")) & (F.col("block") == F.col("_k"))).drop("_b", "_k")
+    told = rows.join(sorted_in(entries), F.col("batch").eqNullSafe(F.col("_b")) & (F.col("block") == F.col("_k"))).drop("_b", "_k")
     out = told.groupBy("batch", "block").applyInArrow(grouped, f"batch {kind}, item {item}, chars int, bytes int, group_id long")
     rest = sized.filter(~fits).select("batch", "item", F.lit(None).cast("long").alias("group_id"), (F.col("chars") >= max_chars).alias("alone"), "chars", "bytes")
     return out.select("batch", "item", F.col("group_id").cast("int"), F.lit(False).alias("alone"), "chars", "bytes").unionByName(rest.withColumn("group_id", F.col("group_id").cast("int")))

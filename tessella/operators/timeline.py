@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import B, S, W, let, sentences, squash, squeeze, strip, text, word_count, words
+from ..sources.staged import sorted_in
 
 ORDER = ("video", "seg_idx")
 
@@ -161,7 +162,7 @@ def anchored_chunks(df: DataFrame, most: float = 300.0) -> DataFrame:
         return F.when(new, F.struct(x["start"].alias("anchor"), F.concat(a["cuts"], F.array(cut)).alias("cuts"))).otherwise(a)
 
     cuts = starts.select("video", F.explode(F.aggregate("_s", first, step, lambda a: a["cuts"])).alias("_c")).select("video", F.col("_c.from").alias("seg_idx"), F.col("_c.chunk").alias("_chunk"))
-    marked = df.join(cuts, ["video", "seg_idx"], "left")
+    marked = df.join(sorted_in(cuts), ["video", "seg_idx"], "left")
     return marked.withColumn("chunk_id", F.max("_chunk").over(ordered().rowsBetween(Window.unboundedPreceding, 0))).drop("_chunk")
 
 

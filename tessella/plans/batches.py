@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import validators
 from ..functions.text import strip
 from ..operators import chunking, glossary, requests, routing
-from ..sources.staged import stored
+from ..sources.staged import few_or_sorted, sorted_in, stored
 from .backends import translated
 
 #: Characters of a text that goes alone, beyond which it goes in pieces.
@@ -37,7 +37,7 @@ def asked(rows: DataFrame, tgt: str, factories: dict) -> DataFrame:
     got = each.groupBy("batch", "item").agg(F.sort_array(F.collect_list(F.struct("i", "hypothesis"))).alias("l"), F.count_if(F.col("hypothesis").isNull()).alias("lost"), F.first("error", ignorenulls=True).alias("error"))
     whole = strip(F.array_join(F.transform("l", lambda x: x["hypothesis"]), " "))
     got = got.select(F.col("batch").alias("_b"), F.col("item").alias("_i"), F.when(F.col("lost") == 0, whole).alias("hypothesis"), "error")
-    return rows.join(got, F.col("batch").eqNullSafe(F.col("_b")) & F.col("item").eqNullSafe(F.col("_i"))).drop("_b", "_i")
+    return rows.join(sorted_in(got), F.col("batch").eqNullSafe(F.col("_b")) & F.col("item").eqNullSafe(F.col("_i"))).drop("_b", "_i")
 
 
 def translate_batches(df: DataFrame, src: str, tgt: str, terms: list, factories: dict, requested: str | None = None, fallback: str = "google", joining: tuple[str, ...] = ("google",), **budgets) -> DataFrame:
@@ -48,16 +48,16 @@ def translate_batches(df: DataFrame, src: str, tgt: str, terms: list, factories:
     rows = df.select("batch", "item", "text", requests.sendable("text").alias("clean"))
     locked = stored(glossary.lock(rows.filter("clean <> ''"), "clean", terms), "locked-batches")
     routed = stored(route_batches(locked, src, tgt, requested), "routed")
-    rows_of = locked.select("batch", "item", "text", F.col("locked_text").alias("locked"), "placeholders").join(routed.withColumnRenamed("batch", "_b"), F.col("batch").eqNullSafe(F.col("_b"))).drop("_b")
+    rows_of = locked.select("batch", "item", "text", F.col("locked_text").alias("locked"), "placeholders").join(few_or_sorted(routed.withColumnRenamed("batch", "_b"), 64), F.col("batch").eqNullSafe(F.col("_b"))).drop("_b")
     groups = requests.pack_requests(locked.select("batch", "item", F.col("locked_text").alias("text")), **budgets).filter("group_id IS NOT NULL").select(F.col("batch").alias("_b"), F.col("item").alias("_i"), "group_id")
-    rows_of = stored(rows_of.join(groups, F.col("batch").eqNullSafe(F.col("_b")) & F.col("item").eqNullSafe(F.col("_i")), "left").drop("_b", "_i"), "requests")
+    rows_of = stored(rows_of.join(sorted_in(groups), F.col("batch").eqNullSafe(F.col("_b")) & F.col("item").eqNullSafe(F.col("_i")), "left").drop("_b", "_i"), "requests")
 
     # joined requests; a reply that has another number of parts, or none, leaves its texts to the next wave
     group = rows_of.filter(F.col("group_id").isNotNull() & F.col("backend").isin(*joining)).groupBy("batch", "group_id", "backend", "src").agg(F.sort_array(F.collect_list(F.struct("item", "locked"))).alias("l")).filter(F.size("l") > 1)
     payload = group.select("batch", F.col("l.item").alias("items"), "backend", "src", F.lit(tgt).alias("tgt"), F.array_join(F.transform("l", lambda x: x["locked"]), requests.DELIMITER).alias("text"))
     reply = translated(payload, factories, errors="error").withColumn("parts", F.split("hypothesis", requests.MARK))
     back = reply.filter(F.size("parts") == F.size("items")).select(F.col("batch").alias("_b"), F.inline(F.arrays_zip(F.col("items").alias("_i"), F.col("parts").alias("_p"))))
-    first = stored(back.select("_b", "_i", strip("_p").alias("_p")), "joined-replies")
+    first = sorted_in(stored(back.select("_b", "_i", strip("_p").alias("_p")), "joined-replies"))
     at = F.col("batch").eqNullSafe(F.col("_b")) & F.col("item").eqNullSafe(F.col("_i"))
     done = rows_of.join(first, at).select(*rows_of.columns, F.col("_p").alias("hypothesis"), F.lit(None).cast("string").alias("error"), F.lit("joined").alias("level"))
     each = stored(asked(rows_of.join(first, at, "left_anti"), tgt, factories), "each-reply")

@@ -22,6 +22,7 @@ from ..functions.text import strip
 from ..operators import audio, chunking, routing, timeline
 from ..operators.timeline import renumbered
 from ..sources import files
+from ..sources.staged import sorted_in
 from . import batches
 from .flows import postprocess_transcript, run_report
 from .settings import Settings
@@ -119,9 +120,9 @@ def translated(segments: DataFrame, videos: DataFrame, src: str, tgt: str, terms
     if src != tgt:
         out = batches.translate_batches(kept.select(F.col("video").alias("batch"), F.col("seg_idx").alias("item"), "text"), src, tgt, terms, factories, requested)
         texts = out.select(F.col("batch").alias("video"), F.col("item").alias("seg_idx"), F.coalesce("translation", F.lit("")).alias("_t"))
-        kept = kept.join(texts, ["video", "seg_idx"], "left").select("video", "seg_idx", "start", "end", F.col("_t").alias("text"))
+        kept = kept.join(sorted_in(texts), ["video", "seg_idx"], "left").select("video", "seg_idx", "start", "end", F.col("_t").alias("text"))
     untimed = kept.filter(F.col("start").isNull()).groupBy("video").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seg_idx", "text"))), lambda x: x["text"]), " ").alias("text"))
-    estimated = timeline.estimate_timings(untimed.join(videos.select("video", "duration"), "video"))
+    estimated = timeline.estimate_timings(untimed.join(sorted_in(videos.select("video", "duration")), "video"))
     return kept.filter(F.col("start").isNotNull()).withColumn("estimated", F.lit(False)).unionByName(estimated.withColumn("seg_idx", F.col("seg_idx").cast("int")))
 
 
@@ -136,7 +137,7 @@ def speech(segments: DataFrame, chunk_seconds: float, settings: Settings) -> Dat
 def merged(videos: DataFrame, spoken: DataFrame) -> DataFrame:
     """video, category, video_seconds, audio_seconds, pad, spoken_segments, chunks: how a video's new sound track is made as long as it."""
     each = spoken.groupBy("video").agg(F.max("end").alias("audio_seconds"), F.count("*").alias("spoken_segments"), F.countDistinct("chunk_id").alias("chunks"))
-    out = videos.select("video", "category", F.col("duration").alias("video_seconds")).join(each, "video", "left")
+    out = videos.select("video", "category", F.col("duration").alias("video_seconds")).join(sorted_in(each), "video", "left")
     out = out.withColumns({"audio_seconds": F.coalesce("audio_seconds", F.lit(0.0)), "spoken_segments": F.coalesce("spoken_segments", F.lit(0)), "chunks": F.coalesce("chunks", F.lit(0))})
     return audio.pad_plan(out)
 
