@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import difflib
+from bisect import bisect_left
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -55,8 +56,14 @@ def word_loop(c: Column | str) -> Column:
     return text(c).rlike(rf"({WORD})(?:{S}++(?iu:\1)){{2}}")
 
 
+#: Words up to which pairs are counted before any array is made; few such texts repeat one.
+FEW = 512
+
+
 def most_frequent(words: list[str], least: int) -> tuple[int, str] | None:
     """(n, phrase): the first most frequent of the longest phrases of five to two of words that occur least times. A phrase occurs no more often than what it begins with, so few places are left for longer ones."""
+    if len(words) < FEW and max(Counter(zip(words, words[1:])).values(), default=0) < least:
+        return None
     numbers: dict[str, int] = {}
     w = np.array([numbers.setdefault(x, len(numbers)) for x in words], np.int64)
     at, code, found = np.arange(len(w)), w, None
@@ -138,17 +145,57 @@ def plain(c: Column | str) -> Column:
     return F.regexp_replace(F.lower(text(c)), f"[^{W}]", "")
 
 
+def is_plain_empty(c: Column | str) -> Column:
+    """plain(c) == '', seen at the first word character."""
+    return ~F.lower(text(c)).rlike(f"[{W}]")
+
+
+def matched(a: str, b: str) -> int:
+    """How many characters difflib's matching blocks of a and b have: the first longest block, then those before and after it. In a b of 200 or more, no block begins at a character that is more than about 1 % of b.
+
+    Only places of a at which a block can begin are gone through, of which long texts have few."""
+    n = len(b)
+    if a == b or n < 200 and (a in b or b in a):
+        return min(len(a), n)
+    most = n // 100 + 1 if n >= 200 else n
+    places: dict[str, list[int]] = {x: [] for x, k in Counter(b).items() if k <= most}
+    for j, x in enumerate(b):
+        if x in places:
+            places[x].append(j)
+    at = [i for i, x in enumerate(a) if x in places]
+    total, left = 0, [(0, len(a), 0, n)]
+    while left:
+        alo, ahi, blo, bhi = left.pop()
+        i0, j0, size, ends, last = alo, blo, 0, {}, -2
+        for i in at[bisect_left(at, alo) : bisect_left(at, ahi)]:
+            before, ends, last = ends if i == last + 1 else {}, {}, i
+            for j in places[a[i]]:
+                if j >= bhi:
+                    break
+                if j >= blo:
+                    k = ends[j] = before.get(j - 1, 0) + 1
+                    if k > size:
+                        i0, j0, size = i - k + 1, j - k + 1, k
+        while i0 > alo and j0 > blo and a[i0 - 1] == b[j0 - 1]:
+            i0, j0, size = i0 - 1, j0 - 1, size + 1
+        while i0 + size < ahi and j0 + size < bhi and a[i0 + size] == b[j0 + size]:
+            size += 1
+        if size:
+            total += size
+            left += [x for x in ((alo, i0, blo, j0), (i0 + size, ahi, j0 + size, bhi)) if x[0] < x[1] and x[2] < x[3]]
+    return total
+
+
 @F.pandas_udf(DoubleType())
 def matching_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """The matching-blocks ratio of two strings, null if one is; no SQL function has its junk rule for long strings."""
-    return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
+    return pd.Series([None if x is None or y is None else 2.0 * matched(x, y) / (len(x) + len(y)) if x or y else 1.0 for x, y in zip(a, b)], dtype="float64")
 
 
 def copy_ratio(source: Column | str, target: Column | str, src_lang: Column | str, tgt_lang: Column | str) -> Column:
     """matching_ratio of the plain texts where it decides: null, without a comparison, for one language or an empty text."""
-    a, b = plain(source), plain(target)
-    asked = (col(src_lang) != col(tgt_lang)) & (a != "") & (b != "")
-    return matching_ratio(F.when(asked, a), F.when(asked, b))
+    asked = (col(src_lang) != col(tgt_lang)) & ~is_plain_empty(source) & ~is_plain_empty(target)
+    return matching_ratio(F.when(asked, plain(source)), F.when(asked, plain(target)))
 
 
 def script_name(lang: Column | str) -> Column:
@@ -157,11 +204,10 @@ def script_name(lang: Column | str) -> Column:
 
 def near_copy(source: Column | str, target: Column | str, src_lang: Column | str, tgt_lang: Column | str, ratio: Column | None = None) -> Column:
     """Whether a translation is too like its source. ratio: a column already computed by copy_ratio()."""
-    a, b = plain(source), plain(target)
     ratio = copy_ratio(source, target, src_lang, tgt_lang) if ratio is None else ratio
     limit = F.when(script_name(src_lang) == script_name(tgt_lang), 0.5).otherwise(0.3)
     score = F.greatest(F.lit(0.0), 1 - ratio)
-    return F.when(col(src_lang) == col(tgt_lang), outcome(True, 1.0, "same_language")).when((a == "") | (b == ""), outcome(True, 1.0, "empty")).otherwise(outcome(ratio <= limit, score, F.when(ratio <= limit, "ok").otherwise("near_copy")))
+    return F.when(col(src_lang) == col(tgt_lang), outcome(True, 1.0, "same_language")).when(is_plain_empty(source) | is_plain_empty(target), outcome(True, 1.0, "empty")).otherwise(outcome(ratio <= limit, score, F.when(ratio <= limit, "ok").otherwise("near_copy")))
 
 
 def fused(checks: list[Column], extra_scores: list[Column] = (), extra_codes: list[Column] = (), strict: Column | bool = True) -> Column:

@@ -141,10 +141,15 @@ def confidence_summary(df: DataFrame, least: float = -1.1) -> DataFrame:
     return df.groupBy("video").agg(F.count("*").alias("segments"), F.coalesce(F.avg("avg_logprob"), F.lit(0.0)).alias("avg_logprob"), F.count_if(F.col("avg_logprob") < least).alias("low_confidence_segments"))
 
 
+def joined_texts() -> Column:
+    """A group's texts in order, empty ones skipped."""
+    items = F.sort_array(F.collect_list(F.struct("seg_idx", strip("text").alias("t"))))
+    return F.array_join(F.filter(F.transform(items, lambda x: x["t"]), lambda x: x != ""), " ")
+
+
 def transcript(df: DataFrame) -> DataFrame:
     """video, text: the segments' texts in order, empty ones skipped."""
-    items = F.sort_array(F.collect_list(F.struct("seg_idx", strip("text").alias("t"))))
-    return df.groupBy("video").agg(F.array_join(F.filter(F.transform(items, lambda x: x["t"]), lambda x: x != ""), " ").alias("text"))
+    return df.groupBy("video").agg(joined_texts().alias("text"))
 
 
 def anchored_chunks(df: DataFrame, most: float = 300.0) -> DataFrame:

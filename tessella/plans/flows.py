@@ -58,17 +58,17 @@ def translate(df: DataFrame, terms: list, waves: list, strict: bool = True) -> D
 def translate_chunks(segments: DataFrame, src: str, tgt: str, factory, small: int = 220) -> DataFrame:
     """video, chunk_idx, start, end, text, quality_score: a video's text in semantic chunks, each translated and checked strictly.
 
-    A chunk that fails is translated again in pieces of at most small characters, checked but not held back; its score is their mean."""
-    whole = timeline.transcript(segments)
-    times = segments.groupBy("video").agg(F.transform(F.sort_array(F.collect_list(F.struct("seg_idx", "start", "end"))), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias("times"))
-    chunks = chunking.chunk_semantic(whole.join(times, "video")).withColumns({"src": F.lit(src), "tgt": F.lit(tgt)})
+    A chunk that fails is translated again in pieces of at most small characters, checked but not held back; its score is their mean. What was tried first is stored, so no chunk is translated or checked twice."""
+    times = F.transform(F.sort_array(F.collect_list(F.struct("seg_idx", "start", "end"))), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
+    whole = segments.filter("video IS NOT NULL").groupBy("video").agg(timeline.joined_texts().alias("text"), times.alias("times"))
+    chunks = chunking.chunk_semantic(whole).withColumns({"src": F.lit(src), "tgt": F.lit(tgt)})
 
     def tried(df: DataFrame, strict: bool) -> DataFrame:
         out = translated(df, factory).withColumn("_r", validators.copy_ratio("text", "hypothesis", "src", "tgt"))
         return out.withColumn("_v", validators.validate_translation("text", "hypothesis", "src", "tgt", strict, F.col("_r"))).withColumns({"passed": F.col("_v.passed"), "score": F.col("_v.score")}).drop("_v", "_r")
 
     key = ["video", "chunk_idx", "start", "end"]
-    first = tried(chunks, True)
+    first = stored(tried(chunks, True), "chunks")
     good = first.filter("passed").select(*key, F.col("hypothesis").alias("text"), F.col("score").alias("quality_score"))
     pieces = first.filter(~F.col("passed")).select(*key, "src", "tgt", F.posexplode_outer(chunking.chunked("text", chunking.by_sentences, limit=small)).alias("i", "text"))
     rows = F.sort_array(F.collect_list(F.struct("i", F.coalesce("hypothesis", F.lit("")).alias("h"))))
