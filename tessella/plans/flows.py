@@ -10,25 +10,30 @@ from pyspark.sql import functions as F
 from ..functions import validators
 from ..functions.text import squash, strip
 from ..operators import chunking, glossary, routing, timeline
-from ..sources.staged import stored
+from ..sources.staged import sorted_in, stored
 from .backends import translated
 
 
+def cleaned(segments: DataFrame) -> DataFrame:
+    """Segments squashed, without empty texts, fixed, split and flagged."""
+    # no text is split into an empty one; asked before the split, Spark would squash each text once for the answer and again for the row
+    df = timeline.split_overlong(timeline.fix_timestamps(segments.withColumn("text", squash("text")))).filter("text <> ''")
+    df = timeline.flag_music(df)
+    return df if "avg_logprob" in df.columns else df.withColumn("avg_logprob", F.lit(0.0))
+
+
 def postprocess_transcript(segments: DataFrame, lang_prob: float | None = None, refine: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """(segments, summary): squashed, without empty texts, fixed, split and flagged; and per video its text, confidence, and gate.
 
     segments has video, seg_idx, start, end, text, and may have avg_logprob, language, expected and language_probability. refine: listens again, as recognition.refined
-    does; texts are those after it, confidence and music those of what was heard first."""
+    does; texts are those after it, confidence and music those of what was heard first. Cleaned segments are stored, as all that is asked of a video reads them."""
     have = segments.columns
-    df = segments.withColumn("text", squash("text")).filter("text <> ''")
-    df = timeline.flag_music(timeline.split_overlong(timeline.fix_timestamps(df)))
-    if "avg_logprob" not in have:
-        df = df.withColumn("avg_logprob", F.lit(0.0))
+    df = stored(cleaned(segments), "heard")
     again = df if refine is None else refine(timeline.renumbered(df))
-    summary = timeline.transcript(again).join(timeline.confidence_summary(df), "video").join(timeline.music_heavy(df).select("video", "music_ratio", "music_heavy"), "video")
+    summary = timeline.transcript(again).join(sorted_in(timeline.confidence_summary(df)), "video").join(sorted_in(timeline.music_heavy(df).select("video", "music_ratio", "music_heavy")), "video")
     facts = segments.groupBy("video").agg(*(F.first(c, ignorenulls=True).alias(c) if c in have else F.lit(None).cast(t).alias(c) for c, t in (("language", "string"), ("expected", "string"), ("language_probability", "double"))))
     prob = F.lit(lang_prob) if lang_prob is not None else F.coalesce("language_probability", F.lit(0.0))
-    summary = summary.join(facts, "video").withColumn("gate", validators.gate("text", "language", "expected", prob, "avg_logprob"))
+    summary = summary.join(sorted_in(facts), "video").withColumn("gate", validators.gate("text", "language", "expected", prob, "avg_logprob"))
     return again, summary.withColumn("passed", F.col("gate") == "ok")
 
 

@@ -24,7 +24,7 @@ from ..operators.timeline import renumbered
 from ..sources import files
 from ..sources.staged import sorted_in
 from . import batches
-from .flows import postprocess_transcript, run_report
+from .flows import cleaned, run_report
 from .settings import Settings
 
 STEPS = "run_key string, run_id string, step string, fingerprint string, path string, rows long, seconds double, status string, saved_at timestamp"
@@ -148,7 +148,7 @@ def dub(run: Run, segments: DataFrame, source: str, src: str, tgt: str, terms: l
     source names what segments were read from, review_source what the reviewed lines were. Each step is committed; a step is made again only if something that it depends on has changed, so a
     change of the target language keeps the transcript."""
     videos = run.step("videos", [source], lambda: clock(segments, gb), gb=gb)
-    transcript = run.step("transcript", [source], lambda: renumbered(postprocess_transcript(segments)[0]))
+    transcript = run.step("transcript", [source], lambda: renumbered(cleaned(segments)))
     edited = transcript
     if review is not None:
         edited = run.step("reviewed", [transcript, review_source], lambda: files.apply_review(transcript.table, review))

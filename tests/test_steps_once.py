@@ -42,3 +42,21 @@ def test_matching_ratio_is_difflibs():
 def test_phrases_of_few_words():
     assert validators.most_frequent("a b c a b d a b".split(), 3) == (3, "a b") and validators.most_frequent("a b c a b d".split(), 3) is None
     assert validators.most_frequent([], 3) is None and validators.most_frequent(["a", "a"], 1) is None
+
+
+def test_transcripts_read_cleaned_segments(spark):
+    """A text is squashed in one place of the plan, and no table with a row a video is broadcast."""
+    rows = [(1, 0, 0.0, 1.0, "music"), (1, 1, 1.0, 2.0, "Nobody heard those words."), (2, 0, 0.0, 9.0, " "), (3, 0, 0.0, 40.0, "One two three four five. Six seven eight nine ten."), (None, 0, 0.0, 1.0, "Said nowhere.")]
+    s = spark.createDataFrame(rows, "video int, seg_idx int, start double, end double, text string")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.maxPlanStringLength", "10000000")
+    spark.conf.set("spark.sql.debug.maxToStringFields", "10000")
+    try:
+        assert plan(flows.cleaned(s)).count("protty") == 1
+        segments, summary = flows.postprocess_transcript(s, 1.0)
+        assert "protty" not in plan(segments) and "Broadcast" not in plan(summary)
+    finally:
+        spark.conf.unset("spark.sql.maxPlanStringLength")
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert sorted((r["video"] or 0, r["part_idx"], r["text"]) for r in segments.collect()) == [(0, 0, "Said nowhere."), (1, 0, "Nobody heard those words."), (3, 0, "One two three four five."), (3, 1, "Six seven eight nine ten.")]
+    assert sorted((r["video"], r["text"], r["segments"], r["gate"]) for r in summary.collect()) == [(1, rows[1][4], 1, "ok"), (3, rows[3][4], 2, "ok")]
