@@ -98,7 +98,7 @@ def joined_length(lengths: Column | str, n: int) -> Column:
 def fit(samples: Column | str, n: Column | str) -> Column:
     """Exactly n samples, by cutting or silence; unchanged for n of 0 or less."""
     s, n = col(samples), col(n)
-    return F.when(n <= 0, s).otherwise(F.slice(F.concat(s, F.array_repeat(F.lit(0).cast("short"), F.greatest(n, F.lit(0)))), F.lit(1), F.greatest(n, F.lit(0))))
+    return F.when(n <= 0, s).otherwise(F.concat(F.slice(s, F.lit(1), F.greatest(n, F.lit(0))), F.array_repeat(F.lit(0).cast("short"), F.greatest(n - F.size(s), F.lit(0)))))
 
 
 def gain(samples: Column | str, db: float, limit: float = 0.95) -> Column:

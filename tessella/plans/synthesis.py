@@ -12,7 +12,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -55,14 +54,14 @@ class CarefulTone(Tone):
 
 
 def spoken(pieces: DataFrame, factory: Callable[[], Synthesizer], language: str | None, rate: int) -> DataFrame:
-    """Adds samples and error to pieces(text). A worker creates a model when its first piece comes."""
+    """Adds samples and error to pieces(text). A worker creates a model when its first piece comes, and passes on what is spoken at READY samples."""
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields), "samples array<short>", "error string"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = None
         for b in batches:
-            out, errors = [], []
-            for t in b["text"]:
+            first, out, errors, waiting = 0, [], [], 0
+            for i, t in enumerate(b.column("text").to_pylist()):
                 try:
                     model = model or factory()
                     out.append(np.asarray(model.speak(t, language, rate), np.int16))
@@ -70,9 +69,13 @@ def spoken(pieces: DataFrame, factory: Callable[[], Synthesizer], language: str
                 except Exception as e:  # a piece that fails is spoken again; its error stays if that fails too
                     out.append(np.zeros(0, np.int16))
                     errors.append(f"{type(e).__name__}: {e}")
-            yield b.assign(samples=pd.Series(out, index=b.index, dtype=object), error=pd.Series(errors, index=b.index, dtype=object))
+                waiting += len(out[-1])
+                if waiting >= READY or i == b.num_rows - 1:
+                    samples = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, out)], dtype=np.int32)), pa.array(np.concatenate(out)))
+                    yield pa.RecordBatch.from_arrays([*b.slice(first, len(out)).columns, samples, pa.array(errors, pa.string())], names=[*b.schema.names, "samples", "error"])
+                    first, out, errors, waiting = i + 1, [], [], 0
 
-    return pieces.mapInPandas(run, schema)
+    return pieces.mapInArrow(run, schema)
 
 
 def heard(df: DataFrame, rate: int) -> DataFrame:
@@ -87,8 +90,8 @@ def voices(segments: DataFrame, first: Callable[[], Synthesizer], again: Callabl
     begin = F.coalesce("start", F.lit(0.0))
     timed = segments.filter(strip("text") != "").select("video", "seg_idx", begin.alias("start"), F.coalesce("end", begin).alias("end"), squeeze("text").alias("text"))
     timed = timed.withColumn("target", F.greatest(F.lit(0.05), F.col("end") - F.col("start")))
-    cut = timed.withColumn("_p", chunking.chunked("text", chunking.speakable, limit=limit))
-    cut = cut.select("video", "seg_idx", "start", "end", "target", F.posexplode(F.when(F.size("_p") > 0, F.col("_p")).otherwise(F.array("text"))).alias("piece", "text"))
+    cut = chunking.in_pieces(timed, lambda t: [(x,) for x in chunking.speakable(t, limit) or [t]], ["text"], {"text": "string"})
+    cut = cut.select("video", "seg_idx", "start", "end", "target", F.col("chunk_idx").alias("piece"), "text")
     tried = stored(heard(spoken(cut, first, language, rate), rate).withColumn("attempts", F.lit(1)), "voices")
     if again is None:
         return tried
@@ -196,11 +199,11 @@ def track(parts: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def timed(pieces: DataFrame, rate: int = 24000, locked: bool = True, fade: int = 30, block: int = BLOCK, exact: bool = True, **speeds: float) -> tuple[DataFrame, DataFrame]:
     """(plan, track) of voices: plan has video, seg_idx, start, attempts, produced, n (samples of the segment), silence, at (samples before it, and where it begins, null without sound); track the blocks."""
-    done = stored(whole(pieces, rate, locked, min(30, fade), exact, **speeds), "spoken")
-    lengths = done.select("video", "seg_idx", "start", "end", F.size("samples").alias("n"))
+    done = stored(whole(pieces, rate, locked, min(30, fade), exact, **speeds).withColumn("n", F.size("samples")), "spoken")  # so that only the track reads samples
+    lengths = done.select("video", "seg_idx", "start", "end", "n")
     parts = stored(schedule(lengths, rate, locked, fade), "schedule")
     key = ["video", "seg_idx"]
     placed = parts.groupBy(*key).agg(F.sum(F.when(F.col("part") == 0, F.col("length"))).alias("_q"), F.max(F.when(F.col("part") == 1, F.col("at"))).alias("at"))
-    plan = done.select(*key, "start", "attempts", "produced", F.size("samples").alias("n")).join(placed, key, "left").select(*key, "start", "attempts", "produced", "n", F.coalesce("_q", F.lit(0)).alias("silence"), "at")
+    plan = done.select(*key, "start", "attempts", "produced", "n").join(placed, key, "left").select(*key, "start", "attempts", "produced", "n", F.coalesce("_q", F.lit(0)).alias("silence"), "at")
     sound = done.select(*key, F.lit(1).alias("part"), "samples")
     return plan, track(parts.join(sound, [*key, "part"], "left"), block)

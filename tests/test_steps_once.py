@@ -6,7 +6,8 @@ from collections import Counter
 from functools import partial
 
 from tessella.functions import validators
-from tessella.plans import backends, flows
+from tessella.operators import audio
+from tessella.plans import backends, flows, synthesis
 
 
 class Told(backends.Translator):
@@ -60,3 +61,16 @@ def test_transcripts_read_cleaned_segments(spark):
         spark.conf.unset("spark.sql.debug.maxToStringFields")
     assert sorted((r["video"] or 0, r["part_idx"], r["text"]) for r in segments.collect()) == [(0, 0, "Said nowhere."), (1, 0, "Nobody heard those words."), (3, 0, "One two three four five."), (3, 1, "Six seven eight nine ten.")]
     assert sorted((r["video"], r["text"], r["segments"], r["gate"]) for r in summary.collect()) == [(1, rows[1][4], 1, "ok"), (3, rows[3][4], 2, "ok")]
+
+
+def test_plans_of_timed_speech_read_no_samples(spark):
+    s = spark.createDataFrame([(1, 0, 0.0, 0.4, "Some words that are spoken here."), (1, 1, 1.0, 9.0, "Ü")], "video int, seg_idx int, start double, end double, text string")
+    plan, track = synthesis.timed(synthesis.voices(s, synthesis.Tone, synthesis.CarefulTone, rate=100), 100)
+    reads = lambda df: "samples:array" in df._jdf.queryExecution().executedPlan().toString()
+    assert not reads(plan) and reads(track)
+    assert [(r["seg_idx"], r["n"]) for r in plan.orderBy("seg_idx").collect()] == [(0, 40), (1, 800)]
+
+
+def test_fit(spark):
+    df = spark.createDataFrame([([1, 2, 3], 2), ([1, 2, 3], 5), ([1, 2, 3], 0), ([], 2), (None, 2), ([1, 2], None)], "s array<short>, n int")
+    assert [r[0] for r in df.select(audio.fit("s", "n")).collect()] == [[1, 2], [1, 2, 3, 0, 0], [1, 2, 3], [0, 0], None, []]
