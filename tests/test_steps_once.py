@@ -74,3 +74,9 @@ def test_plans_of_timed_speech_read_no_samples(spark):
 def test_fit(spark):
     df = spark.createDataFrame([([1, 2, 3], 2), ([1, 2, 3], 5), ([1, 2, 3], 0), ([], 2), (None, 2), ([1, 2], None)], "s array<short>, n int")
     assert [r[0] for r in df.select(audio.fit("s", "n")).collect()] == [[1, 2], [1, 2, 3, 0, 0], [1, 2, 3], [0, 0], None, []]
+
+
+def test_plain_empty_of_each_character(spark):
+    df = spark.range(0x110000).filter("id NOT BETWEEN 55296 AND 57343").selectExpr("cast(unhex(lpad(hex(id), 8, '0')) AS binary) AS b").selectExpr("decode(b, 'UTF-32') AS c")
+    differ = df.filter((validators.plain("c") == "") != validators.is_plain_empty("c"))
+    assert differ.count() == 0 and df.filter(validators.is_plain_empty("c")).count() > 900_000
