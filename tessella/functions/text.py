@@ -32,6 +32,11 @@ def strip(c: Column | str) -> Column:
     return F.regexp_replace(text(c), rf"^{S}+|{S}+\z", "")
 
 
+def shorter(c: Column | str, n: int) -> Column:
+    """Whether strip(c) has fewer than n characters, n being two or more; seen at the first that make it n."""
+    return ~text(c).rlike(rf"(?s)[^{S[1:-1]}].{{{n - 2}}}.*?[^{S[1:-1]}]")
+
+
 def squeeze(c: Column | str) -> Column:
     """c with each run of white space as one space, and none at the ends."""
     return F.btrim(F.regexp_replace(text(c), f"{S}+", " "))

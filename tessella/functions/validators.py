@@ -9,10 +9,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StructType
 
 from .scripts import BLOCKS, GATE_BLOCKS, SCRIPTS
-from .text import A, S, W, WORD, col, distinct_words, let, repetition_score, squash, strip, text, words
+from .text import A, S, W, WORD, col, let, repetition_score, shorter, squash, text, words
 
 
 def outcome(valid, score, code) -> Column:
@@ -31,10 +31,14 @@ def by_language(lang: Column, value, other: Column) -> Column:
 def script(c: Column | str, lang: Column | str) -> Column:
     """Whether enough letters are of the script that lang is written in. Marks count as script but not as letters, so the ratio can exceed 1."""
     c, lang = text(c), col(lang)
-    count = lambda one: F.length(c) - F.regexp_count(c, F.lit(rf"(?s)(?!{one})."))  # noqa: E731 - most characters are such, so the others are counted
-    ratio = by_language(lang, lambda k: F.try_divide(count(SCRIPTS[k][1]), count(r"\p{L}")), F.lit(None).cast("double"))
     least = by_language(lang, lambda k: F.lit(SCRIPTS[k][2]), F.lit(None).cast("double"))
 
+    def measured(bare: Column) -> Column:
+        without = lambda one: F.length(F.regexp_replace(bare, f"{one}++", ""))
+        count = lambda one: (F.length(c) if one.startswith("[a-zA-Z") else F.length(bare)) - without(one)
+        ratio = by_language(lang, lambda k: F.try_divide(count(SCRIPTS[k][1]), F.length(c) - without(r"\p{L}")), F.lit(None).cast("double"))
+        return F.struct(ratio.alias("r"), least.alias("m"))
+
     def judged(x: Column) -> Column:
         r, m = x["r"], x["m"]
         score = F.when(r < m, F.least(F.lit(1.0), r / m)).otherwise(1.0)
@@ -45,7 +49,7 @@ def script(c: Column | str, lang: Column | str) -> Column:
             .otherwise(outcome(r >= m * 0.8, score, F.when(r >= m * 0.8, "ok").otherwise("weak")))
         )
 
-    return let(F.struct(ratio.alias("r"), least.alias("m")), judged)
+    return let(let(F.regexp_replace(c, "[a-zA-Z]++", ""), measured), judged)  # runs of what most letters are go first, and what is left is short
 
 
 def char_loop(c: Column | str) -> Column:
@@ -95,31 +99,43 @@ def repeated_phrase(w: Column, least: int = 3) -> Column:
     return F.when(found["n"].isNotNull(), found)
 
 
-def loops(c: Column | str) -> Column:
-    """Repetition of characters, words or phrases; without any the score is the share of distinct words."""
+def repeats(words: list[str], n: Counter) -> bool:
+    """Whether a phrase occurs three times, as then do the pair of words that it begins with and both its words; n counts each word."""
+    if len(words) >= FEW:
+        return most_frequent(words, 3) is not None
+    often = {x for x, k in n.items() if k >= 3}
+    return max(Counter((x, y) for x, y in zip(words, words[1:]) if x in often and y in often).values(), default=0) >= 3
 
-    def judged(x: Column) -> Column:
-        w = x["w"]
-        return (
-            F.when(F.size(w) < 4, outcome(True, 1.0, "short"))
-            .when(char_loop(c), outcome(False, 0.0, "char_loop"))
-            .when(word_loop(c), outcome(False, 0.0, "word_loop"))
-            .when(x["again"], outcome(False, 0.1, "phrase_loop"))
-            .otherwise(outcome(True, distinct_words(c) / F.size(w), "ok"))
-        )
 
-    return let(F.struct(words(c).alias("w"), repeated_phrase(words(c)).isNotNull().alias("again")), judged)
+@F.pandas_udf(StructType().add("words", IntegerType()).add("distinct", IntegerType()).add("again", BooleanType()))
+def word_facts(t: pd.Series) -> pd.DataFrame:
+    """Of lower-case texts how many words and distinct words they have, and whether a phrase repeats; str.split() cuts at S."""
+    facts = [(len(w), len(n := Counter(w)), repeats(w, n)) for w in map(str.split, t)]
+    return pd.DataFrame(facts, columns=["words", "distinct", "again"])
+
+
+def loops(c: Column | str) -> Column:
+    """Repetition of characters, words or phrases; without any the score is the share of distinct words. Words are cut and counted once, by workers."""
+    facts = word_facts(F.lower(text(c)))
+    return (
+        F.when(facts["words"] < 4, outcome(True, 1.0, "short"))
+        .when(char_loop(c), outcome(False, 0.0, "char_loop"))
+        .when(word_loop(c), outcome(False, 0.0, "word_loop"))
+        .when(facts["again"], outcome(False, 0.1, "phrase_loop"))
+        .otherwise(outcome(True, facts["distinct"] / facts["words"], "ok"))
+    )
 
 
 def coherence(c: Column | str) -> Column:
     """Sentence lengths: their mean must be 2 to 50 words, and a share of 0.3 of them 3 to 30 words long."""
-    sizes = F.filter(F.transform(F.split(text(c), "[.!?।॥]+"), lambda s: F.size(words(s))), lambda n: n > 0)
     other = f"[^{S[1:-1]}]"
+    marked = F.regexp_replace(text(c), rf"[[{A}][^{S[1:-1]}.!?।॥]]++{S}*+", "w")  # a letter for each word and the white space after it, so a sentence is a run of w
+    runs = lambda m, run: F.regexp_count(m, F.lit(run))
+    sizes = let(marked, lambda m: F.struct(runs(m, "w++").alias("count"), F.length(F.regexp_replace(m, "[^w]++", "")).alias("total"), runs(m, "(?<!w)w{3,30}+(?!w)").alias("good")))
 
-    def judged(n: Column) -> Column:
-        total, count = F.aggregate(n, F.lit(0), lambda a, x: a + x), F.size(n)
-        mean = F.try_divide(total, count)
-        good = F.try_divide(F.size(F.filter(n, lambda x: (x >= 3) & (x <= 30))), count)
+    def judged(x: Column) -> Column:
+        count = x["count"]
+        mean, good = F.try_divide(x["total"], count), F.try_divide(x["good"], count)
         return (
             F.when(count == 0, outcome(False, 0.0, F.when(text(c) == "", "empty").otherwise("no_sentences")))
             .when(mean < 2, outcome(False, 0.2, "short_sentences"))
@@ -132,8 +148,8 @@ def coherence(c: Column | str) -> Column:
 
 
 def garbage_ratio(c: Column | str, blocks: str = BLOCKS, marks: str = r""".,!?;:'"\-""") -> Column:
-    pattern = rf"(?![{A} ])[^{W}{S[1:-1]}{blocks}{marks}]"
-    return F.coalesce(F.try_divide(F.regexp_count(text(c), F.lit(pattern)), F.length(text(c))), F.lit(0.0))
+    rest = F.regexp_replace(text(c), rf"[{A} \n{marks}]++", "")  # of most texts little, which alone is gone through by class
+    return F.coalesce(F.try_divide(F.regexp_count(rest, F.lit(f"[^{W}{S[1:-1]}{blocks}{marks}]")), F.length(text(c))), F.lit(0.0))
 
 
 def garbage(c: Column | str, most: float = 0.2) -> Column:
@@ -142,7 +158,7 @@ def garbage(c: Column | str, most: float = 0.2) -> Column:
 
 def plain(c: Column | str) -> Column:
     """c in lower case without anything but word characters."""
-    return F.regexp_replace(F.lower(text(c)), f"[^{W}]", "")
+    return F.regexp_replace(F.lower(text(c)), f"[^{W}]++", "")
 
 
 def is_plain_empty(c: Column | str) -> Column:
@@ -150,6 +166,34 @@ def is_plain_empty(c: Column | str) -> Column:
     return ~F.lower(text(c)).rlike(f"[{W}]")
 
 
+def places(b: str, wanted: set[str], most: int) -> dict[str, list[int]]:
+    """Where b has those of the wanted characters that it has most times at most. Few are looked for one by one, more in one pass over b."""
+    out: dict[str, list[int]] = {}
+    if len(wanted) > 256:
+        few = {x for x, k in Counter(b).items() if k <= most and x in wanted}
+        for j, x in enumerate(b):
+            if x in few:
+                out.setdefault(x, []).append(j)
+        return out
+    for x in wanted:
+        at, j = [], b.find(x)
+        while j >= 0 and len(at) <= most:
+            at.append(j)
+            j = b.find(x, j + 1)
+        if 0 < len(at) <= most:
+            out[x] = at
+    return out
+
+
+def longest(a: str, b: str, alo: int, ahi: int, blo: int, bhi: int) -> tuple[int, int, int]:
+    """The longest block of two ranges: the first such in a, there the first in b, and its size."""
+    i0, j0, size = alo, blo, 0
+    for i in range(alo, ahi):
+        while i + size < ahi and (j := b.find(a[i : i + size + 1], blo, bhi)) >= 0:
+            i0, j0, size = i, j, size + 1
+    return i0, j0, size
+
+
 def matched(a: str, b: str) -> int:
     """How many characters difflib's matching blocks of a and b have: the first longest block, then those before and after it. In a b of 200 or more, no block begins at a character that is more than about 1 % of b.
 
@@ -157,19 +201,16 @@ def matched(a: str, b: str) -> int:
     n = len(b)
     if a == b or n < 200 and (a in b or b in a):
         return min(len(a), n)
-    most = n // 100 + 1 if n >= 200 else n
-    places: dict[str, list[int]] = {x: [] for x, k in Counter(b).items() if k <= most}
-    for j, x in enumerate(b):
-        if x in places:
-            places[x].append(j)
-    at = [i for i, x in enumerate(a) if x in places]
+    where = places(b, set(a), n // 100 + 1) if n >= 200 else {}
+    at = [i for i, x in enumerate(a) if x in where]
     total, left = 0, [(0, len(a), 0, n)]
     while left:
         alo, ahi, blo, bhi = left.pop()
-        i0, j0, size, ends, last = alo, blo, 0, {}, -2
+        i0, j0, size = longest(a, b, alo, ahi, blo, bhi) if n < 200 else (alo, blo, 0)
+        ends, last = {}, -2
         for i in at[bisect_left(at, alo) : bisect_left(at, ahi)]:
             before, ends, last = ends if i == last + 1 else {}, {}, i
-            for j in places[a[i]]:
+            for j in where[a[i]]:
                 if j >= bhi:
                     break
                 if j >= blo:
@@ -230,7 +271,7 @@ def too_short() -> Column:
 def validate_translation(source, target, src_lang, tgt_lang, strict: Column | bool = True, ratio: Column | None = None) -> Column:
     """All five checks of a translation; one of fewer than five characters fails without them."""
     checks = [script(target, tgt_lang), loops(target), near_copy(source, target, src_lang, tgt_lang, ratio), coherence(target), garbage(target)]
-    return F.when(F.length(strip(target)) < 5, too_short()).otherwise(fused(checks, strict=strict))
+    return F.when(shorter(target, 5), too_short()).otherwise(fused(checks, strict=strict))
 
 
 def validate_transcript(c, lang=None, confidence=None) -> Column:
@@ -241,7 +282,7 @@ def validate_transcript(c, lang=None, confidence=None) -> Column:
     expected = lang.isNotNull() & (lang != "") & (lang != "auto")
     checks = lambda x: fused([x["loops"], x["garbage"]], [F.when(low, confidence), F.when(expected, x["script"]["score"])], [F.when(low, F.lit("low_confidence")), F.when(expected & ~x["script"]["valid"], x["script"]["code"])])
     judged = F.struct(script(c, lang).alias("script"), loops(c).alias("loops"), garbage(c).alias("garbage"))
-    return F.when(F.length(strip(c)) < 3, too_short()).otherwise(let(judged, checks))
+    return F.when(shorter(c, 3), too_short()).otherwise(let(judged, checks))
 
 
 def gate(c, detected, expected, language_prob, avg_logprob=None, confidence=None) -> Column:

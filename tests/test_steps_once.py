@@ -5,7 +5,12 @@ import random
 from collections import Counter
 from functools import partial
 
+from pyspark.sql import functions as F
+
+from tessella.functions import text as T
 from tessella.functions import validators
+from tessella.functions.scripts import BLOCKS
+from tessella.functions.text import A, S, W
 from tessella.operators import audio
 from tessella.plans import backends, flows, synthesis
 
@@ -45,6 +50,28 @@ def test_phrases_of_few_words():
     assert validators.most_frequent([], 3) is None and validators.most_frequent(["a", "a"], 1) is None
 
 
+def test_translations_words_are_cut_once(spark):
+    """One worker's pass counts words, and the checks on whole runs of characters are those on single ones."""
+    r, pool = random.Random(11), ["the", "The", "ΑΣ", "Σ", "İ", "naïve.", "!", ". .", "é", "नमस्ते।", "x1,", "(a)", "\u00a0", "\x1c", "\u2003", "\u200b", "😀", "word"]
+    texts = [None, "", " ", " a bc ", "ab  c", "a  bc ", *(r.choice(["", " "]) + "".join(r.choice(pool) + r.choice([" ", " ", "\n", "", ". "]) for _ in range(r.randrange(60))) for _ in range(500)), "go on " * 600, *map(chr, [*range(0xD800), *range(0xE000, 0x3200), *range(0xFF00, 0x10000)])]
+    df = spark.createDataFrame([(x, f"b{x}b" if x else "") for x in texts], "t string, u string")
+    plan = df.select(validators.validate_translation("u", "t", F.lit("fr"), F.lit("en"), ratio=validators.matching_ratio(validators.plain("u"), validators.plain("t"))))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "pythonUDF2" not in plan and "split(coalesce(t#" not in plan and "(?s)(?!" not in plan
+    words = T.words("t")
+    sizes = F.filter(F.transform(F.split(T.text("t"), "[.!?।॥]+"), lambda s: F.size(T.words(s))), lambda n: n > 0)
+    total = F.aggregate(sizes, F.lit(0), lambda a, n: a + n)
+    good = F.when(~F.col("c.code").isin("ok", "few_good_sentences"), F.col("c.score")).otherwise(F.size(F.filter(sizes, lambda n: (n >= 3) & (n <= 30))) / F.size(sizes))
+    code = F.when(F.size(sizes) == 0, F.col("c.valid") == F.lit(False)).when(total / F.size(sizes) < 2, F.col("c.code") == "short_sentences").when(total / F.size(sizes) > 50, F.col("c.code") == "long_sentences").otherwise(F.col("c.code").isin("few_words", "ok", "few_good_sentences"))
+    score = F.when(F.col("l.code") == "short", 1.0).when(F.col("l.code") == "ok", T.distinct_words("t") / F.size(words)).when(F.col("l.code") == "phrase_loop", 0.1).otherwise(0.0)
+    share = F.regexp_count(T.text("t"), F.lit(rf"(?![{A} ])[^{W}{S[1:-1]}{BLOCKS}.,!?;:'\"\-]")) / F.greatest(F.length(T.text("t")), F.lit(1))
+    script = F.try_divide(F.regexp_count(T.text("t"), F.lit("[a-zA-Z]")), F.regexp_count(T.text("t"), F.lit(r"\p{L}")))
+    both = df.select("t", validators.loops("t").alias("l"), validators.coherence("t").alias("c"), validators.garbage_ratio("t").alias("g"), validators.script("t", F.lit("en")).alias("s"), T.shorter("t", 5).alias("five"), T.shorter("t", 3).alias("three"))
+    wrong = ~code | (F.col("c.score") != good) | (F.col("l.score") != score) | ((F.col("l.code") == "short") != (F.size(words) < 4)) | (F.col("g") != share) | (F.col("s.score") != F.when(script.isNull(), 0.0).otherwise(F.least(F.lit(1.0), script / 0.5)))
+    wrong = wrong | (F.col("five") != (F.length(T.strip("t")) < 5)) | (F.col("three") != (F.length(T.strip("t")) < 3)) | (F.col("l.code").isin("ok", "phrase_loop") & ((F.col("l.code") == "ok") != validators.repeated_phrase(words).isNull()))
+    assert both.filter(wrong).collect() == []
+    assert {r["l"]["code"] for r in both.collect()} >= {"short", "ok", "phrase_loop"}
+
+
 def test_transcripts_read_cleaned_segments(spark):
     """A text is squashed in one place of the plan, and no table with a row a video is broadcast."""
     rows = [(1, 0, 0.0, 1.0, "music"), (1, 1, 1.0, 2.0, "Nobody heard those words."), (2, 0, 0.0, 9.0, " "), (3, 0, 0.0, 40.0, "One two three four five. Six seven eight nine ten."), (None, 0, 0.0, 1.0, "Said nowhere.")]
